@@ -35,6 +35,7 @@ _PUNCTUATION = "“”„‟‘’‚«»‹›¿¡…–—‐‑−·•†‡
 MAX_STATES = 12
 MAX_WORDS = 400
 BAD_WORD = 3.0
+STEP = 0.25
 
 _LOST_LETTER = re.compile(r"(?<=[^\W\d_])\?(?=[^\W\d_])|(?<=\s)\?(?=[^\W\d_])")
 _EXAMPLES = re.compile(r"```.*?```|~~~.*?~~~|`[^`\n]*`|\"[^\"\sA-Za-z]{1,8}\"|«[^»\sA-Za-z]{1,8}»|'[^'\sA-Za-z]{1,8}'|“[^”\sA-Za-z]{1,8}”|‘[^’\sA-Za-z]{1,8}’|„[^“”\sA-Za-z]{1,8}[“”]|\(?https?://\S+", re.S)
@@ -55,9 +56,9 @@ def _encode(text: str, enc: str) -> bytes:
 
 
 @lru_cache(maxsize=50_000)
-def _word(w: str) -> tuple[float, int]:
-    """(cost, bits of the alphabets that have all its letters) of one word."""
-    cost, script = 0.0, set()
+def _word(w: str) -> tuple[float, int, bool]:
+    """(cost, bits of the alphabets that have all its letters, whether anything in it is odd) of one word."""
+    cost, usual, script = 0.0, 0.0, set()
     alphabets = (1 << len(_ALPHABET_SETS)) - 1
     run = 0
     for i, c in enumerate(w):
@@ -77,15 +78,18 @@ def _word(w: str) -> tuple[float, int]:
             cost += 5
         elif 0x4E00 <= o <= 0x9FFF or 0x3400 <= o <= 0x4DBF:
             script.add("H")
-            cost += _han(c)
+            cost += (h := _han(c))
+            usual += min(h, 0.2)
         elif 0x3000 <= o <= 0x30FF or 0xAC00 <= o <= 0xD7AF or 0xFF00 <= o <= 0xFFEF:
             if o >= 0x3040 and o < 0xFF00:
                 script.add("H")
             cost += 3 if 0xFF61 <= o <= 0xFFDC else 0.3 if o < 0x3040 or o >= 0xFF00 else 0.8
+            usual += 0.8
         elif 0x400 <= o <= 0x4FF:
             script.add("C")
             low = c.lower()
-            cost += 0.1 if low in _COMMON_CYRILLIC else 0.35
+            cost += (h := 0.1 if low in _COMMON_CYRILLIC else 0.35)
+            usual += h + 0.1 * c.isupper()
             if not ("а" <= low <= "я" or low == "ё"):
                 cost += 2
             if i and c.isupper() and before.islower():
@@ -96,7 +100,8 @@ def _word(w: str) -> tuple[float, int]:
             run += 1
             script.add("L" if o < 0x250 else "G")
             if c in _ALL_LETTERS:
-                cost += 0.6 if run == 1 or w.isupper() else 1.5
+                cost += (h := 0.6 if run == 1 or w.isupper() else 0.8 if run == 2 else 1.5)
+                usual += min(h, 0.8)
                 for k, s in enumerate(_ALPHABET_SETS):
                     if c not in s:
                         alphabets &= ~(1 << k)
@@ -105,6 +110,7 @@ def _word(w: str) -> tuple[float, int]:
                 alphabets = 0
             else:
                 cost += 0.6
+                usual += 0.6
             if c.isupper() and before and before.isalpha() and before.islower():
                 cost += 2.5
             if c in "ĞÐ" and not (before.isalpha() and before.isupper()) and c == "Ğ":
@@ -112,14 +118,18 @@ def _word(w: str) -> tuple[float, int]:
             continue
         elif c == "\xa0":
             cost += 2.5 if before.isalpha() and after.isalpha() else 1.5 if before.isalpha() and ord(before) > 127 else 0.3
+            usual += 0.3
         elif c == "\xad":
             cost += 1.5
         elif c in _EDGE:
             cost += 0.4
+            usual += 0.6
             if before.isalpha() and after.isalpha():
                 cost += 0.2 if c in "’‘–—‐‑·−°" else 3.5
             elif after.isalpha() and c in "‚„†‡¹²³ªº¼½¾¨¯´¸™•‹›¤¦©®¬":
                 cost += 3 if c not in "©®„‚‹•" else 0.8
+            elif before.isalpha() and ord(before) > 127 and c in "€™‚„†‡‰‹•¢£¥±²³¶·¹º":
+                cost += 1.2
             elif inside and c in "√∂∫≥≠≈∈∏∑∆∞":
                 cost += 2.5
             elif before.isalpha() and c in "¨¯´¸¤¦¬¼½¾¶§©¡¿±÷":
@@ -135,7 +145,7 @@ def _word(w: str) -> tuple[float, int]:
         run = 0
     if len(script) > 1:
         cost += 3
-    return cost, alphabets
+    return cost, alphabets, cost - usual >= 0.75
 
 
 @lru_cache(maxsize=8192)
@@ -152,7 +162,7 @@ def cost(words: tuple[str, ...]) -> float:
     """Implausibility of a passage's words: of each, and of their letters under the alphabet that fits most words."""
     total, fits, accented = 0.0, [0] * len(_ALPHABET_SETS), 0
     for w in words:
-        c, bits = _word(w)
+        c, bits, _ = _word(w)
         total += c
         if bits != (1 << len(_ALPHABET_SETS)) - 1:
             accented += 1
@@ -259,7 +269,7 @@ def search(words: tuple[str, ...]) -> tuple[float, tuple[str, ...], list[str]]:
             if (h := hash(nxt)) in visited:
                 continue
             visited.add(h)
-            if (d := cost(nxt)) < c - 0.05:
+            if (d := cost(nxt) + STEP) < c - 0.05:
                 heapq.heappush(heap, (d, len(visited), nxt, [*path, op]))
                 if d < best[0] - 1e-9:
                     best = (d, nxt, [*path, op])
@@ -274,8 +284,12 @@ _WORDS = re.compile(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
 @lru_cache(maxsize=20_000)
 def _passage(words: tuple[str, ...]) -> tuple[bool, tuple[str, ...] | None, bool]:
     """(garbled, restored words or None, restored in full)."""
-    start = cost(words)
-    if start < 1.5:
+    odd, every = False, (1 << len(_ALPHABET_SETS)) - 1
+    for w in words:
+        _, bits, o = _word(w)
+        odd |= o
+        every &= bits
+    if not odd and every or (start := cost(words)) < 1.5:
         return False, None, False
     lost = any("�" in w or any("\x80" <= c <= "\x9f" or "" <= c <= "" for c in w) for w in words)
     c, state, path = search(words)
@@ -302,12 +316,14 @@ def repair(text: str) -> tuple[bool, bool, str]:
             else:
                 groups = [spans] if spans else []
             for group in groups:
-                bad, fixed, whole = _passage(tuple(m[0] for m in group))
+                words = tuple(dict.fromkeys(m[0] for m in group))
+                bad, fixed, whole = _passage(words)
                 if bad:
                     garbled = True
                     whole_all &= whole
                     if fixed:
-                        edits += [(at + m.start(), at + m.end(), w) for m, w in zip(group, fixed) if w != m[0]]
+                        now = dict(zip(words, fixed))
+                        edits += [(at + m.start(), at + m.end(), now[m[0]]) for m in group if now[m[0]] != m[0]]
         if "?" in line and _lost(line):
             garbled, whole_all = True, False
         at += len(line) + 1
