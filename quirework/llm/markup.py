@@ -309,17 +309,21 @@ _NAMES = "|".join(sorted(TAGS, key=len, reverse=True))
 RESIDUE = {
     "html": re.compile(rf"</?(?:{_NAMES})(?:\s+[a-zA-Z:-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s<>\"']+))*\s*/?>|<!--|&(?:[a-zA-Z][a-zA-Z0-9]{{1,30}}|#\d{{1,7}}|#[xX][0-9a-fA-F]{{1,6}});", re.I),
     "latex": re.compile(r"\\(?:[a-zA-Z]{2,}\*?\s*(?:\[[^\]\n]*\])?\{|(?:begin|end)\{|(?:noindent|item|par|medskip|smallskip|bigskip|newline|newpage|clearpage|centering|maketitle|hfill|vfill|quad|qquad|ldots|dots|textbackslash|LaTeX|TeX|hline|toprule|midrule|bottomrule|em|it|bf|tt|sc|rm|large|Large|small|footnotesize|tiny|scriptsize|linebreak|pagebreak|indent|left|right|protect|bfseries|itshape|ttfamily|sffamily|appendix)(?![a-zA-Z])|[\"'`^~=.](?:\{[a-zA-Z]\}|(?<=[`'^~=.\"])[aeiouAEIOU](?=[a-z]))|\\(?=\s*(?:\n|$|\[)))|(?<=\w)~\\(?:cite|ref|eqref)"),
-    "markdown": re.compile(r"(?<![\w*\\])\*\*(?=[^\s*])[^*\n]{1,300}?(?<=[^\s*])\*\*(?![\w*])|(?<![\w_\\])__(?=[^\s_])[^_\n]{1,300}?(?<=[^\s_])__(?![\w_])|!?\[[^\[\]\n]{1,300}\]\((?:https?://|www\.|mailto:|#|\.{0,2}/|[\w./-]+\.(?:html?|png|jpe?g|svg|pdf|gif|md)\b)[^()\s]*(?:\s+\"[^\"]*\")?\)|(?:^|\n)[ \t]{0,3}#{1,6}[ \t]+\w|(?:^|\n)[ \t]{0,3}(?:```|~~~)|(?<![`\w\\])`(?=[^\s`])[^`\n]{1,200}?(?<=[^\s`])`(?![`\w])|(?:^|\n)[ \t]{0,3}>[ \t]+\w|(?:^|\n)\|(?:\s*:?-{3,}:?\s*\|)+|(?<![\w~])~~(?=\S)[^~\n]{1,200}?(?<=\S)~~(?![\w~])|(?<![\w*\\])\*(?=[^\s*\d])[^*\n]{1,120}?(?<=[^\s*])\*(?![\w*])|(?:^|\n)[ \t]{0,3}[-*+][ \t]+\[[ xX]\][ \t]"),
+    "markdown": re.compile(r"(?<![\w*\\])\*\*(?=[^\s*])[^*\n]{1,300}?(?<=[^\s*])\*\*(?![\w*])|(?<![\w_\\])__(?=[^\s_])[^_\n]{1,300}?(?<=[^\s_])__(?![\w_])|(?:!\[[^\[\]\n]{0,300}|\[[^\[\]\n]{1,300})\]\((?:https?://|www\.|mailto:|#|\.{0,2}/|[\w./-]+\.(?:html?|png|jpe?g|svg|pdf|gif|md)\b)[^()\s]*(?:\s+\"[^\"]*\")?\)|(?:^|\n)[ \t]{0,3}#{1,6}[ \t]+\w|(?:^|\n)[ \t]{0,3}(?:```|~~~)|(?<![`\w\\])`(?=[^\s`])[^`\n]{1,200}?(?<=[^\s`])`(?![`\w])|(?:^|\n)[ \t]{0,3}>[ \t]+\w|(?:^|\n)\|(?:\s*:?-{3,}:?\s*\|)+|(?<![\w~])~~(?=\S)[^~\n]{1,200}?(?<=\S)~~(?![\w~])|(?<![\w*\\])\*(?=[^\s*\d])[^*\n]{1,120}?(?<=[^\s*])\*(?![\w*])|(?:^|\n)[ \t]{0,3}[-*+][ \t]+\[[ xX]\][ \t]"),
     "wiki": re.compile(r"(?<!')'{2,3}(?=[^'\s])[^'\n]{1,300}?(?<=[^'\s])'{2,3}(?!')|\[\[[^\[\]\n|]{1,200}(?:\|[^\[\]\n]{0,200})?\]\]|\{\{[a-zA-Z][^{}\n]{0,300}\}\}|(?:^|\n)[ \t]*(={2,6})[ \t]*[^=\s][^=\n]{0,200}?[ \t]*\1[ \t]*(?:\n|$)|(?:^|\n)\{\||\[https?://[^\s\]]+ [^\]\n]{1,200}\]|__(?:TOC|NOTOC|FORCETOC)__|<(?:ref|nowiki|references)\b[^>]*>"),
 }
+#: Strings without one of which a text can't hold a format's markup.
+NEEDS = {
+    "html": ("<", "&"), "latex": ("\\",), "markdown": ("**", "__", "](", "# ", "`", "~~", "> ", "|", "*", "- ["), "wiki": ("''", "[[", "{{", "==", "{|", "[http", "__", "<ref", "<nowiki"),
+}
 #: The formats whose markup a field may hold of its own.
 OWN = {"html": ("html",), "latex": ("latex",), "markdown": ("markdown",)}
 _TEX_NAMES = re.compile(r"\\(?:[a-zA-Z]{1,}\*?)(?:\[[^\]\n]*\])?")
 
 
 def residue(text: str, own: tuple[str, ...]) -> list[str]:
-    """Formats, other than its own, whose markup the visible text holds."""
-    return [kind for kind, look in RESIDUE.items() if kind not in own and look.search(text)]
+    """Formats, other than its own, whose markup a text holds. In what a browser shows, tags aren't HTML's own either."""
+    return [kind for kind, look in RESIDUE.items() if kind not in own and any(x in text for x in NEEDS[kind]) and look.search(text)]
 
 
 _TEX_HEADS = {"chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4, "subparagraph": 5}
@@ -394,22 +398,24 @@ def clean(text: str, own: str) -> tuple[str, list[str]]:
         main, threshold = content_root(root)
         seen: list[str] = []
         out = _rendered(root, main, threshold, seen)
-        prose = _HTML_TEXT_OPAQUE.sub(" \x01 ", "\n\x00".join(seen)) if seen else ""
-        kinds = residue(prose.replace("\x00", ""), ("html",)) if _MAYBE.search(prose) else []
+        prose = "\n".join(seen)
+        kinds = residue(prose, ())
+        if kinds and ("$" in prose or "\\" in prose):
+            kinds = residue(_HTML_TEXT_OPAQUE.sub(" \x01 ", prose), ())
     elif own == "latex":
         kinds = residue(_TEX_OPAQUE.sub(" \x01 ", text), ("latex",))
         out = latex_text(text)
     else:
-        kinds = residue(_MD_OPAQUE.sub(" \x01 ", text), ("markdown",)) if _MAYBE.search(text) else []
+        # code and formulas are left out once there is something to find
+        kinds = residue(text, ("markdown",))
+        if kinds:
+            kinds = residue(_MD_OPAQUE.sub(" \x01 ", text), ("markdown",))
         out = text.strip()
     if kinds:
         out = _by_prose(out, kinds)
     return out, kinds
 
 
-_MAYBE = re.compile(r"[<&\\*_`\[{|~#]|''|==|\n>")
-
-
 def _by_prose(t: str, kinds: list[str]) -> str:
     """Converts residue everywhere but in code and formulas."""
     parts, at = [], 0
