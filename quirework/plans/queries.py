@@ -1,0 +1,19 @@
+"""Registry of the named queries of the core, and their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators import nested
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def queries() -> dict[str, Query]:
+    return {"p6_found": nested.found}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
