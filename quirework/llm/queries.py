@@ -6,15 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import markup, mojibake, neardup, splitter, survivor
+from . import entity_match, markup, mixing, mojibake, names, neardup, packing, splitter, survivor
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": entity_match.found,
+        "p1_matches": entity_match.matched,
         "p2_found": survivor.found,
+        "p3_found": names.found,
         "p4_found": markup.found,
         "p5_found": splitter.found,
         "p7_found": neardup.found,
+        "p8_pack": packing.packed,
+        "p8_usage": packing.usage,
+        "p9_mix": mixing.mixed,
+        "p9_shares": mixing.shares,
         "p10_found": mojibake.found,
     }
 
