@@ -27,23 +27,18 @@ def parse_record(text: Column) -> Column:
     A text which is a JSON string that holds JSON again (double encoding) is opened once more.
     """
     once = F.try_parse_json(text)
-    inner = F.when(F.schema_of_variant(once) == "STRING", F.try_parse_json(once.cast("string")))
-    return F.coalesce(inner, F.when(F.schema_of_variant(once) != "STRING", once))
+    return F.when(F.ltrim(text).startswith('"'), F.try_parse_json(once.cast("string"))).otherwise(once)
 
 
 def is_object(v: Column) -> Column:
-    return F.schema_of_variant(v).startswith("OBJECT")
+    # opens one level only; the schema of a variant would read the whole subtree
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
 
 
 def as_items(v: Column) -> Column:
     """array<variant> of an array; of a single object, the array that holds it; of anything else, none."""
     empty = F.expr("cast(array() as array<variant>)")
-    kind = F.schema_of_variant(v)
-    return (
-        F.when(kind.startswith("ARRAY"), F.coalesce(F.try_variant_get(v, "$", "array<variant>"), empty))
-        .when(kind.startswith("OBJECT"), F.array(v))
-        .otherwise(empty)
-    )
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.when(is_object(v), F.array(v)), empty)
 
 
 def _text(v: Column, path: str) -> Column:
