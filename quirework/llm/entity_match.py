@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import re
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,20 +130,32 @@ def _years(year: str, raw: str) -> tuple[int | None, list[int]]:
     return (int(m[1]) if m else None), ([int(m[1])] if m else seen)
 
 
+def _hash(s: str) -> int:
+    return xxhash.xxh3_64_intdigest(s) - (1 << 63)
+
+
+def _key(words: str) -> int:
+    return _hash(words.replace(" ", ""))
+
+
 def _read_citations():
     def f(ids: list, items_a: list, items_b: list, titles: list, years: list, authors: list, raws: list) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("id", "item", "title", "inside", "cuts", "people", "years")}
+        out: dict[str, list] = {k: [] for k in ("id", "item", "key", "words", "inside", "cuts", "people", "years")}
         for i, a, b, t, y, au, r in zip(ids, items_a, items_b, titles, years, authors, raws):
             cut = bool(t) and is_cut(t)
-            key = title_words(t) if t and not cut else ""
-            names = [x for x in au or [] if x]
-            people = name_tokens(names)
+            words = title_words(t) if t and not cut else ""
+            people = name_tokens([x for x in au or [] if x])
             if r:
-                people = list(dict.fromkeys([*people, *(w for w in name_tokens([r]) if len(w) >= 4)]))
+                # names in the reference line, of which the title is no part
+                title = set(words.split())
+                people = list(dict.fromkeys([*people, *(w for w in name_tokens([r]) if len(w) >= 4 and w not in title)]))
+            within = [w for w in titles_in(r) if w != words] if r else []
             out["id"].append(i)
-            out["item"].append(f"{a}\x1f{b}" if a is not None and b is not None else None)
-            out["title"].append(key or None)
-            out["inside"].append([k for k in titles_in(r) if k != key] if r else [])
+            out["item"].append(_hash(f"{a}\x1f{b}") if a is not None and b is not None else None)
+            out["key"].append(_key(words) if words else None)
+            # for records without a title, the likeliest one in the reference line
+            out["words"].append(words or max(within, key=len, default="") or None)
+            out["inside"].append([_key(w) for w in within])
             out["cuts"].append(cut_titles(t if cut else "", r if r and ("..." in r or "…" in r) else ""))
             out["people"].append(people)
             out["years"].append(_years(y, r)[1])
@@ -152,27 +165,28 @@ def _read_citations():
 
 
 def _same():
-    def f(ids: list, works: list, a: list, b: list, common: list, near: list) -> dict[str, list]:
+    def f(ids: list, items: list, works: list, a: list, b: list, common: list, near: list) -> dict[str, list]:
         keep = [k for k, (x, y) in enumerate(zip(a, b)) if same_title(x, y)]
-        return {n: [v[k] for k in keep] for n, v in (("id", ids), ("work", works), ("common", common), ("near", near))}
+        return {n: [v[k] for k in keep] for n, v in (("id", ids), ("item", items), ("work", works), ("common", common), ("near", near))}
 
     return f
 
 
 def _read_works():
     def f(ids: list, titles: list, authors: list, years: list) -> dict[str, list]:
-        keys = [title_words(t) if t else "" for t in titles]
+        words = [title_words(t) if t else "" for t in titles]
         people = [family_names([x for x in a or [] if x]) for a in authors]
-        return {"work": ids, "wtitle": keys, "family": people, "wyear": years}
+        return {"work": ids, "wwords": words, "wkey": [_key(w) for w in words], "family": people, "wyear": years}
 
     return f
 
 
 def _only_one(hits: DataFrame, rule: int) -> DataFrame:
-    """Records whose best hits name one work; nearer years and more authors in common are better."""
-    best = hits.groupBy("id", "work").agg(F.max(F.struct("common", F.col("near").alias("near"))).alias("s"))
-    top = best.groupBy("id").agg(F.max("s").alias("m"), F.count("*").alias("n"))
-    return best.join(top, "id").filter(F.col("s") == F.col("m")).groupBy("id").agg(F.min("work").alias("work"), F.count("*").alias("n")).filter("n = 1").select("id", "work", F.lit(rule).alias("rule"))
+    """Records whose best hits name one work; more authors in common and nearer years are better."""
+    best = hits.groupBy("id", "work").agg(F.max(F.struct("common", "near")).alias("s"), F.first("item").alias("item"))
+    top = best.groupBy("id").agg(F.max("s").alias("m"), F.sort_array(F.collect_list(F.struct("s", "work")), asc=False).alias("h"), F.first("item").alias("item"))
+    sole = F.size(F.filter("h", lambda x: x["s"] == F.col("m"))) == 1
+    return top.filter(sole).select("id", "item", F.get("h", F.lit(0))["work"].alias("work"), F.lit(rule).alias("rule"))
 
 
 def _near_year() -> Column:
@@ -181,8 +195,8 @@ def _near_year() -> Column:
     return F.when(gap.isNull(), 0).when(gap == 0, 2).when(gap == 1, 1).otherwise(-1)
 
 
+END = 16
 #: What each rule demands, strongest first.
-END = 8
 RULES = {
     1: "title, an author, the year or one off", 2: "title, an author", 3: "title in the reference line, an author, the year or one off", 4: "title in the reference line, an author",
     5: "beginning of a cut-off title, an author, the year or one off", 6: "title that one work has, the year or one off, no author known", 7: "title that one work has, an author's name misspelled",
@@ -198,72 +212,75 @@ def match(citations: DataFrame, works: DataFrame) -> DataFrame:
     without a title or authors never by rules that need them. Repeated rows are matched each; ties name no work; empty
     tables give an empty result; further columns aren't read.
     """
-    c = map_columns(
+    c = cut_lineage(map_columns(
         citations.select("citation_id", "arxiv_id", "cite_key", "title", "pub_year", "authors", "raw_text"), _read_citations,
-        "id long, item string, title string, inside array<string>, cuts array<string>, people array<string>, years array<int>",
-    )
-    c = cut_lineage(c)
-    w = cut_lineage(map_columns(works.select("work_id", "title", "authors", F.col("pub_year").cast("int")), _read_works, "work long, wtitle string, family array<string>, wyear int").filter("wtitle != ''"))
-    # words are joined to one key, so that blanks and hyphens don't count
-    w = w.withColumn("wwords", F.col("wtitle")).withColumn("wtitle", F.replace("wtitle", F.lit(" "), F.lit("")))
-    c = c.withColumn("words", F.col("title")).withColumn("title", F.replace("title", F.lit(" "), F.lit("")))
-    shared = w.groupBy("wtitle").agg(F.count("*").alias("k"))
-    w = w.join(shared, "wtitle")
-    alone = w.filter("k = 1").drop("k")
-    several = w.filter("k > 1").select("work", "wtitle", "family", "wyear", F.explode("family").alias("who"))
+        "id long, item long, key long, words string, inside array<long>, cuts array<string>, people array<string>, years array<int>",
+    ))
+    w = map_columns(works.select("work_id", "title", "authors", F.col("pub_year").cast("int")), _read_works, "work long, wwords string, wkey long, family array<string>, wyear int")
+    w = cut_lineage(w.filter("wwords != ''"))
+    shared = w.groupBy("wkey").agg(F.count("*").alias("k"))
+    known = w.join(shared, "wkey")
+    alone = known.filter("k = 1").select("work", "wkey", "family", "wyear", F.length("wwords").alias("size"))
+    several = known.filter("k > 1").select("work", "wkey", "wyear", "family", F.explode("family").alias("who"))
+    generic = shared.filter("k > 1").select("wkey")
 
     common = F.size(F.array_intersect("people", "family"))
-
-    def by_title(left: DataFrame, key: str) -> DataFrame:
-        """Left rows with the works of their title; a title of several works joins with an author only."""
-        one = left.join(alone, F.col(key) == F.col("wtitle"))
-        dup = left.join(shared.filter("k > 1").select(F.col("wtitle").alias(key)), key, "left_semi").withColumn("who", F.explode("people"))
-        many = dup.join(several, (F.col(key) == F.col("wtitle")) & (dup["who"] == several["who"])).drop("who").dropDuplicates(["id", "work"])
-        both = one.select("id", "people", "years", "work", "family", "wyear", "wtitle", F.lit(True).alias("sole")).unionByName(many.select("id", "people", "years", "work", "family", "wyear", "wtitle", F.lit(False).alias("sole")))
-        return both.withColumn("common", common).withColumn("near", _near_year())
-
-    # rules 1, 2, 6, 7 look at the same candidates
-    hits = cut_lineage(by_title(c.select("id", "title", "people", "years").filter("title is not null"), "title"))
-    done = _only_one(hits.filter("common > 0 and near >= 1"), 1)
     rest = lambda df, d: df.join(d.select("id"), "id", "left_anti")
-    done = done.unionByName(_only_one(rest(hits, done).filter("common > 0 and near = 0 or common > 1"), 2))
-    done = cut_lineage(done)
-
-    left = cut_lineage(rest(c, done))
-    inside = cut_lineage(by_title(left.select("id", F.explode(F.transform("inside", lambda t: F.replace(t, F.lit(" "), F.lit("")))).alias("t"), "people", "years"), "t"))
-    more = _only_one(inside.filter("common > 0 and near >= 1"), 3)
-    more = more.unionByName(_only_one(rest(inside, more).filter("common > 0 and near = 0 or common > 1"), 4))
-
-    cuts = left.select("id", F.explode("cuts").alias("t"), "people", "years").withColumn("p", F.substring("t", 1, MIN_PREFIX)).withColumn("who", F.explode("people"))
-    begin = w.select("work", "wtitle", "family", "wyear", F.substring("wtitle", 1, MIN_PREFIX).alias("p"), F.explode("family").alias("who"))
-    cut_hits = rest(cuts, more).join(begin, ["p", "who"]).filter(F.col("wtitle").startswith(F.col("t"))).withColumn("common", common).withColumn("near", _near_year())
-    more = cut_lineage(more.unionByName(_only_one(cut_hits.filter("near >= 0"), 5)))
-    done = done.unionByName(more)
 
-    # by title alone, where it is one work's and says enough
+    # rules 1, 2, 6, 7: by title. A title of several works joins with an author only
     typo = F.exists("people", lambda p: F.exists("family", lambda f: (F.levenshtein(p, f, 2) >= 0) & (F.length(f) >= 6)))
-    weak = rest(hits, done).filter("sole and length(wtitle) >= 20").withColumn("typo", typo)
-    late = _only_one(weak.filter((F.size("people") == 0) & (F.col("near") >= 1)), 6)
-    late = late.unionByName(_only_one(rest(weak, late).filter(F.col("typo") & (F.col("near") >= 0)), 7))
-
-    # a misspelled title or one without a word, by an author, the year and either end of the title
+    titled = c.filter("key is not null").select("id", "item", F.col("key").alias("wkey"), "people", "years")
+    weak = F.when((F.col("size") >= 20) & (common == 0), F.when(F.size("people") == 0, 6).when(typo, 7))
+    one = titled.join(alone, "wkey").select("id", "item", "work", common.alias("common"), _near_year().alias("near"), weak.alias("weak"))
+    by_author = titled.join(generic, "wkey", "left_semi").withColumn("who", F.explode("people"))
+    many = by_author.join(several, ["wkey", "who"]).select("id", "item", "work", common.alias("common"), _near_year().alias("near"), F.lit(None).cast("int").alias("weak"))
+    hits = cut_lineage(one.unionByName(many).filter("common > 0 or weak is not null"))
+    done = _only_one(hits.filter("common > 0 and near >= 1"), 1)
+    done = cut_lineage(done.unionByName(_only_one(rest(hits, done).filter("common > 0 and near = 0 or common > 1"), 2)))
+
+    # rules 3, 4: by a title in the reference line; only keys move until a work is found
+    left = cut_lineage(rest(c, done).drop("key"))
+    facts = left.select("id", "item", "people", "years")
+    keys = left.select("id", F.explode("inside").alias("wkey"))
+    lone = keys.join(alone.select("wkey", "work", "family", "wyear"), "wkey").select("id", "work", "family", "wyear").join(facts, "id")
+    lone = lone.select("id", "item", "work", common.alias("common"), _near_year().alias("near"))
+    dup = keys.join(generic, "wkey", "left_semi").join(facts, "id").withColumn("who", F.explode("people")).join(several, ["wkey", "who"])
+    dup = dup.select("id", "item", "work", common.alias("common"), _near_year().alias("near"))
+    inside = cut_lineage(lone.unionByName(dup).filter("common > 0 and (near >= 0 or common > 1)"))
+    more = _only_one(inside.filter("near >= 1"), 3)
+    more = more.unionByName(_only_one(rest(inside, more).filter("near = 0 or common > 1"), 4))
+
+    # rule 5: by the beginning of a title that is cut off, and an author
+    cuts = rest(left.filter(F.size("cuts") > 0), more).select("id", "item", F.explode("cuts").alias("t"), "people", "years").withColumn("p", F.substring("t", 1, MIN_PREFIX)).withColumn("who", F.explode("people"))
+    full = F.replace("wwords", F.lit(" "), F.lit(""))
+    begin = w.select("work", full.alias("wtitle"), "family", "wyear", F.substring(full, 1, MIN_PREFIX).alias("p"), F.explode("family").alias("who"))
+    begun = cuts.join(begin, ["p", "who"]).filter(F.col("wtitle").startswith(F.col("t"))).select("id", "item", "work", common.alias("common"), _near_year().alias("near"))
+    more = more.unionByName(_only_one(begun.filter("near >= 0"), 5))
+
+    # rules 6, 7: by title alone, where it is one work's and says enough
+    weaker = rest(hits.filter("weak is not null"), done)
+    late = _only_one(weaker.filter("weak = 6 and near >= 1"), 6)
+    late = late.unionByName(_only_one(weaker.filter("weak = 7 and near >= 0"), 7))
+    more = cut_lineage(more.unionByName(rest(late, more)))
+
+    # rule 8: a misspelled title or one without a word, by either end of the title and the year
     ends = lambda t: F.array(F.concat(F.lit("<"), F.substring(t, 1, END)), F.concat(F.lit(">"), F.right(t, F.lit(END))))
-    left = rest(rest(left, more), late).withColumn("t", F.explode(F.array_compact(F.concat(F.array("words"), "inside")))).filter(F.length("t") >= 20)
-    ask = left.withColumn("e", F.explode(ends(F.replace("t", F.lit(" "), F.lit("")))))
-    ask = ask.select("id", "t", "people", "years", "e", F.explode("people").alias("who")).withColumn("y", F.explode("years"))
-    offer = w.filter("length(wtitle) >= 18").withColumn("e", F.explode(ends(F.col("wtitle")))).select("work", "wwords", "family", "wyear", "e", F.explode("family").alias("who"))
-    offer = offer.withColumn("y", F.explode(F.array(F.col("wyear") - 1, F.col("wyear"), F.col("wyear") + 1)))
-    near = ask.join(offer, ["e", "who", "y"]).select("id", "work", "t", "wwords", common.alias("common"), _near_year().alias("near")).dropDuplicates(["id", "work", "t"])
-    near = map_columns(near, _same, "id long, work long, common int, near int")
-    late = late.unionByName(_only_one(near, 8))
-    done = done.unionByName(cut_lineage(late))
-
-    # other records of an item, where they agree
-    items = done.join(c.select("id", "item"), "id")
-    agreed = items.filter("item is not null").groupBy("item").agg(F.min("work").alias("work"), F.max("work").alias("top")).filter("work = top").select("item", "work")
-    others = rest(c.select("id", "item", "title"), done).join(agreed, "item").join(w.select("work", "wtitle"), "work")
-    fits = F.col("title").isNull() | (F.levenshtein("title", "wtitle", 4) >= 0)
-    return items.select("id", "item", "work", "rule").unionByName(others.filter(fits).select("id", "item", "work", F.lit(9).alias("rule")))
+    still = rest(left.filter("length(words) >= 20"), more)
+    # a year of 0 stands for none in the citation, one of -1 for none in the catalogue
+    ask_years = F.concat(F.when(F.size("years") == 0, F.array(F.lit(0))).otherwise(F.col("years")), F.array(F.lit(-1)))
+    offer_years = F.when(F.col("wyear").isNull(), F.array(F.lit(-1))).otherwise(F.array(F.lit(0), F.col("wyear") - 1, F.col("wyear"), F.col("wyear") + 1))
+    ask = still.select("id", F.explode(ends(F.replace("words", F.lit(" "), F.lit("")))).alias("e"), ask_years.alias("ys")).select("id", "e", F.explode("ys").alias("y"))
+    offer = w.select("work", "wwords", "family", "wyear", F.explode(ends(full)).alias("e"), offer_years.alias("ys")).withColumn("y", F.explode("ys")).drop("ys")
+    near = ask.join(offer, ["e", "y"]).select("id", "work", "wwords", "family", "wyear").dropDuplicates(["id", "work"])
+    near = near.join(still.select("id", "item", "words", "people", "years"), "id").withColumn("common", common).filter("common > 0")
+    near = map_columns(near.select("id", "item", "work", "words", "wwords", "common", _near_year().alias("near")), _same, "id long, item long, work long, common int, near int")
+    done = done.unionByName(more).unionByName(cut_lineage(_only_one(near, 8)))
+
+    # rule 9: other records of an item, where they agree
+    agreed = done.filter("item is not null").groupBy("item").agg(F.min("work").alias("work"), F.max("work").alias("top")).filter("work = top").select("item", "work")
+    others = rest(left.select("id", "item", "words", (F.size("inside") > 0).alias("line")), done).join(agreed, "item").join(w.select("work", "wwords"), "work")
+    fits = F.col("words").isNull() | F.col("line") & (F.levenshtein("words", "wwords", 6) >= 0) | (F.levenshtein("words", "wwords", 4) >= 0)
+    return done.select("id", "item", "work", "rule").unionByName(others.filter(fits).select("id", "item", "work", F.lit(9).alias("rule")))
 
 
 def rule_confidence(matches: DataFrame) -> DataFrame:
