@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,14 +29,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_tables: list = []
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset (tests, one machine), a temporary one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
+    if not shared:
+        shared = tempfile.mkdtemp(prefix="quirework-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+        atexit.register(shutil.rmtree, shared, True)
+    return shared
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that spark.checkpoint.dir names.
+    """The rows as a table written to the shared folder, and read back.
 
-    The folder is shared by all executors, so a lost executor loses no result. Only where the
-    setting is absent (tests, one machine) a temporary folder takes its place.
+    The folder is shared by all executors, so a lost executor loses no result. Columns are compressed and read as
+    needed, which takes a fraction of a checkpoint's disk. `drop_cuts` removes the tables; the session's end does too.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quirework-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/quirework-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    if not _tables:
+        atexit.register(drop_cuts, spark)
+    _tables.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Removes the tables that cut_lineage wrote; results that read them must be stored before."""
+    try:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        while _tables:
+            path = jvm.org.apache.hadoop.fs.Path(_tables.pop())
+            path.getFileSystem(conf).delete(path, True)
+    except Exception:  # noqa: BLE001 - the session may have ended before
+        _tables.clear()
