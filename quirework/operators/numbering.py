@@ -63,7 +63,8 @@ def reorder_figures(blocks: DataFrame, doc: str = "doc_id", scope: str = "scope"
 
     Several figures behind one paragraph come out in reverse order. Only blocks of one list (scope) count.
     """
-    cites = blocks.filter(F.col(kind) == "paragraph").select(doc, scope, F.col(pos).alias("_at"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?i)Fig(?:ure)?\.?\s*(\d+)"), F.lit(1)))).cast("int").alias(number))
+    cites = blocks.filter(F.col(kind) == "paragraph").select(doc, scope, F.col(pos).alias("_at"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?i)Fig(?:ure)?\.?\s*(\d+)"), F.lit(1)))).alias("_n"))
+    cites = cites.select(doc, scope, "_at", F.expr("try_cast(_n as int)").alias(number))
     first = cites.groupBy(doc, scope, number).agg(F.min("_at").alias("_cite"))
     d = blocks.join(first, [doc, scope, number], "left")
     moves = (F.col(kind) == "figure") & (F.col("_cite") < F.col(pos))
