@@ -316,9 +316,17 @@ def simple_display_math(c: Column) -> Column:
 _TOKENS = r"(?s)\$\$.*?\$\$|\$\$.*|\$[^$]*\$|\$|[^$]+"
 
 
+def math_tokens(c: Column) -> Column:
+    """Markdown cut into formulas and what is between them."""
+    return F.regexp_extract_all(c, F.lit(_TOKENS), F.lit(0))
+
+
 def spaced_math(c: Column) -> Column:
     """Inline formulas trimmed, on one line and set off by a blank from letters and digits beside them; display ones stay."""
-    tokens = F.regexp_extract_all(c, F.lit(_TOKENS), F.lit(0))
+    return spaced_tokens(math_tokens(c))
+
+
+def spaced_tokens(tokens: Column) -> Column:
     inline = lambda t: t.rlike(r"(?s)^\$[^$]+\$$")
     body = lambda t: without_math_spacing(strip(F.regexp_replace(F.substring(t, F.lit(2), F.length(t) - 2), r"\s*\n\s*", " ")))
 

@@ -46,6 +46,39 @@ def with_paths(sections: DataFrame, doc: str = "doc_id", pos: str = "pos", paren
     return d.drop("_up")
 
 
+def outlined(sections: Column) -> Column:
+    """A document's array of sections with parent_pos, path, ordinal, struct_id and number, all made in the row.
+
+    The fold keeps what it has made so far: a section's parent is the last one before with a smaller level. For documents
+    that come as one row each this needs no shuffle, where with_parents, with_paths and section_numbers take tables.
+    """
+    kind = (
+        "array<struct<pos:int,level:int,title:string,anchor:string,unnumbered:boolean,parent_pos:int,path:array<int>,ordinal:int,ords:array<int>,counted:boolean,nums:array<int>>>"
+    )
+
+    def add(acc: Column, s: Column) -> Column:
+        level = F.greatest(F.lit(1), F.least(F.lit(LEVELS), s["level"]))
+        above = F.filter(acc, lambda x: x["level"] < level)
+        parent = F.when(F.size(above) > 0, F.try_element_at(above, F.lit(-1)))
+        same = F.filter(acc, lambda x: x["parent_pos"].eqNullSafe(parent["pos"]))
+        counted = ~F.coalesce(s["unnumbered"], F.lit(False)) & (level < 5)
+        nth = (F.size(F.filter(same, lambda x: x["counted"])) + counted.cast("int")).cast("int")
+        none = F.expr("cast(array() as array<int>)")
+        row = F.struct(
+            s["pos"].cast("int").alias("pos"), level.cast("int").alias("level"), s["title"].alias("title"), s["anchor"].alias("anchor"), s["unnumbered"].alias("unnumbered"), parent["pos"].alias("parent_pos"),
+            F.concat(F.coalesce(parent["path"], none), F.array(s["pos"].cast("int"))).alias("path"), F.size(same).alias("ordinal"), F.concat(F.coalesce(parent["ords"], none), F.array(F.size(same))).alias("ords"),
+            counted.alias("counted"), F.concat(F.coalesce(parent["nums"], none), F.array(nth)).alias("nums"),
+        )
+        return F.concat(acc, F.array(row)).cast(kind)
+
+    text = lambda a: F.transform(a, lambda x: x.cast("string"))
+    done = F.aggregate(sections, F.expr(f"cast(array() as {kind})"), add)
+    return F.transform(done, lambda x: F.struct(
+        x["pos"].alias("pos"), x["level"].alias("level"), x["title"].alias("title"), x["anchor"].alias("anchor"), x["unnumbered"].alias("unnumbered"), x["parent_pos"].alias("parent_pos"), x["path"].alias("path"), x["ordinal"].alias("ordinal"),
+        F.concat(F.lit("sec_"), F.array_join(text(x["ords"]), "_")).alias("struct_id"), F.when(x["counted"], F.array_join(text(x["nums"]), ".")).alias("number"),
+    ))
+
+
 def with_struct_ids(sections: DataFrame, doc: str = "doc_id", pos: str = "pos") -> DataFrame:
     """Fills struct_id with `sec_i_j` by the ordinals from the root, where it is missing. Needs path and ordinal."""
     ids = sections.select(doc, F.explode("path").alias("_p"), F.col(pos).alias("_of"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.session import cut_lineage
 from ..operators import graph as G
 from ..operators import markdown as M
 from ..operators import numbering as N
@@ -43,9 +44,11 @@ class Tables:
 
 
 def from_parsed(parsed: DataFrame, options: Options = Options()) -> Tables:
-    tex = "unnumbered" in P.sections_of(parsed).columns
-    sections = O.with_paths(O.with_parents(P.sections_of(parsed)))
-    sections = O.with_struct_ids(sections.withColumn("struct_id", F.lit(None).cast("string")).withColumn("unnumbered", F.col("unnumbered") if tex else F.lit(False)))
+    """Parsed rows, stored once since many passes read them, as tables."""
+    parsed = cut_lineage(parsed)
+    has = "unnumbered" in parsed.schema["sections"].dataType.elementType.names
+    items = F.transform("sections", lambda s: F.struct(s["pos"].alias("pos"), s["level"].alias("level"), s["title"].alias("title"), s["anchor"].alias("anchor"), (s["unnumbered"] if has else F.lit(False)).alias("unnumbered")))
+    sections = parsed.select("doc_id", F.inline(O.outlined(items)))
     blocks = P.blocks_of(parsed).withColumn("order", F.col("pos"))
     return Tables(parsed.select("doc_id", "title", "authors", "abstract", T.parsed_date(F.col("submission_date")).alias("submission_date")), sections, blocks, options)
 
@@ -70,8 +73,8 @@ def numbers(t: Tables) -> Tables:
 def section_titles(t: Tables) -> Tables:
     if not t.options.number_sections:
         return t
-    s = O.section_numbers(t.sections).withColumn("title", F.concat_ws(" ", "number", "title"))
-    return Tables(t.docs, s.withColumn("struct_id", F.coalesce("number", "struct_id")).drop("number"), t.blocks, t.options)
+    s = t.sections.withColumn("title", F.concat_ws(" ", "number", "title")).withColumn("struct_id", F.coalesce("number", "struct_id"))
+    return Tables(t.docs, s, t.blocks, t.options)
 
 
 def figure_order(t: Tables) -> Tables:
