@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
 
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -134,21 +135,35 @@ def _hash(s: str) -> int:
     return xxhash.xxh3_64_intdigest(s) - (1 << 63)
 
 
+@lru_cache(maxsize=200_000)
+def _who(token: str) -> int:
+    return xxhash.xxh32_intdigest(token) - (1 << 31)
+
+
+@lru_cache(maxsize=50_000)
+def _tokens_of(name: str) -> tuple[str, ...]:
+    return tuple(name_tokens([name]))
+
+
 def _key(words: str) -> int:
     return _hash(words.replace(" ", ""))
 
 
+_RAW_NAMES = re.compile(r"(?<![a-z])[a-z]{4,}(?![a-z])")
+_JOINED = str.maketrans("", "", "’'‐-")
+
+
 def _read_citations():
     def f(ids: list, items_a: list, items_b: list, titles: list, years: list, authors: list, raws: list) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("id", "item", "key", "words", "inside", "cuts", "people", "years")}
+        out: dict[str, list] = {k: [] for k in ("id", "item", "key", "words", "inside", "cuts", "people", "names", "years")}
         for i, a, b, t, y, au, r in zip(ids, items_a, items_b, titles, years, authors, raws):
             cut = bool(t) and is_cut(t)
             words = title_words(t) if t and not cut else ""
-            people = name_tokens([x for x in au or [] if x])
+            people = list(dict.fromkeys(w for x in au or [] if x for w in _tokens_of(x)))
             if r:
                 # names in the reference line, of which the title is no part
                 title = set(words.split())
-                people = list(dict.fromkeys([*people, *(w for w in name_tokens([r]) if len(w) >= 4 and w not in title)]))
+                people = list(dict.fromkeys([*people, *(w for w in _RAW_NAMES.findall(fold(r.translate(_JOINED))) if w not in title and w not in PARTICLES)]))
             within = [w for w in titles_in(r) if w != words] if r else []
             out["id"].append(i)
             out["item"].append(_hash(f"{a}\x1f{b}") if a is not None and b is not None else None)
@@ -157,7 +172,8 @@ def _read_citations():
             out["words"].append(words or max(within, key=len, default="") or None)
             out["inside"].append([_key(w) for w in within])
             out["cuts"].append(cut_titles(t if cut else "", r if r and ("..." in r or "…" in r) else ""))
-            out["people"].append(people)
+            out["people"].append([_who(p) for p in people])
+            out["names"].append(people if words and not r else [])
             out["years"].append(_years(y, r)[1])
         return out
 
@@ -176,17 +192,16 @@ def _read_works():
     def f(ids: list, titles: list, authors: list, years: list) -> dict[str, list]:
         words = [title_words(t) if t else "" for t in titles]
         people = [family_names([x for x in a or [] if x]) for a in authors]
-        return {"work": ids, "wwords": words, "wkey": [_key(w) for w in words], "family": people, "wyear": years}
+        return {"work": ids, "wwords": words, "wkey": [_key(w) for w in words], "family": [[_who(p) for p in f] for f in people], "fnames": people, "wyear": years}
 
     return f
 
 
 def _only_one(hits: DataFrame, rule: int) -> DataFrame:
     """Records whose best hits name one work; more authors in common and nearer years are better."""
-    best = hits.groupBy("id", "work").agg(F.max(F.struct("common", "near")).alias("s"), F.first("item").alias("item"))
-    top = best.groupBy("id").agg(F.max("s").alias("m"), F.sort_array(F.collect_list(F.struct("s", "work")), asc=False).alias("h"), F.first("item").alias("item"))
-    sole = F.size(F.filter("h", lambda x: x["s"] == F.col("m"))) == 1
-    return top.filter(sole).select("id", "item", F.get("h", F.lit(0))["work"].alias("work"), F.lit(rule).alias("rule"))
+    each = hits.groupBy("id").agg(F.collect_set(F.struct("common", "near", "work")).alias("h"), F.max(F.struct("common", "near")).alias("m"), F.first("item").alias("item"))
+    top = each.select("id", "item", F.array_distinct(F.transform(F.filter("h", lambda x: (x["common"] == F.col("m.common")) & (x["near"] == F.col("m.near"))), lambda x: x["work"])).alias("w"))
+    return top.filter(F.size("w") == 1).select("id", "item", F.get("w", F.lit(0)).alias("work"), F.lit(rule).alias("rule"))
 
 
 def _near_year() -> Column:
@@ -214,71 +229,76 @@ def match(citations: DataFrame, works: DataFrame) -> DataFrame:
     """
     c = cut_lineage(map_columns(
         citations.select("citation_id", "arxiv_id", "cite_key", "title", "pub_year", "authors", "raw_text"), _read_citations,
-        "id long, item long, key long, words string, inside array<long>, cuts array<string>, people array<string>, years array<int>",
+        "id long, item long, key long, words string, inside array<long>, cuts array<string>, people array<int>, names array<string>, years array<int>",
     ))
-    w = map_columns(works.select("work_id", "title", "authors", F.col("pub_year").cast("int")), _read_works, "work long, wwords string, wkey long, family array<string>, wyear int")
+    w = map_columns(works.select("work_id", "title", "authors", F.col("pub_year").cast("int")), _read_works, "work long, wwords string, wkey long, family array<int>, fnames array<string>, wyear int")
     w = cut_lineage(w.filter("wwords != ''"))
     shared = w.groupBy("wkey").agg(F.count("*").alias("k"))
     known = w.join(shared, "wkey")
-    alone = known.filter("k = 1").select("work", "wkey", "family", "wyear", F.length("wwords").alias("size"))
+    alone = known.filter("k = 1").select("work", "wkey", "family", "wyear", (F.length("wwords") >= 24).alias("tells"))
     several = known.filter("k > 1").select("work", "wkey", "wyear", "family", F.explode("family").alias("who"))
     generic = shared.filter("k > 1").select("wkey")
 
+    # people are hashes of name words: what moves between tasks is a few numbers a record
     common = F.size(F.array_intersect("people", "family"))
     rest = lambda df, d: df.join(d.select("id"), "id", "left_anti")
 
     # rules 1, 2, 6, 7: by title. A title of several works joins with an author only
-    typo = F.exists("people", lambda p: F.exists("family", lambda f: (F.levenshtein(p, f, 2) >= 0) & (F.length(f) >= 6)))
     titled = c.filter("key is not null").select("id", "item", F.col("key").alias("wkey"), "people", "years")
-    weak = F.when((F.col("size") >= 20) & (common == 0), F.when(F.size("people") == 0, 6).when(typo, 7))
+    weak = F.when(F.col("tells") & (common == 0), F.when(F.size("people") == 0, 6).otherwise(7))
     one = titled.join(alone, "wkey").select("id", "item", "work", common.alias("common"), _near_year().alias("near"), weak.alias("weak"))
-    by_author = titled.join(generic, "wkey", "left_semi").withColumn("who", F.explode("people"))
-    many = by_author.join(several, ["wkey", "who"]).select("id", "item", "work", common.alias("common"), _near_year().alias("near"), F.lit(None).cast("int").alias("weak"))
+    many = titled.join(generic, "wkey", "left_semi").withColumn("who", F.explode("people")).join(several, ["wkey", "who"])
+    many = many.select("id", "item", "work", common.alias("common"), _near_year().alias("near"), F.lit(None).cast("int").alias("weak"))
     hits = cut_lineage(one.unionByName(many).filter("common > 0 or weak is not null"))
     done = _only_one(hits.filter("common > 0 and near >= 1"), 1)
     done = cut_lineage(done.unionByName(_only_one(rest(hits, done).filter("common > 0 and near = 0 or common > 1"), 2)))
 
     # rules 3, 4: by a title in the reference line; only keys move until a work is found
-    left = cut_lineage(rest(c, done).drop("key"))
-    facts = left.select("id", "item", "people", "years")
-    keys = left.select("id", F.explode("inside").alias("wkey"))
-    lone = keys.join(alone.select("wkey", "work", "family", "wyear"), "wkey").select("id", "work", "family", "wyear").join(facts, "id")
+    open_ids = cut_lineage(rest(c.select("id", "item", "inside", "people", "years"), done))
+    left = open_ids.select("id", "item", "people", "years")
+    keys = open_ids.select("id", F.explode("inside").alias("wkey"))
+    lone = keys.join(alone.select("wkey", "work"), "wkey").select("id", "work").join(left, "id").join(w.select("work", "family", "wyear"), "work")
     lone = lone.select("id", "item", "work", common.alias("common"), _near_year().alias("near"))
-    dup = keys.join(generic, "wkey", "left_semi").join(facts, "id").withColumn("who", F.explode("people")).join(several, ["wkey", "who"])
+    dup = keys.join(generic, "wkey", "left_semi").join(left, "id").withColumn("who", F.explode("people")).join(several, ["wkey", "who"])
     dup = dup.select("id", "item", "work", common.alias("common"), _near_year().alias("near"))
     inside = cut_lineage(lone.unionByName(dup).filter("common > 0 and (near >= 0 or common > 1)"))
     more = _only_one(inside.filter("near >= 1"), 3)
     more = more.unionByName(_only_one(rest(inside, more).filter("near = 0 or common > 1"), 4))
 
     # rule 5: by the beginning of a title that is cut off, and an author
-    cuts = rest(left.filter(F.size("cuts") > 0), more).select("id", "item", F.explode("cuts").alias("t"), "people", "years").withColumn("p", F.substring("t", 1, MIN_PREFIX)).withColumn("who", F.explode("people"))
+    cuts = rest(c.filter(F.size("cuts") > 0).select("id", "item", F.explode("cuts").alias("t"), "people", "years"), done)
+    cuts = cuts.withColumn("p", F.substring("t", 1, MIN_PREFIX)).withColumn("who", F.explode("people"))
     full = F.replace("wwords", F.lit(" "), F.lit(""))
     begin = w.select("work", full.alias("wtitle"), "family", "wyear", F.substring(full, 1, MIN_PREFIX).alias("p"), F.explode("family").alias("who"))
     begun = cuts.join(begin, ["p", "who"]).filter(F.col("wtitle").startswith(F.col("t"))).select("id", "item", "work", common.alias("common"), _near_year().alias("near"))
-    more = more.unionByName(_only_one(begun.filter("near >= 0"), 5))
+    more = more.unionByName(_only_one(rest(begun.filter("near >= 0"), more), 5))
 
     # rules 6, 7: by title alone, where it is one work's and says enough
-    weaker = rest(hits.filter("weak is not null"), done)
+    weaker = rest(hits.filter("weak is not null and near >= 0"), done)
     late = _only_one(weaker.filter("weak = 6 and near >= 1"), 6)
-    late = late.unionByName(_only_one(weaker.filter("weak = 7 and near >= 0"), 7))
+    typo = F.exists("names", lambda p: F.exists("fnames", lambda f: (F.levenshtein(p, f, 2) >= 0) & (F.length(f) >= 6)))
+    names = weaker.filter("weak = 7").join(c.filter(F.size("names") > 0).select("id", "names"), "id").join(w.select("work", "fnames"), "work").filter(typo)
+    late = late.unionByName(_only_one(names, 7))
     more = cut_lineage(more.unionByName(rest(late, more)))
 
-    # rule 8: a misspelled title or one without a word, by either end of the title and the year
+    # rule 8: a misspelled title or one without a word, by either end of the title and the year; 0 stands for no year in the
+    # citation, -1 for none in the catalogue. Candidates move as pairs of ids until an author agrees
+    still = rest(rest(c.filter("length(words) >= 20").select("id", "words", "years"), done), more)
     ends = lambda t: F.array(F.concat(F.lit("<"), F.substring(t, 1, END)), F.concat(F.lit(">"), F.right(t, F.lit(END))))
-    still = rest(left.filter("length(words) >= 20"), more)
-    # a year of 0 stands for none in the citation, one of -1 for none in the catalogue
     ask_years = F.concat(F.when(F.size("years") == 0, F.array(F.lit(0))).otherwise(F.col("years")), F.array(F.lit(-1)))
     offer_years = F.when(F.col("wyear").isNull(), F.array(F.lit(-1))).otherwise(F.array(F.lit(0), F.col("wyear") - 1, F.col("wyear"), F.col("wyear") + 1))
     ask = still.select("id", F.explode(ends(F.replace("words", F.lit(" "), F.lit("")))).alias("e"), ask_years.alias("ys")).select("id", "e", F.explode("ys").alias("y"))
-    offer = w.select("work", "wwords", "family", "wyear", F.explode(ends(full)).alias("e"), offer_years.alias("ys")).withColumn("y", F.explode("ys")).drop("ys")
-    near = ask.join(offer, ["e", "y"]).select("id", "work", "wwords", "family", "wyear").dropDuplicates(["id", "work"])
-    near = near.join(still.select("id", "item", "words", "people", "years"), "id").withColumn("common", common).filter("common > 0")
-    near = map_columns(near.select("id", "item", "work", "words", "wwords", "common", _near_year().alias("near")), _same, "id long, item long, work long, common int, near int")
+    offer = w.select("work", F.explode(ends(full)).alias("e"), offer_years.alias("ys")).select("work", "e", F.explode("ys").alias("y"))
+    slot = F.xxhash64("e", "y").alias("slot")
+    pairs = ask.select("id", slot).join(offer.select("work", slot), "slot").select("id", "work").distinct()
+    known_by = pairs.join(w.select("work", "family", "wyear"), "work").join(left, "id").withColumn("common", common).filter("common > 0")
+    near = known_by.select("id", "item", "work", "common", _near_year().alias("near")).join(c.select("id", "words"), "id").join(w.select("work", "wwords"), "work")
+    near = map_columns(near.select("id", "item", "work", "words", "wwords", "common", "near"), _same, "id long, item long, work long, common int, near int")
     done = done.unionByName(more).unionByName(cut_lineage(_only_one(near, 8)))
 
     # rule 9: other records of an item, where they agree
     agreed = done.filter("item is not null").groupBy("item").agg(F.min("work").alias("work"), F.max("work").alias("top")).filter("work = top").select("item", "work")
-    others = rest(left.select("id", "item", "words", (F.size("inside") > 0).alias("line")), done).join(agreed, "item").join(w.select("work", "wwords"), "work")
+    others = rest(left.select("id", "item"), done).join(agreed, "item").join(c.select("id", "words", (F.size("inside") > 0).alias("line")), "id").join(w.select("work", "wwords"), "work")
     fits = F.col("words").isNull() | F.col("line") & (F.levenshtein("words", "wwords", 6) >= 0) | (F.levenshtein("words", "wwords", 4) >= 0)
     return done.select("id", "item", "work", "rule").unionByName(others.filter(fits).select("id", "item", "work", F.lit(9).alias("rule")))
 

@@ -44,6 +44,8 @@ _SUFFIXES = frozenset("jr sr ii iii iv phd md prof dr".split())
 
 
 def fold(s: str) -> str:
+    if s.isascii():
+        return s.lower()
     return "".join(c for c in unicodedata.normalize("NFKD", s.translate(_FOLD)) if not unicodedata.combining(c)).lower()
 
 
