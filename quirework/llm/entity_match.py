@@ -27,13 +27,16 @@ PRIOR_N, PRIOR = 20, 0.9
 YEARS = re.compile(r"(?<!\d)(1[5-9]\d\d|20\d\d)(?!\d)")
 
 
+_NOT_TITLE, _TITLE_WORD = re.compile(r"<[^<>]{1,40}>|\\[a-zA-Z]+\s*(?=\{)|[{}’'‐-]"), re.compile("[a-z0-9]+")
+
+
 def title_words(title: str) -> str:
     """Words of a title without case, accents, braces, entities, markup and line-break hyphens, joined by blanks."""
     t = html.unescape(title) if "&" in title else title
-    t = re.sub(r"-\s*\n\s*", "", t)
-    t = re.sub(r"<[^<>]{1,40}>|\\[a-zA-Z]+\s*(?=\{)|[{}’'‐-]", "", t)
-    t = fold(t)
-    return " ".join(re.findall(r"[a-z0-9]+", t.replace("&", " and ") if "&" in t else t))
+    if "\n" in t:
+        t = re.sub(r"-\s*\n\s*", "", t)
+    t = fold(_NOT_TITLE.sub("", t))
+    return " ".join(_TITLE_WORD.findall(t.replace("&", " and ") if "&" in t else t))
 
 
 def title_key(title: str) -> str:
@@ -150,7 +153,7 @@ def _key(words: str) -> int:
 
 
 _RAW_NAMES = re.compile(r"(?<![a-z])[a-z]{4,}(?![a-z])")
-_JOINED = str.maketrans("", "", "’'‐-")
+_JOINTS = re.compile("[’'‐-]")
 
 
 def _read_citations():
@@ -163,7 +166,7 @@ def _read_citations():
             if r:
                 # names in the reference line, of which the title is no part
                 title = set(words.split())
-                people = list(dict.fromkeys([*people, *(w for w in _RAW_NAMES.findall(fold(r.translate(_JOINED))) if w not in title and w not in PARTICLES)]))
+                people = list(dict.fromkeys([*people, *(w for w in _RAW_NAMES.findall(_JOINTS.sub("", fold(r))) if w not in title and w not in PARTICLES)]))
             within = [w for w in titles_in(r) if w != words] if r else []
             out["id"].append(i)
             out["item"].append(_hash(f"{a}\x1f{b}") if a is not None and b is not None else None)

@@ -38,15 +38,17 @@ NICKNAMES = {
 #: Particles that belong to the family name after them.
 PARTICLES = frozenset("van von der den de del della di da das dos do la le ter ten zu zur vom af av bin ibn al el ben du des".split())
 _EXTRA = {"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ß": "ss", "æ": "ae", "Æ": "Ae", "œ": "oe", "Œ": "Oe", "ı": "i", "þ": "th", "ð": "d"}
-_FOLD = str.maketrans(_EXTRA)
+_SPECIAL = re.compile("[" + "".join(_EXTRA) + "]")
+_ACCENTS = re.compile("[\u0300-\u036f]")
 _NOT_PEOPLE = re.compile(r"^(?:et\.? al\.?|others|and others|anonymous|anon\.?|unknown|n/?a|none|null|et alii|collaboration|[^a-z]*)$")
 _SUFFIXES = frozenset("jr sr ii iii iv phd md prof dr".split())
 
 
 def fold(s: str) -> str:
+    """Lower case without accents."""
     if s.isascii():
         return s.lower()
-    return "".join(c for c in unicodedata.normalize("NFKD", s.translate(_FOLD)) if not unicodedata.combining(c)).lower()
+    return _ACCENTS.sub("", unicodedata.normalize("NFKD", _SPECIAL.sub(lambda m: _EXTRA[m[0]], s))).lower()
 
 
 def read_person(name: str) -> tuple[str, str, list[str], str] | None:
