@@ -72,11 +72,11 @@ def is_cut(title: str) -> bool:
 
 
 def name_tokens(names: list[str]) -> list[str]:
-    """Words of author names, three letters at least, joined over apostrophes and hyphens."""
+    """Words of author names, two letters at least, joined over apostrophes and hyphens."""
     out: dict[str, None] = {}
     for n in names:
         for w in re.split(r"[^a-z]+", re.sub(r"[’'‐-]", "", fold(n))):
-            if len(w) >= 3 and w not in PARTICLES:
+            if len(w) >= 2 and w not in PARTICLES:
                 out[w] = None
     return list(out)
 
@@ -152,7 +152,7 @@ def _key(words: str) -> int:
     return _hash(words.replace(" ", ""))
 
 
-_RAW_NAMES = re.compile(r"(?<![a-z])[a-z]{4,}(?![a-z])")
+_RAW_NAMES = re.compile(r"(?<![a-z])[a-z]{3,}(?![a-z])")
 _JOINTS = re.compile("[’'‐-]")
 
 
@@ -286,8 +286,11 @@ def match(citations: DataFrame, works: DataFrame) -> DataFrame:
 
     # rule 8: a misspelled title or one without a word, by either end of the title and the year; 0 stands for no year in the
     # citation, -1 for none in the catalogue. Candidates move as pairs of ids until an author agrees
-    still = rest(rest(c.filter("length(words) >= 20").select("id", "words", "years"), done), more)
-    ends = lambda t: F.array(F.concat(F.lit("<"), F.substring(t, 1, END)), F.concat(F.lit(">"), F.right(t, F.lit(END))))
+    still = rest(rest(c.filter("length(words) >= 14").select("id", "words", "years"), done), more)
+    # short titles have short ends, so that an error in the middle leaves one alone; lengths between have both
+    pair = lambda t, n: F.array(F.concat(F.lit(f"<{n}"), F.substring(t, 1, n)), F.concat(F.lit(f">{n}"), F.right(t, F.lit(n))))
+    none = F.expr("cast(array() as array<string>)")
+    ends = lambda t: F.concat(F.when(F.length(t) < 2 * END + 2, pair(t, END // 2)).otherwise(none), F.when(F.length(t) >= 2 * END - 6, pair(t, END)).otherwise(none))
     ask_years = F.concat(F.when(F.size("years") == 0, F.array(F.lit(0))).otherwise(F.col("years")), F.array(F.lit(-1)))
     offer_years = F.when(F.col("wyear").isNull(), F.array(F.lit(-1))).otherwise(F.array(F.lit(0), F.col("wyear") - 1, F.col("wyear"), F.col("wyear") + 1))
     ask = still.select("id", F.explode(ends(F.replace("words", F.lit(" "), F.lit("")))).alias("e"), ask_years.alias("ys")).select("id", "e", F.explode("ys").alias("y"))

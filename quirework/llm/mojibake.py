@@ -269,7 +269,7 @@ def search(words: tuple[str, ...]) -> tuple[float, tuple[str, ...], list[str]]:
             if (h := hash(nxt)) in visited:
                 continue
             visited.add(h)
-            if (d := cost(nxt) + STEP) < c - 0.05:
+            if (d := cost(nxt) + STEP * (len(path) + 1)) < c - 0.05:
                 heapq.heappush(heap, (d, len(visited), nxt, [*path, op]))
                 if d < best[0] - 1e-9:
                     best = (d, nxt, [*path, op])

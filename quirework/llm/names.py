@@ -58,7 +58,7 @@ def read_person(name: str) -> tuple[str, str, list[str], str] | None:
         return None
     # capitals alone after or before a name in mixed case are initials: "Duvonosan NK"
     for m in re.finditer(r"(?<![\w.])([A-Z]{2,3})(?![\w.])", name):
-        if re.search(r"[a-z]", name) and len(re.findall(r"\w{2,}", name)) > 1:
+        if m[1].lower() not in PARTICLES and re.search(r"[a-z]", name) and len(re.findall(r"\w{2,}", name)) > 1:
             text = text.replace(m[1].lower(), " ".join(m[1].lower()), 1) if re.search(rf"(?<!\w){m[1].lower()}(?!\w)", text) else text
     text = re.sub(r"[’'‐-]", "", text)
     words = [w for w in re.split(r"[^a-z]+", text) if w and w not in _SUFFIXES]

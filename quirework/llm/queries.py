@@ -28,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": survivor.found_sql(),
         "p5_found": """
             SELECT 'ingestion_results.content' AS field_name, result_id AS row_id FROM ingestion_results, split_limits
             WHERE field_name = 'ingestion_results.content' AND length(content) > max_chars
