@@ -36,7 +36,7 @@ NICKNAMES = {
     "val": "valentin", "vicky": "victoria", "tori": "victoria", "vic": "victor", "vince": "vincent", "zack": "zachary", "zach": "zachary", "zosia": "zofia", "quin": "quentin", "jule": "julia", "gus": "august", "hank": "henry", "harry": "henry", "kim": "kimberly", "manu": "manuel", "pepe": "jose", "nacho": "ignacio", "lola": "dolores",
 }
 #: Particles that belong to the family name after them.
-PARTICLES = frozenset("van von der den de del della di da das dos do la le ter ten zu zur vom af av bin ibn al el ben du des".split())
+PARTICLES = frozenset("van von der den de del della di da das dos do la le ter ten zu zur vom af av bin ibn al el du des".split())
 _EXTRA = {"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ß": "ss", "æ": "ae", "Æ": "Ae", "œ": "oe", "Œ": "Oe", "ı": "i", "þ": "th", "ð": "d"}
 _SPECIAL = re.compile("[" + "".join(_EXTRA) + "]")
 _ACCENTS = re.compile("[\u0300-\u036f]")
