@@ -24,7 +24,7 @@ def with_stubs(fetched: DataFrame) -> DataFrame:
 
 def ingest(pages: DataFrame, options: PL.Options = PL.Options(), counted: DataFrame | None = None, key: str = "doc_id", html: str = "html") -> DataFrame:
     """(doc_id, title, summary, sections_tree, content, content_references, content_appendix, sha256)."""
-    t = PL.convert(pages, key, html, options)
+    t = PL.stored(PL.convert(pages, key, html, options))
     out = PL.summary(t, counted).join(PL.to_markdown(t), "doc_id", "left").join(PL.content_fingerprint(t), "doc_id", "left")
     return t.docs.select("doc_id", "title").join(out, "doc_id")
 

@@ -103,9 +103,20 @@ def convert(pages: DataFrame, key: str = "doc_id", html: str = "html", options:
     return from_parsed(P.parse_pages(pages, key, html), options).transform(*DEFAULT)
 
 
+def _written(t: Tables) -> DataFrame:
+    """Blocks with md."""
+    return t.blocks if "md" in t.blocks.columns else M.block_markdown(t.blocks, t.options.anchors, linked_citations=t.options.anchors)
+
+
+def stored(t: Tables) -> Tables:
+    """The same tables, with each block's Markdown, stored for several outputs to read."""
+    keep = ["doc_id", "region", "sec_pos", "pos", "order", "kind", "indent", "text", "md", "images"]
+    return Tables(t.docs, cut_lineage(t.sections), cut_lineage(_written(t).select(*keep)), t.options)
+
+
 def to_markdown(t: Tables) -> DataFrame:
     """(doc_id, content, content_references, content_appendix)."""
-    md = M.document_markdown(t.sections, M.block_markdown(t.blocks, t.options.anchors, linked_citations=t.options.anchors), t.options.anchors)
+    md = M.document_markdown(t.sections, _written(t), t.options.anchors)
     part = lambda p: F.max(F.when(F.col("part") == p, F.col("markdown")))
     return md.groupBy("doc_id").agg(part("main").alias("content"), part("references").alias("content_references"), part("appendix").alias("content_appendix"))
 
@@ -131,7 +142,7 @@ def to_json(t: Tables, mode: str = "document") -> DataFrame:
     meta = F.struct(F.lit("2.0").alias("schema_version"), "title", F.col("authors.name").alias("authors"), "submission_date", "abstract")
     if mode == "meta":
         return t.docs.select("doc_id", F.to_json(meta, {"ignoreNullFields": "false"}).alias("json"))
-    b = M.block_markdown(t.blocks)
+    b = _written(t)
     ident = G.block_ids(F.coalesce("struct_id", "region"), F.col("order"), F.col("kind"))
     cols = [ident.alias("id"), F.col("kind").alias("type"), F.col("struct_id").alias("section_id"), F.col("order").alias("order_index"), F.col("text").alias("text_plain")]
     cols += [F.col("md").alias("text_md")] if mode != "document" else []
@@ -150,6 +161,6 @@ def to_graph(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 def content_fingerprint(t: Tables) -> DataFrame:
     """(doc_id, sha256) over the abstract's and each section's Markdown in order."""
-    b = M.block_markdown(t.blocks)
+    b = _written(t)
     parts_of = b.groupBy("doc_id", F.coalesce("sec_pos", F.lit(-1)).alias("s")).agg(F.array_join(F.sort_array(F.collect_list(F.struct("order", "md")))["md"], "\n\n").alias("md"))
     return parts_of.groupBy("doc_id").agg(T.fingerprint(F.sort_array(F.collect_list(F.struct("s", "md")))["md"]).alias("sha256"))
