@@ -148,8 +148,8 @@ def _tokens_of(name: str) -> tuple[str, ...]:
     return tuple(name_tokens([name]))
 
 
-def _key(words: str) -> int:
-    return _hash(words.replace(" ", ""))
+def _key(words: Column) -> Column:
+    return F.xxhash64(F.replace(words, F.lit(" "), F.lit("")))
 
 
 _RAW_NAMES = re.compile(r"(?<![a-z])[a-z]{3,}(?![a-z])")
@@ -158,7 +158,7 @@ _JOINTS = re.compile("[’'‐-]")
 
 def _read_citations():
     def f(ids: list, items_a: list, items_b: list, titles: list, years: list, authors: list, raws: list) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("id", "item", "key", "words", "inside", "cuts", "people", "names", "years")}
+        out: dict[str, list] = {k: [] for k in ("id", "item", "words", "lines", "cuts", "people", "names", "years")}
         for i, a, b, t, y, au, r in zip(ids, items_a, items_b, titles, years, authors, raws):
             cut = bool(t) and is_cut(t)
             words = title_words(t) if t and not cut else ""
@@ -170,10 +170,9 @@ def _read_citations():
             within = [w for w in titles_in(r) if w != words] if r else []
             out["id"].append(i)
             out["item"].append(_hash(f"{a}\x1f{b}") if a is not None and b is not None else None)
-            out["key"].append(_key(words) if words else None)
-            # for records without a title, the likeliest one in the reference line
-            out["words"].append(words or max(within, key=len, default="") or None)
-            out["inside"].append([_key(w) for w in within])
+            out["words"].append(words or None)
+            # the longest first, the likeliest title of a record without one
+            out["lines"].append(sorted(within, key=len, reverse=True))
             out["cuts"].append(cut_titles(t if cut else "", r if r and ("..." in r or "…" in r) else ""))
             out["people"].append([_who(p) for p in people])
             out["names"].append(people if words and not r else [])
@@ -185,7 +184,7 @@ def _read_citations():
 
 def _same():
     def f(ids: list, items: list, works: list, a: list, b: list, common: list, near: list) -> dict[str, list]:
-        keep = [k for k, (x, y) in enumerate(zip(a, b)) if same_title(x, y)]
+        keep = [k for k, (x, y) in enumerate(zip(a, b)) if any(same_title(t, y) for t in x)]
         return {n: [v[k] for k in keep] for n, v in (("id", ids), ("item", items), ("work", works), ("common", common), ("near", near))}
 
     return f
@@ -195,7 +194,7 @@ def _read_works():
     def f(ids: list, titles: list, authors: list, years: list) -> dict[str, list]:
         words = [title_words(t) if t else "" for t in titles]
         people = [family_names([x for x in a or [] if x]) for a in authors]
-        return {"work": ids, "wwords": words, "wkey": [_key(w) for w in words], "family": [[_who(p) for p in f] for f in people], "fnames": people, "wyear": years}
+        return {"work": ids, "wwords": words, "family": [[_who(p) for p in f] for f in people], "fnames": people, "wyear": years}
 
     return f
 
@@ -232,10 +231,10 @@ def match(citations: DataFrame, works: DataFrame) -> DataFrame:
     """
     c = cut_lineage(map_columns(
         citations.select("citation_id", "arxiv_id", "cite_key", "title", "pub_year", "authors", "raw_text"), _read_citations,
-        "id long, item long, key long, words string, inside array<long>, cuts array<string>, people array<int>, names array<string>, years array<int>",
+        "id long, item long, words string, lines array<string>, cuts array<string>, people array<int>, names array<string>, years array<int>",
     ))
-    w = map_columns(works.select("work_id", "title", "authors", F.col("pub_year").cast("int")), _read_works, "work long, wwords string, wkey long, family array<int>, fnames array<string>, wyear int")
-    w = cut_lineage(w.filter("wwords != ''"))
+    w = map_columns(works.select("work_id", "title", "authors", F.col("pub_year").cast("int")), _read_works, "work long, wwords string, family array<int>, fnames array<string>, wyear int")
+    w = cut_lineage(w.filter("wwords != ''").withColumn("wkey", _key(F.col("wwords"))))
     shared = w.groupBy("wkey").agg(F.count("*").alias("k"))
     known = w.join(shared, "wkey")
     alone = known.filter("k = 1").select("work", "wkey", "family", "wyear", (F.length("wwords") >= 24).alias("tells"))
@@ -247,7 +246,7 @@ def match(citations: DataFrame, works: DataFrame) -> DataFrame:
     rest = lambda df, d: df.join(d.select("id"), "id", "left_anti")
 
     # rules 1, 2, 6, 7: by title. A title of several works joins with an author only
-    titled = c.filter("key is not null").select("id", "item", F.col("key").alias("wkey"), "people", "years")
+    titled = c.filter("words is not null").select("id", "item", _key(F.col("words")).alias("wkey"), "people", "years")
     weak = F.when(F.col("tells") & (common == 0), F.when(F.size("people") == 0, 6).otherwise(7))
     one = titled.join(alone, "wkey").select("id", "item", "work", common.alias("common"), _near_year().alias("near"), weak.alias("weak"))
     many = titled.join(generic, "wkey", "left_semi").withColumn("who", F.explode("people")).join(several, ["wkey", "who"])
@@ -257,9 +256,9 @@ def match(citations: DataFrame, works: DataFrame) -> DataFrame:
     done = cut_lineage(done.unionByName(_only_one(rest(hits, done).filter("common > 0 and near = 0 or common > 1"), 2)))
 
     # rules 3, 4: by a title in the reference line; only keys move until a work is found
-    open_ids = cut_lineage(rest(c.select("id", "item", "inside", "people", "years"), done))
+    open_ids = cut_lineage(rest(c.select("id", "item", "words", "lines", "people", "years"), done))
     left = open_ids.select("id", "item", "people", "years")
-    keys = open_ids.select("id", F.explode("inside").alias("wkey"))
+    keys = open_ids.select("id", F.explode(F.transform("lines", _key)).alias("wkey"))
     lone = keys.join(alone.select("wkey", "work"), "wkey").select("id", "work").join(left, "id").join(w.select("work", "family", "wyear"), "work")
     lone = lone.select("id", "item", "work", common.alias("common"), _near_year().alias("near"))
     dup = keys.join(generic, "wkey", "left_semi").join(left, "id").withColumn("who", F.explode("people")).join(several, ["wkey", "who"])
@@ -285,27 +284,30 @@ def match(citations: DataFrame, works: DataFrame) -> DataFrame:
     more = cut_lineage(more.unionByName(rest(late, more)))
 
     # rule 8: a misspelled title or one without a word, by either end of the title and the year; 0 stands for no year in the
-    # citation, -1 for none in the catalogue. Candidates move as pairs of ids until an author agrees
-    still = rest(rest(c.filter("length(words) >= 14").select("id", "words", "years"), done), more)
+    # citation, -1 for none in the catalogue. What stands in the reference line is tried piece by piece, beside the record's
+    # own title. Candidates move as pairs of ids until an author agrees
+    texts = open_ids.select("id", F.filter(F.concat(F.array("words"), "lines"), lambda t: F.length(t) >= 14).alias("texts"), "years").filter("size(texts) > 0")
+    still = rest(texts, more).select("id", F.explode("texts").alias("t"), "years")
     # short titles have short ends, so that an error in the middle leaves one alone; lengths between have both
     pair = lambda t, n: F.array(F.concat(F.lit(f"<{n}"), F.substring(t, 1, n)), F.concat(F.lit(f">{n}"), F.right(t, F.lit(n))))
     none = F.expr("cast(array() as array<string>)")
     ends = lambda t: F.concat(F.when(F.length(t) < 2 * END + 2, pair(t, END // 2)).otherwise(none), F.when(F.length(t) >= 2 * END - 6, pair(t, END)).otherwise(none))
     ask_years = F.concat(F.when(F.size("years") == 0, F.array(F.lit(0))).otherwise(F.col("years")), F.array(F.lit(-1)))
     offer_years = F.when(F.col("wyear").isNull(), F.array(F.lit(-1))).otherwise(F.array(F.lit(0), F.col("wyear") - 1, F.col("wyear"), F.col("wyear") + 1))
-    ask = still.select("id", F.explode(ends(F.replace("words", F.lit(" "), F.lit("")))).alias("e"), ask_years.alias("ys")).select("id", "e", F.explode("ys").alias("y"))
+    ask = still.select("id", F.explode(ends(F.replace("t", F.lit(" "), F.lit("")))).alias("e"), ask_years.alias("ys")).select("id", "e", F.explode("ys").alias("y"))
     offer = w.select("work", F.explode(ends(full)).alias("e"), offer_years.alias("ys")).select("work", "e", F.explode("ys").alias("y"))
     slot = F.xxhash64("e", "y").alias("slot")
     pairs = ask.select("id", slot).join(offer.select("work", slot), "slot").select("id", "work").distinct()
     known_by = pairs.join(w.select("work", "family", "wyear"), "work").join(left, "id").withColumn("common", common).filter("common > 0")
-    near = known_by.select("id", "item", "work", "common", _near_year().alias("near")).join(c.select("id", "words"), "id").join(w.select("work", "wwords"), "work")
-    near = map_columns(near.select("id", "item", "work", "words", "wwords", "common", "near"), _same, "id long, item long, work long, common int, near int")
+    near = known_by.select("id", "item", "work", "common", _near_year().alias("near")).join(texts.select("id", "texts"), "id").join(w.select("work", "wwords"), "work")
+    near = map_columns(near.select("id", "item", "work", "texts", "wwords", "common", "near"), _same, "id long, item long, work long, common int, near int")
     done = done.unionByName(more).unionByName(cut_lineage(_only_one(near, 8)))
 
     # rule 9: other records of an item, where they agree
     agreed = done.filter("item is not null").groupBy("item").agg(F.min("work").alias("work"), F.max("work").alias("top")).filter("work = top").select("item", "work")
-    others = rest(left.select("id", "item"), done).join(agreed, "item").join(c.select("id", "words", (F.size("inside") > 0).alias("line")), "id").join(w.select("work", "wwords"), "work")
-    fits = F.col("words").isNull() | F.col("line") & (F.levenshtein("words", "wwords", 6) >= 0) | (F.levenshtein("words", "wwords", 4) >= 0)
+    others = rest(left.select("id", "item"), done).join(agreed, "item").join(open_ids.select("id", F.coalesce("words", F.get("lines", F.lit(0))).alias("t"), "lines"), "id").join(w.select("work", "wwords"), "work")
+    piece = F.exists("lines", lambda t: (F.length(t) >= 14) & (F.levenshtein(t, "wwords", 6) >= 0))
+    fits = F.col("t").isNull() | (F.size("lines") > 0) & (F.levenshtein("t", "wwords", 6) >= 0) | (F.levenshtein("t", "wwords", 4) >= 0) | piece
     return done.select("id", "item", "work", "rule").unionByName(others.filter(fits).select("id", "item", "work", F.lit(9).alias("rule")))
 
 

@@ -116,6 +116,20 @@ def test_match_rules(spark):
     assert E.match(c.limit(0), works).count() == 0 and E.match(c, works.limit(0)).count() == 0
 
 
+def test_match_misspelled_in_any_segment(spark):
+    works = spark.createDataFrame([(1, "Robust Hypergraph Methods for Active Lattice Models", ["Tehagus, Dmitri", "Dobez, J."], 2017), (2, "Quiet Turbine Glaciers", ["Poe, Max"], 2010)], "work_id long, title string, authors array<string>, pub_year int")
+    cites = [
+        # the longest segment is the title with venue, volume and year in front; the quoted one with the names after it; a title of another kind beside the line
+        (1, "a", "k1", None, "2017", None, "D. Tehagus and J. Dobez, Letters in Orbital Dynamics 16, 90 (2017): Robust Hypergraph Methods for Active Latice Models"),
+        (2, "a", "k2", "Letters in Orbital Dynamics", "2017", None, "D. Tehagus and J. Dobez (2017). Robust Hypergraph Methods for Active Lattcie Models. Letters in Orbital Dynamics 16, 90."),
+        (3, "a", "k3", None, "2017", None, "D. Tehagus, Letters in Orbital Dynamics 16, 90 (2017): Robust Hypergraph Methods for Active Latice Models Revisited"),
+        # an item's other record, the title misspelled twice after a longer segment
+        (4, "a", "k4", "Quiet Turbine Glaciers", "2010", ["Max Poe"], None), (5, "a", "k4", None, "2010", None, "M. Poe, Transactions on Computational Polymers and Orbital Dynamics 16, 90 (2010): Qiet Turbine Galciers"),
+    ]
+    c = spark.createDataFrame(cites, "citation_id long, arxiv_id string, cite_key string, title string, pub_year string, authors array<string>, raw_text string")
+    assert {r.id: (r.work, r.rule) for r in E.match(c, works).collect()} == {1: (1, 8), 2: (1, 8), 4: (2, 1), 5: (2, 9)}
+
+
 def test_plan_slots():
     r = random.Random(3)
     for _ in range(40):
