@@ -2,7 +2,8 @@
 
 HTML is read into a small DOM. For every node the composite text density (Sun et al., SIGIR 2011) sets its characters
 against its tags, adjusted by the share that links have; the subtree with the largest sum of child densities is the
-content, and ancestors' siblings stay only if they reach the least density on the path from the body to it. LaTeX and
+content, and its siblings and its ancestors' stay only if they reach the least density on the path from the body to it;
+what is left out is still searched for foreign markup. LaTeX and
 Markdown are read by their own rules. What is left as visible text is searched for markup of the other formats, which is
 converted too and reported. One narrow Python stage, no shuffle.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections.abc import Set
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -134,32 +136,57 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
-def content_root(root: Node) -> tuple[Node, float]:
-    """The subtree with the largest density sum, and the least density on the path to it.
+def content_root(root: Node) -> tuple[list[Node], float, list[Node]]:
+    """All elements, the least density on the way from the body to the subtree with the largest density sum, and the path from the root to that.
 
-    Among equals the outermost one. A fragment without a body is its own body.
+    Every node of the body can be it; among equals the outermost one. A fragment without a body is its own body.
     """
     order = _measure(root)
     body = next((x for x in order if x.tag == "body"), root)
-    best, path = body, [body]
-    # the best node, found from the top so that an ancestor wins a tie
-    todo = [(body, (body,))]
+    over = {id(k): x for x in order for k in x.kids if k.__class__ is Node}
+    # from the top, so that an ancestor wins a tie
+    best, todo = body, [body]
     while todo:
-        x, way = todo.pop()
-        if x.total > best.total and x.chars >= 0.5 * body.chars:
-            best, path = x, way
-        todo += [(k, (*way, k)) for k in x.kids if k.__class__ is Node and k.chars >= 0.5 * body.chars and k.chars]
-    return best, min((x.density for x in path), default=0.0)
+        x = todo.pop()
+        if x.total > best.total:
+            best = x
+        todo += [k for k in reversed(x.kids) if k.__class__ is Node and k.tag not in UNSEEN]
+    path = [best]
+    while path[-1] is not root:
+        path.append(over[id(path[-1])])
+    path.reverse()
+    return order, min(x.density for x in path[next(i for i, x in enumerate(path) if x is body) :]), path
 
 
 _PAGE_PARTS = frozenset("nav footer aside header".split())
+#: Elements that stay beside the content whatever their density: headings, code, formulas, and what has no text.
+_KEPT = frozenset("h1 h2 h3 h4 h5 h6 pre textarea code math br hr img".split())
+
+
+def _boilerplate(order: list[Node], threshold: float, path: list[Node]) -> set[int]:
+    """Siblings of the content and of its ancestors that fall below the threshold, and a page's nav, footer, aside and header that do.
+
+    An inline element in running text isn't cut out of it. A fragment that is one section or article is content that
+    somebody has picked already: it has no siblings to drop.
+    """
+    on_path = {id(x) for x in path}
+    out = {id(x) for x in order if x.tag in _PAGE_PARTS and x.density < threshold and id(x) not in on_path} if len(path) > 1 else set()
+    top = [k for k in path[0].kids if k.__class__ is Node or not k.isspace()]
+    if len(top) == 1 and top[0].__class__ is Node and top[0].tag in ("section", "article"):
+        return out
+    for x in path[:-1]:
+        running = any(k.__class__ is str and not k.isspace() for k in x.kids)
+        out.update(id(k) for k in x.kids if k.__class__ is Node and id(k) not in on_path and k.density < threshold and k.tag not in _KEPT and (k.tag in BLOCK or not running))
+    return out
 
 
-def _rendered(root: Node, main: Node, threshold: float, texts: list[str]) -> str:
-    """Text of the content with its structure; visible prose is also appended to `texts`, piece by piece."""
+def _rendered(root: Node, texts: list[str], boilerplate: Set[int] = frozenset()) -> str:
+    """Text of a node with its structure, without boilerplate.
+
+    Visible prose, also that of boilerplate, is also appended to `texts`, piece by piece.
+    """
     out: list[str] = []
     lists: list[list] = []
-    in_path = _ancestors(root, main)
 
     def block() -> None:
         while out and out[-1] == " ":
@@ -190,8 +217,8 @@ def _rendered(root: Node, main: Node, threshold: float, texts: list[str]) -> str
         tag = x.tag
         if tag in UNSEEN:
             continue
-        # boilerplate beside the content, if it falls below the threshold
-        if tag in _PAGE_PARTS and main is not root and id(x) not in in_path and x.density < threshold:
+        if id(x) in boilerplate:
+            _rendered(x, texts)
             continue
         if tag == "br":
             out.append("\n")
@@ -245,16 +272,6 @@ def _rendered(root: Node, main: Node, threshold: float, texts: list[str]) -> str
     return re.sub(r"[ \t]+\n", "\n", re.sub(r"\n{3,}", "\n\n", "".join(out))).strip()
 
 
-def _ancestors(root: Node, main: Node) -> set[int]:
-    todo: list[tuple[Node, tuple]] = [(root, (id(root),))]
-    while todo:
-        x, way = todo.pop()
-        if x is main:
-            return set(way)
-        todo += [(k, (*way, id(k))) for k in x.kids if k.__class__ is Node and k.chars >= main.chars]
-    return {id(root)}
-
-
 def _text_of(x: Node) -> str:
     out, todo = [], [x]
     while todo:
@@ -286,9 +303,9 @@ def _table(x: Node, texts: list[str]) -> str:
                 texts.append(html.unescape(k))
                 rows.append([_SPACES.sub(" ", html.unescape(k)).strip()])
         elif k.tag == "tr":
-            rows.append([_rendered(c, c, 0.0, texts).replace("\n", " ").replace("|", "\\|") for c in k.kids if c.__class__ is Node])
+            rows.append([_rendered(c, texts).replace("\n", " ").replace("|", "\\|") for c in k.kids if c.__class__ is Node])
         elif k.tag in ("td", "th"):
-            rows.append([_rendered(k, k, 0.0, texts).replace("\n", " ").replace("|", "\\|")])
+            rows.append([_rendered(k, texts).replace("\n", " ").replace("|", "\\|")])
         else:
             todo += reversed(k.kids)
     width = max(map(len, rows), default=0)
@@ -395,9 +412,8 @@ def clean(text: str, own: str) -> tuple[str, list[str]]:
     """(clean text, other formats whose markup was found) of one text of the format `own`."""
     if own == "html":
         root = parse_html(text)
-        main, threshold = content_root(root)
         seen: list[str] = []
-        out = _rendered(root, main, threshold, seen)
+        out = _rendered(root, seen, _boilerplate(*content_root(root)))
         prose = "\n".join(seen)
         kinds = residue(prose, ())
         if kinds and ("$" in prose or "\\" in prose):

@@ -69,6 +69,24 @@ def test_clean_text_keeps_structure():
     assert K.clean("<div>" * 2000 + "x", "html")[0] == "x"
 
 
+@pytest.mark.parametrize("part", ["div", "ul", "section", "table", "nav"])
+def test_content_is_selected(part):
+    inner = {"ul": "<li>{}</li>", "table": "<tr><td>{}</td></tr>"}.get(part, "<span>{}</span>")
+    menu = f"<{part}>" + "".join(inner.format(f"<a href='#'>menu{k}</a>") for k in range(9)) + f"</{part}>"
+    paragraphs = "".join(f"<p>{'real text ' * 30}{k}</p>" for k in range(5))
+    page = f"<html><body>{menu}<h1>Head</h1><div><div class='main'>{paragraphs}</div>{menu}</div><p>{'beside it ' * 60}</p>{menu}</body></html>"
+    text = K.clean(page, "html")[0]
+    assert "menu" not in text and text.count("real text") == 150 and text.count("beside it") == 60 and "# Head" in text
+    # markup beside the content is still found
+    assert K.clean(page.replace("menu3", "**menu**"), "html")[1] == ["markdown"]
+
+
+def test_section_fragments_stay_whole():
+    section = "<section><h2>T</h2><p>Short one.</p><figure><img src='a.png'><figcaption>" + "caption " * 40 + "</figcaption></figure><ul><li>x</li></ul><p>End.</p></section>"
+    text = K.clean(section, "html")[0]
+    assert all(x in text for x in ("## T", "Short one.", "caption", "- x", "End."))
+
+
 def test_clean_markup_frame(spark):
     df = spark.createDataFrame([(1, "HTML ", "<p>a **b**"), (2, None, None), (3, "odd", "x"), (3, "odd", "x")], "text long, foreign string, row_id string")
     out = K.clean_markup({"f": df}).collect()
