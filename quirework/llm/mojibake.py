@@ -223,7 +223,7 @@ _SWAPS = [
 
 def _unescape(w: str) -> str:
     w = html.unescape(w)
-    w = re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), w)
+    w = re.sub(r"\\(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2}))", lambda m: chr(int(m[1] or m[2], 16)), w)
     try:
         return re.sub(r"((?:[=%][0-9A-F]{2})+)", lambda m: bytes.fromhex(re.sub("[=%]", "", m[1])).decode("utf-8"), w)
     except UnicodeError:
@@ -299,9 +299,30 @@ def _passage(words: tuple[str, ...]) -> tuple[bool, tuple[str, ...] | None, bool
     return bool(better or lost), state if better else None, whole
 
 
+_TOKENS = re.compile(r"[^ \t\r\n]+")
+#: UTF-8 read as quoted-printable or percent escapes, which aren't any writer's own outside addresses.
+_BYTES = re.compile(r"=[C-F][0-9A-F](?:=[89AB][0-9A-F])+|%[C-F][0-9A-F](?:%[89AB][0-9A-F])+")
+_ADDRESS = re.compile(r"[/?@&:]|^www\.")
+
+
+@lru_cache(maxsize=20_000)
+def _escaped(words: tuple[str, ...]) -> tuple[bool, tuple[str, ...] | None, bool]:
+    """As _passage, for ASCII words with escapes: garbled if what they stand for can be restored, or is UTF-8 in bytes.
+
+    An escaped letter that is plausible is markup, and one that can't be restored may be an example.
+    """
+    seen = tuple(_unescape(w) for w in words)
+    _, fixed, whole = _passage(seen)
+    raw = {w for w, u in zip(words, seen) if u != w and _BYTES.search(w) and not _ADDRESS.search(w) and not _word(u)[2]}
+    if not fixed and not raw:
+        return False, None, False
+    out = tuple(x if x != u or w in raw else w for w, u, x in zip(words, seen, fixed or seen))
+    return True, out, whole or not fixed
+
+
 def repair(text: str) -> tuple[bool, bool, str]:
     """(garbled, restored in full, text with what could be restored)."""
-    if text.isascii() and "?" not in text and "\\u" not in text and "=" not in text and "%" not in text:
+    if text.isascii() and not any(c in text for c in "?\\=%&"):
         return False, False, text
     masked = _EXAMPLES.sub(lambda m: "".join(" " if c != "\n" else c for c in m[0]), text)
     garbled = whole = False
@@ -315,9 +336,11 @@ def repair(text: str) -> tuple[bool, bool, str]:
                 groups = [spans[k : k + MAX_WORDS] for k in range(0, len(spans), MAX_WORDS)]
             else:
                 groups = [spans] if spans else []
-            for group in groups:
+            # the others are ASCII, and of interest for their escapes only
+            plain = [m for m in _TOKENS.finditer(line) if m[0].isascii() and _ESCAPES.search(m[0]) and not _unescape(m[0]).isascii()] if _ESCAPES.search(line) else []
+            for group, look in [*((g, _passage) for g in groups), *((plain[k : k + MAX_WORDS], _escaped) for k in range(0, len(plain), MAX_WORDS))]:
                 words = tuple(dict.fromkeys(m[0] for m in group))
-                bad, fixed, whole = _passage(words)
+                bad, fixed, whole = look(words)
                 if bad:
                     garbled = True
                     whole_all &= whole
@@ -328,7 +351,7 @@ def repair(text: str) -> tuple[bool, bool, str]:
             garbled, whole_all = True, False
         at += len(line) + 1
     out, k = [], 0
-    for a, b, w in edits:
+    for a, b, w in sorted(edits):
         out += [text[k:a], w]
         k = b
     return garbled, garbled and whole_all, "".join([*out, text[k:]]) if edits else text
@@ -360,7 +383,7 @@ def mend_texts(df: DataFrame, row_id: str = "doc_id", text: str = "text") -> Dat
     rows; repeated ids give a row each; other columns aren't read.
     """
     # letters only lose or gain by decoding beyond ASCII, but for escapes and question marks
-    suspect = F.col("text").rlike(r"[^\x00-\x7f]|\p{L}\?\p{L}|\\u[0-9a-fA-F]{4}|=[C-F][0-9A-F]=|%[C-F][0-9A-F]%|&#?\w+;")
+    suspect = F.col("text").rlike(r"[^\x00-\x7f]|\p{L}\?\p{L}|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|=[C-F][0-9A-F]=|%[C-F][0-9A-F]%|&#?\w+;")
     rows = df.select(F.col(row_id).alias("id"), F.col(text).alias("text")).filter(suspect)
     return map_columns(rows, _mend, "id long, restored boolean, text string").filter(F.col("text").isNotNull())
 

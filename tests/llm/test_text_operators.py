@@ -112,6 +112,18 @@ def test_encodings_come_back(case):
     assert B.repair(text)[0] is False
 
 
+@pytest.mark.parametrize("word", ["caf&Atilde;&copy;", "caf&#195;&#169;", "caf\\u00c3\\u00a9", "caf\\xc3\\xa9", "caf=C3=A9", "caf%C3%A9"])
+def test_escaped_words_come_back(spark, word):
+    assert B.repair(f"The {word} is open.") == (True, True, "The café is open.")
+    assert B.repair(f"Ünï: the {word} is open.")[2] == "Ünï: the café is open."
+    assert [r.text for r in B.mend_texts(spark.createDataFrame([(1, f"The {word} is open.")], "doc_id long, text string")).collect()] == ["The café is open."]
+
+
+@pytest.mark.parametrize("text", ["The caf&eacute; and R&amp;D", "a \\u00e9 and \\xe9", "see www.x.org/caf%C3%A9 or https://x.org/caf%C3%A9", "x=C3 and 5 %", "It is replaced by \\ufffd.", "shows `caf=C3=A9`"])
+def test_sound_escapes_stay(text):
+    assert B.repair(text) == (False, False, text)
+
+
 @pytest.mark.parametrize("text", ["naïve café costs 3 €", "TÂRGU LUNCÂ, CÂMPU", "AVALIAÇÃO: a função", "Þórsvík and Ðalur stations", "shows `â€™` or \"Ã©\"", "At 6\xa0µm it is ≤ 3.0\xa0Å…", "Is it? Yes: http://x.org/a?b=c", "", "?"])
 def test_sound_text_stays(text):
     assert B.repair(text) == (False, False, text)
