@@ -175,7 +175,8 @@ def _read_citations():
             out["lines"].append(sorted(within, key=len, reverse=True))
             out["cuts"].append(cut_titles(t if cut else "", r if r and ("..." in r or "…" in r) else ""))
             out["people"].append([_who(p) for p in people])
-            out["names"].append(people if words and not r else [])
+            # shorter ones are never a misspelled name's
+            out["names"].append([p for p in people if len(p) >= 4] if words else [])
             out["years"].append(_years(y, r)[1])
         return out
 
@@ -237,7 +238,7 @@ def match(citations: DataFrame, works: DataFrame) -> DataFrame:
     w = cut_lineage(w.filter("wwords != ''").withColumn("wkey", _key(F.col("wwords"))))
     shared = w.groupBy("wkey").agg(F.count("*").alias("k"))
     known = w.join(shared, "wkey")
-    alone = known.filter("k = 1").select("work", "wkey", "family", "wyear", (F.length("wwords") >= 24).alias("tells"))
+    alone = known.filter("k = 1").select("work", "wkey", "family", "wyear", (F.length("wwords") >= 20).alias("tells"))
     several = known.filter("k > 1").select("work", "wkey", "wyear", "family", F.explode("family").alias("who"))
     generic = shared.filter("k > 1").select("wkey")
 

@@ -130,6 +130,16 @@ def test_match_misspelled_in_any_segment(spark):
     assert {r.id: (r.work, r.rule) for r in E.match(c, works).collect()} == {1: (1, 8), 2: (1, 8), 4: (2, 1), 5: (2, 9)}
 
 
+def test_match_misspelled_author_with_reference_line(spark):
+    works = spark.createDataFrame([(1, "A Rather Telling Title", ["Woodstock, B."], 2020)], "work_id long, title string, authors array<string>, pub_year int")
+    cites = [
+        (1, "a", "k1", "A Rather Telling Title", "2020", ["Bo Wodstock"], "B. Wodstock (2020). A Rather Telling Title. Ann. X 1, 2."), (2, "a", "k2", "A Rather Telling Title", "2020", None, "B. Woodstokc (2020). A Rather Telling Title. Ann. X 1, 2."),
+        (3, "a", "k3", "A Rather Telling Title", "2020", ["Ann Else"], "A. Else, B. Wodstock (2020). A Rather Telling Title. Ann. X 1, 2."), (4, "a", "k4", "A Rather Telling Title", "2020", ["Ann Else"], "A. Else (2020). A Rather Telling Title. Ann. X 1, 2."),
+    ]
+    c = spark.createDataFrame(cites, "citation_id long, arxiv_id string, cite_key string, title string, pub_year string, authors array<string>, raw_text string")
+    assert {r.id: r.rule for r in E.match(c, works).collect()} == {1: 7, 2: 7, 3: 7}
+
+
 def test_plan_slots():
     r = random.Random(3)
     for _ in range(40):
