@@ -14,11 +14,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Levels opened even if the inferred schema is shallower; and the most Spark is asked to plan.
-MAX_DEPTH = 64
+#: The most levels Spark is asked to plan (its analyzer gives up at 64). Records that may be deeper are opened one by one, with a queue.
+MAX_DEPTH = 16
 
 
 def parse_record(text: Column) -> Column:
@@ -60,7 +61,7 @@ def infer_paths(df: DataFrame, json_col: str) -> DataFrame:
                     value = json.loads(text)
                     if isinstance(value, str):
                         value = json.loads(value)
-                except (TypeError, ValueError, RecursionError):
+                except (TypeError, ValueError):
                     seen["", "incomplete"] += 1
                     continue
                 stack = [("", value)]
@@ -91,7 +92,7 @@ def nesting_depth(df: DataFrame, json_col: str, root: str, child: str) -> int:
     # every step into `child` is followed by another step, an element or the end
     steps = F.regexp_count("path", F.lit(rf"\.{child}(?=$|\.|\[)"))
     top = paths.agg(F.max(steps).alias("d")).first()["d"]
-    return min(MAX_DEPTH, 1 + (top if top is not None else 0))
+    return 1 + (top if top is not None else 0)
 
 
 def explode_tree(parsed: DataFrame, key: str, variant_col: str, root: str, child: str, depth: int) -> DataFrame:
@@ -124,6 +125,45 @@ def tree_nodes(variant_col: str, root: str, child: str, depth: int) -> Column:
     return F.concat(*levels)
 
 
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of any depth, as `tree_nodes` has them: (key, doc without its sections, nodes without their children)."""
+
+    def constant(name: str) -> None:
+        raise ValueError(name)
+
+    def items(v: object) -> list:
+        return v if isinstance(v, list) else [v] if isinstance(v, dict) else []
+
+    text_type = pa.string()
+    node_type = pa.struct([("node_path", text_type), ("parent_path", text_type), ("ordinal", pa.int32()), ("node", text_type)])
+    for b in batches:
+        keys, docs, trees = [], [], []
+        for key, text in zip(*[c.to_pylist() for c in b.columns]):
+            try:
+                doc = json.loads(text, parse_constant=constant)
+                if isinstance(doc, str):
+                    doc = json.loads(doc, parse_constant=constant)
+            except ValueError:
+                continue
+            if not isinstance(doc, dict):
+                continue
+            nodes, level = [], [("", items(doc.pop("sections", None)))]
+            while level:
+                below = []
+                for parent, listed in level:
+                    for i, node in enumerate(listed):
+                        if isinstance(node, dict):
+                            path = f"{parent}.{i}" if parent else str(i)
+                            below.append((path, items(node.pop("children", None))))
+                            nodes.append({"node_path": path, "parent_path": parent, "ordinal": i, "node": json.dumps(node)})
+                level = below
+            keys.append(key)
+            docs.append(json.dumps(doc))
+            trees.append(nodes)
+        columns = [pa.array(keys, b.schema.field(0).type), pa.array(docs, text_type), pa.array(trees, pa.list_(node_type))]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "doc", "nodes"])
+
+
 def flatten_documents(df: DataFrame, key: str = "record_id", json_col: str = "document_json") -> tuple[DataFrame, DataFrame]:
     """(sections, blocks) of exported documents of either shape, each row with its parent.
 
@@ -132,11 +172,20 @@ def flatten_documents(df: DataFrame, key: str = "record_id", json_col: str = "do
     parent_path of a block is the section it lies in, or for one listed at the top the first section with its
     section_id, or null where there is none. A record that is null, blank or cut off gives no row; an object where
     a list is expected counts as a list of one; elements that aren't objects are passed over but keep their ordinal.
-    An empty table gives two empty tables. Other columns of `df`, whatever their names, aren't read.
+    Sections may nest to any depth that a JSON reader can follow; a text beyond that is an error. An empty table gives two
+    empty tables. Other columns of `df`, whatever their names, aren't read.
     """
     depth = nesting_depth(df, json_col, "sections", "children")
-    parsed = df.select(F.col(key).alias("key"), parse_record(F.col(json_col)).alias("doc")).filter(is_object(F.col("doc")))
-    secs = parsed.select("key", "doc", tree_nodes("doc", "sections", "children", depth).alias("nodes"))
+    texts = df.select(F.col(key).alias("key"), F.col(json_col).alias("t"))
+    # at least a name for each level, if it isn't written with escapes
+    long = F.coalesce((F.regexp_count("t", F.lit("children")) >= MAX_DEPTH) | F.col("t").contains("\\u00"), F.lit(False)) if depth > MAX_DEPTH else F.lit(False)
+    parsed = texts.filter(~long).select("key", parse_record(F.col("t")).alias("doc")).filter(is_object(F.col("doc")))
+    secs = parsed.select("key", "doc", tree_nodes("doc", "sections", "children", min(depth, MAX_DEPTH)).alias("nodes"))
+    if depth > MAX_DEPTH:
+        kind = texts.schema["key"].dataType.simpleString()
+        deep = texts.filter(long).mapInArrow(_opened, f"key {kind}, doc string, nodes array<struct<node_path string, parent_path string, ordinal int, node string>>")
+        node = lambda n: F.struct(n["node_path"].alias("node_path"), n["parent_path"].alias("parent_path"), n["ordinal"].alias("ordinal"), F.try_parse_json(n["node"]).alias("node"))
+        secs = secs.unionByName(deep.select("key", F.try_parse_json("doc").alias("doc"), F.transform("nodes", node).alias("nodes")))
 
     field = lambda name, kind="string": F.try_variant_get("n.node", f"$.{name}", kind).alias(name)
     sections = secs.select("key", F.explode("nodes").alias("n")).select(

@@ -127,3 +127,30 @@ def test_graph_and_assets(spark):
     a = spark.createDataFrame([(1, 0, "b.png", "image", "b"), (1, 1, "b.png", "image", "b"), (1, 2, "c.png", "image", "b")], "doc_id int, pos int, path string, kind string, stem string")
     r = G.asset_list(a).first()
     assert [x.path for x in r.assets] == ["b.png", "c.png"] and r.stems == {"b": "c.png"}
+
+
+def test_deeper_records_than_planned(spark, monkeypatch):
+    import json
+
+    from quirework.operators import nested
+
+    def record(depth):
+        node = {"struct_id": f"s{depth}", "level": 1.5, "blocks": [{"id": f"b{depth}"}]}
+        for k in range(depth - 1, 0, -1):
+            node = {"struct_id": f"s{k}", "children": [None, node] if k % 2 else node, "blocks": {"id": f"b{k}"}}
+        return {"sections": [node], "blocks": [{"id": "top", "section_id": f"s{depth}"}, {"id": "none"}]}
+
+    rows = [(1, json.dumps(record(3))), (2, json.dumps(json.dumps(record(90)))), (3, json.dumps(record(90))[:-5]), (4, None), (5, json.dumps(record(600)))]
+    df = spark.createDataFrame(rows, "record_id long, document_json string")
+    sections, blocks = nested.flatten_documents(df)
+    got, inside = sections.collect(), blocks.collect()
+    assert {k: sum(r.record_id == k for r in got) for k in range(1, 6)} == {1: 3, 2: 90, 3: 0, 4: 0, 5: 600}
+    assert {k: sum(r.record_id == k for r in inside) for k in range(1, 6)} == {1: 5, 2: 92, 3: 0, 4: 0, 5: 602}
+    path = {(r.record_id, r.struct_id): r.node_path for r in got}
+    assert all(r.parent_path == path.get((r.record_id, f"s{int(r.struct_id[1:]) - 1}"), "") for r in got)
+    assert all(r.parent_path == path[r.record_id, {1: "s3", 2: "s90", 5: "s600"}[r.record_id]] for r in inside if r.block_id == "top")
+    # both ways agree
+    small = df.filter("record_id = 1")
+    want = [sorted(map(str, d.collect())) for d in nested.flatten_documents(small)]
+    monkeypatch.setattr(nested, "MAX_DEPTH", 1)
+    assert [sorted(map(str, d.collect())) for d in nested.flatten_documents(small)] == want
