@@ -129,7 +129,12 @@ def read_organisation(name: str) -> tuple[str, str, list[str], str] | None:
 def _edge_keys(token: str) -> list[str]:
     """Suffixes and prefixes that two tokens one edit apart have in common with each other."""
     n = len(token)
+    if n < MIN_SUFFIX:
+        return [f"={token}"]
     sizes = {max(MIN_SUFFIX, (n - 1) // 2), max(MIN_SUFFIX, n // 2)}
+    # an edit in the middle of a short one leaves two letters at either end
+    if n <= 6:
+        sizes.add(2)
     return [k for s in sizes if s <= n for k in ("<" + token[:s], ">" + token[n - s :])]
 
 

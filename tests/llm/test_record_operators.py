@@ -92,6 +92,14 @@ def test_name_links(spark):
     assert names.link_names(spark.createDataFrame([], "name_kind string, name string, n int")).count() == 0
 
 
+def test_short_names_meet(spark):
+    people = ["J. Li", "Jane Li", "J. Wu", "J. Mbrin", "Jane Mbin"]
+    out = {r.name: r.entity for r in names.link_names(spark.createDataFrame([("person", p, 1) for p in people], "name_kind string, name string, n int")).collect()}
+    assert out["J. Li"] == out["Jane Li"] != out["J. Wu"]
+    edge = lambda t: set(names._edge_keys(t))
+    assert edge("li") and edge("mbrin") & edge("mbin") and edge("haon") & edge("hamn") and edge("abcdef") & edge("abxdef")
+
+
 def test_titles():
     assert E.same_title("a late theory of things", "late theory of things") and E.same_title("fast search over graphs", "fast saerch over graphs")
     assert not E.same_title("fast search over graphs", "fast search over graphs ii") and not E.same_title("a study of graphs revisited", "a study of graphs")
