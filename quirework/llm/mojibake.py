@@ -255,7 +255,7 @@ def _neighbours(words: tuple[str, ...]):
 
 
 def search(words: tuple[str, ...]) -> tuple[float, tuple[str, ...], list[str]]:
-    """Cheapest state found best first, and the operations that lead to it.
+    """Cheapest state found best first among MAX_STATES expanded ones, and the operations that lead to it.
 
     A chain of wrong decodings grew worse with each step, so an edge is followed back only to a cheaper state.
     """
