@@ -4,7 +4,8 @@ Citations are matched with catalogue works by successive exact joins on weaker a
 each pass the resolved records are anti-joined away, so a record is matched by the strongest rule that fits. A pass whose
 candidates don't name exactly one work resolves nothing and leaves the record to the next. Titles that several works share
 never join by themselves, only together with an author. A rule's confidence is its precision on labelled pairs, smoothed:
-other records of the same bibliography item, matched by the strictest rule, tell whether its match was right.
+the other records of the same bibliography item that the strictest rule matched tell whether its match was right. A record
+never labels itself, and items whose records disagree count with their shares.
 """
 
 from __future__ import annotations
@@ -21,13 +22,16 @@ from ..functions.session import cut_lineage
 from .arrow import map_columns
 from .names import PARTICLES, fold, lcs_ratio
 
-MIN_PREFIX = 24
+#: Letters of a cut-off title's beginning by which it is looked up, the longest that it has; a beginning below SAYS_ENOUGH needs a year too.
+PREFIXES, SAYS_ENOUGH = (24, 12, 6), 24
+#: Full stops and colons that a title cut off in a reference line may hold.
+TITLE_STOPS = 3
 #: Smoothing of a rule's precision: as if PRIOR_N labelled pairs had been seen, PRIOR of them right.
 PRIOR_N, PRIOR = 20, 0.9
 YEARS = re.compile(r"(?<!\d)(1[5-9]\d\d|20\d\d)(?!\d)")
 
 
-_NOT_TITLE, _TITLE_WORD = re.compile(r"<[^<>]{1,40}>|\\[a-zA-Z]+\s*(?=\{)|[{}’'‐-]"), re.compile("[a-z0-9]+")
+_NOT_TITLE, _TITLE_WORD = re.compile(r"</?[a-zA-Z][^<>]*>|\\[a-zA-Z]+\s*(?=\{)|[{}’'‐-]"), re.compile("[a-z0-9]+")
 
 
 def title_words(title: str) -> str:
@@ -97,9 +101,20 @@ _STYLES = [
     re.compile(r"[“\"„](.+?),?[”\"]", re.S),
     re.compile(r"\(\d{4}[a-z]?\)\s*[.:,]\s*(.+?)\.(?=\s+[A-Z][^.]*\d|\s+[A-Z]\w*\.|\s*$)", re.S),
     re.compile(r"\(\d{4}[a-z]?\)\s*:\s*(.+?)\s*$", re.S),
-    re.compile(r"^\s*(?:\[\w+\]\s*)?[^:]{3,400}?:\s+(.+?)\.?\s+In:\s", re.S | re.I),
+    re.compile(r"^\s*(?:\[\w+\]\s*)?[^:]{3,}:\s+(.+?)\.?\s+In:\s", re.S | re.I),
 ]
-_STOP = re.compile(r"(?<=[^\W\d_]{2})\.\s+(?=[\w{“])|\.\.\s+(?=[\w{“])|(?<=al\.)\s+|(?<=[^\W\d_])\.\s+(?=[A-Z{][\w}{-]{2,} [\w{])", re.S)
+_DOT, _NEXT_WORD = re.compile(r"\.\s+"), re.compile(r"[A-Z{][\w}{-]{2,} [\w{]")
+
+
+def _is_stop(raw: str, dot: int, end: int) -> bool:
+    """Whether a full stop ends a segment of a reference line: after a word, after another stop, or after an initial where a capitalized word of a title follows."""
+    nxt = raw[end : end + 1]
+    if not (nxt == "_" or nxt == "{" or nxt == "“" or nxt.isalnum()):
+        return raw[dot - 2 : dot] == "al"
+    before = raw[dot - 1 : dot]
+    if before == ".":
+        return True
+    return before.isalpha() and (raw[dot - 2 : dot - 1].isalpha() or bool(_NEXT_WORD.match(raw, end)))
 
 
 def titles_in(raw: str) -> list[str]:
@@ -108,23 +123,32 @@ def titles_in(raw: str) -> list[str]:
     for style in _STYLES:
         for m in style.finditer(raw):
             found[title_words(m[1])] = None
-    at = [0, *(m.end() for m in _STOP.finditer(raw)), len(raw)]
+    at = [0, *(m.end() for m in _DOT.finditer(raw) if m.start() > 0 and _is_stop(raw, m.start(), m.end())), len(raw)]
     for k in range(1, len(at) - 1):
         found[title_words(raw[at[k] : at[k + 1]])] = None
     return [k for k in found if len(k) >= 6]
 
 
+_CUT, _QUOTE, _PART = re.compile(r"\.{3,}|…"), re.compile("[“”\"]"), re.compile(r"[.:]\s+")
+
+
 def cut_titles(title: str, raw: str) -> list[str]:
-    """Keys of a title's known beginning, if the record has it cut off."""
-    out = {}
-    for m in [*re.finditer(r"([^“”\"]{12,300}?)(?:\.{3,}|…)", title or ""), *re.finditer(r"(?:[.:]\s+|[“\"])([^“”\"]{12,300}?)(?:\.{3,}|…)", raw or "")]:
-        key = title_key(m[1])
-        if len(key) >= MIN_PREFIX:
-            out[key] = None
-        # a reference line has the authors before the title
-        for part in re.split(r"[.:]\s+", m[1])[1:]:
-            if len(key := title_key(part)) >= MIN_PREFIX:
-                out[key] = None
+    """Keys of a title's known beginning, if the record has it cut off: what stands before an ellipsis, since the last quote or ellipsis.
+
+    A reference line has the authors before the title, so each of the last parts between stops may be where it begins.
+    """
+    out: dict[str, None] = {}
+    for text, line in ((title, False), (raw, True)):
+        at = 0
+        for m in _CUT.finditer(text or ""):
+            piece = text[at : m.start()]
+            at = m.end()
+            quotes = [q.end() for q in _QUOTE.finditer(piece)]
+            keys = [title_key(p) for p in _PART.split(piece[quotes[-1] :] if quotes else piece)]
+            starts = {0} if not line else ({0} if quotes else set()) | set(range(max(1, len(keys) - 1 - TITLE_STOPS), len(keys)))
+            for k in starts:
+                if len(key := "".join(keys[k:])) >= PREFIXES[-1]:
+                    out[key] = None
     return list(out)
 
 
@@ -152,7 +176,7 @@ def _key(words: Column) -> Column:
     return F.xxhash64(F.replace(words, F.lit(" "), F.lit("")))
 
 
-_RAW_NAMES = re.compile(r"(?<![a-z])[a-z]{3,}(?![a-z])")
+_RAW_NAMES, _SHORT_NAMES = re.compile("[a-z]{3,}"), re.compile(r"(?<!\w)[A-Z][^\W\d_A-Z](?!\w)")
 _JOINTS = re.compile("[’'‐-]")
 
 
@@ -162,12 +186,18 @@ def _read_citations():
         for i, a, b, t, y, au, r in zip(ids, items_a, items_b, titles, years, authors, raws):
             cut = bool(t) and is_cut(t)
             words = title_words(t) if t and not cut else ""
-            people = list(dict.fromkeys(w for x in au or [] if x for w in _tokens_of(x)))
+            people: dict[str, None] = {}
+            for x in au or ():
+                if x:
+                    people.update(dict.fromkeys(_tokens_of(x)))
+            within = []
             if r:
-                # names in the reference line, of which the title is no part
+                # names in the reference line, of which the title is no part; those of two letters are told by their capital
                 title = set(words.split())
-                people = list(dict.fromkeys([*people, *(w for w in _RAW_NAMES.findall(_JOINTS.sub("", fold(r))) if w not in title and w not in PARTICLES)]))
-            within = [w for w in titles_in(r) if w != words] if r else []
+                for w in [*_RAW_NAMES.findall(_JOINTS.sub("", fold(r))), *map(fold, _SHORT_NAMES.findall(r))]:
+                    if w not in title and w not in PARTICLES:
+                        people[w] = None
+                within = [w for w in titles_in(r) if w != words]
             out["id"].append(i)
             out["item"].append(_hash(f"{a}\x1f{b}") if a is not None and b is not None else None)
             out["words"].append(words or None)
@@ -268,13 +298,15 @@ def match(citations: DataFrame, works: DataFrame) -> DataFrame:
     more = _only_one(inside.filter("near >= 1"), 3)
     more = more.unionByName(_only_one(rest(inside, more).filter("near = 0 or common > 1"), 4))
 
-    # rule 5: by the beginning of a title that is cut off, and an author
+    # rule 5: by the beginning of a title that is cut off, and an author; a short beginning needs the year too
     cuts = rest(c.filter(F.size("cuts") > 0).select("id", "item", F.explode("cuts").alias("t"), "people", "years"), done)
-    cuts = cuts.withColumn("p", F.substring("t", 1, MIN_PREFIX)).withColumn("who", F.explode("people"))
+    cuts = cuts.withColumn("p", F.coalesce(*[F.when(F.length("t") >= n, F.substring("t", 1, n)) for n in PREFIXES])).withColumn("who", F.explode("people"))
     full = F.replace("wwords", F.lit(" "), F.lit(""))
-    begin = w.select("work", full.alias("wtitle"), "family", "wyear", F.substring(full, 1, MIN_PREFIX).alias("p"), F.explode("family").alias("who"))
-    begun = cuts.join(begin, ["p", "who"]).filter(F.col("wtitle").startswith(F.col("t"))).select("id", "item", "work", common.alias("common"), _near_year().alias("near"))
-    more = more.unionByName(_only_one(rest(begun.filter("near >= 0"), more), 5))
+    heads = F.array_distinct(F.array(*[F.substring(full, 1, n) for n in PREFIXES]))
+    begin = w.select("work", full.alias("wtitle"), "family", "wyear", heads.alias("p"), F.explode("family").alias("who")).withColumn("p", F.explode("p"))
+    begun = cuts.join(begin, ["p", "who"]).filter(F.col("wtitle").startswith(F.col("t"))).select("id", "item", "work", common.alias("common"), _near_year().alias("near"), (F.length("t") >= SAYS_ENOUGH).alias("says"))
+    begun = begun.filter("near >= 1 or near = 0 and says").drop("says")
+    more = more.unionByName(_only_one(rest(begun, more), 5))
 
     # rules 6, 7: by title alone, where it is one work's and says enough
     weaker = rest(hits.filter("weak is not null and near >= 0"), done)
@@ -284,23 +316,20 @@ def match(citations: DataFrame, works: DataFrame) -> DataFrame:
     late = late.unionByName(_only_one(names, 7))
     more = cut_lineage(more.unionByName(rest(late, more)))
 
-    # rule 8: a misspelled title or one without a word, by either end of the title and the year; 0 stands for no year in the
-    # citation, -1 for none in the catalogue. What stands in the reference line is tried piece by piece, beside the record's
-    # own title. Candidates move as pairs of ids until an author agrees
-    texts = open_ids.select("id", F.filter(F.concat(F.array("words"), "lines"), lambda t: F.length(t) >= 14).alias("texts"), "years").filter("size(texts) > 0")
-    still = rest(texts, more).select("id", F.explode("texts").alias("t"), "years")
+    # rule 8: a misspelled title or one without a word, by either end of the title and an author. What stands in the reference
+    # line is tried piece by piece, beside the record's own title. Ends that no work has go first; those left join with an
+    # author's name only, so that titles with a common ending don't meet by it alone
+    texts = open_ids.select("id", F.filter(F.concat(F.array("words"), "lines"), lambda t: F.length(t) >= 14).alias("texts")).filter("size(texts) > 0")
+    still = rest(texts, more).select("id", F.explode("texts").alias("t"))
     # short titles have short ends, so that an error in the middle leaves one alone; lengths between have both
-    pair = lambda t, n: F.array(F.concat(F.lit(f"<{n}"), F.substring(t, 1, n)), F.concat(F.lit(f">{n}"), F.right(t, F.lit(n))))
-    none = F.expr("cast(array() as array<string>)")
+    pair = lambda t, n: F.array(F.xxhash64(F.lit(f"<{n}"), F.substring(t, 1, n)), F.xxhash64(F.lit(f">{n}"), F.right(t, F.lit(n))))
+    none = F.expr("cast(array() as array<bigint>)")
     ends = lambda t: F.concat(F.when(F.length(t) < 2 * END + 2, pair(t, END // 2)).otherwise(none), F.when(F.length(t) >= 2 * END - 6, pair(t, END)).otherwise(none))
-    ask_years = F.concat(F.when(F.size("years") == 0, F.array(F.lit(0))).otherwise(F.col("years")), F.array(F.lit(-1)))
-    offer_years = F.when(F.col("wyear").isNull(), F.array(F.lit(-1))).otherwise(F.array(F.lit(0), F.col("wyear") - 1, F.col("wyear"), F.col("wyear") + 1))
-    ask = still.select("id", F.explode(ends(F.replace("t", F.lit(" "), F.lit("")))).alias("e"), ask_years.alias("ys")).select("id", "e", F.explode("ys").alias("y"))
-    offer = w.select("work", F.explode(ends(full)).alias("e"), offer_years.alias("ys")).select("work", "e", F.explode("ys").alias("y"))
-    slot = F.xxhash64("e", "y").alias("slot")
-    pairs = ask.select("id", slot).join(offer.select("work", slot), "slot").select("id", "work").distinct()
-    known_by = pairs.join(w.select("work", "family", "wyear"), "work").join(left, "id").withColumn("common", common).filter("common > 0")
-    near = known_by.select("id", "item", "work", "common", _near_year().alias("near")).join(texts.select("id", "texts"), "id").join(w.select("work", "wwords"), "work")
+    offer = w.select("work", "family", "wyear", F.explode(ends(full)).alias("e"))
+    ask = still.select("id", F.explode(ends(F.replace("t", F.lit(" "), F.lit("")))).alias("e")).join(offer.select("e").distinct(), "e", "left_semi").distinct()
+    who = ask.join(left, "id").withColumn("who", F.explode("people"))
+    met = who.join(offer.withColumn("who", F.explode("family")), ["e", "who"]).select("id", "item", "work", common.alias("common"), _near_year().alias("near")).filter("near >= 0").distinct()
+    near = met.join(texts, "id").join(w.select("work", "wwords"), "work")
     near = map_columns(near.select("id", "item", "work", "texts", "wwords", "common", "near"), _same, "id long, item long, work long, common int, near int")
     done = done.unionByName(more).unionByName(cut_lineage(_only_one(near, 8)))
 
@@ -313,11 +342,25 @@ def match(citations: DataFrame, works: DataFrame) -> DataFrame:
 
 
 def rule_confidence(matches: DataFrame) -> DataFrame:
-    """(rule, labelled, right, confidence): precision on pairs labelled by rule 1 on another record of the item."""
-    truth = matches.filter("rule = 1 and item is not null").groupBy("item").agg(F.min("work").alias("label"), F.max("work").alias("top"), F.count("*").alias("n")).filter("label = top")
-    pairs = matches.join(truth, "item").filter("rule != 1 or n > 1")
-    seen = pairs.groupBy("rule").agg(F.count("*").alias("labelled"), F.sum((F.col("work") == F.col("label")).cast("long")).alias("right"))
-    return seen.withColumn("confidence", (F.col("right") + PRIOR * PRIOR_N) / (F.col("labelled") + PRIOR_N))
+    """(rule, labelled, right, confidence): each rule's smoothed precision on records that other records of their item label.
+
+    A record of rules 1 to 8 is labelled by the item's other records that rule 1 matched; where those disagree, it is right by the
+    share that has its work. Rule 9, which copies from the item's other records, is tried on records whose own work rule 1
+    knows, as if they had none: labelled where all others agree, right where that is the record's own work. Counts by item
+    and work suffice for both, so no pairs are made. A rule without labels has the prior's confidence.
+    """
+    own = matches.filter("rule < 9 and item is not null")
+    votes = own.groupBy("item", "work").agg(F.count("*").alias("n"), F.count(F.when(F.col("rule") == 1, 1)).alias("n1"))
+    items = votes.groupBy("item").agg(F.sum("n1").alias("all1"), F.count("*").alias("works"))
+    each = own.groupBy("item", "work", "rule").agg(F.count("*").alias("m")).join(votes, ["item", "work"]).join(items, "item")
+    self1 = (F.col("rule") == 1).cast("long")
+    others = F.col("all1") - self1
+    usual = each.filter(others > 0).select("rule", F.col("m").cast("double").alias("labelled"), (F.col("m") * (F.col("n1") - self1) / others).alias("right"))
+    agree = each.filter("rule = 1 and (n > 1 and works = 1 or n = 1 and works = 2)")
+    copied = agree.select(F.lit(9).alias("rule"), F.col("m").cast("double").alias("labelled"), F.when(F.col("n") > 1, F.col("m").cast("double")).otherwise(0.0).alias("right"))
+    seen = usual.unionByName(copied).groupBy("rule").agg(F.sum("labelled").alias("labelled"), F.sum("right").alias("right"))
+    every = matches.select("rule").distinct().join(seen, "rule", "left").fillna(0.0, ["labelled", "right"])
+    return every.withColumn("confidence", (F.col("right") + PRIOR * PRIOR_N) / (F.col("labelled") + PRIOR_N))
 
 
 def matched(spark, sf_dir: str) -> DataFrame:

@@ -12,18 +12,22 @@ import random
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.session import cut_lineage
-from .tokens import VOCABULARY, ranked, token_counts
+from .tokens import VOCABULARY, ranked, small_rows, token_counts
 
 #: Tokens that the knapsack spans; longer documents are chosen before it only.
 GAP = 60_000
+#: Rows that a table of targets may have; more is an error.
+MAX_TARGETS = 10_000
 
 
 def knapsack(counts: dict[int, int], target: int, seed: int = 0) -> dict[int, int]:
     """How many of each length to take so that the total comes as near to `target` from below as can be."""
     items: list[tuple[int, int]] = []
-    for length, n in counts.items():
+    # in order of length first, so that the seed alone decides, and not the order in which the counts were gathered
+    for length, n in sorted(counts.items()):
         n, k = min(n, target // length if length else 0), 1
         while n > 0:
             items.append((length, min(k, n)))
@@ -87,9 +91,9 @@ def mix(documents: DataFrame, targets: DataFrame, row_id: str = "doc_id", text:
 
     `targets` (source, target_share, max_repeats) is a small table. Records of null or unlisted sources, null and empty texts
     aren't used; repeated texts are records of their own; a source without documents contributes nothing, and the others
-    keep their size. An empty table gives no rows.
+    keep their size. An empty table gives no rows. More than MAX_TARGETS targets are an error.
     """
-    want = {r[0]: (float(r[1]), int(r[2])) for r in targets.select("source", "target_share", "max_repeats").dropna().limit(10_000).collect()}
+    want = {r[0]: (float(r[1]), int(r[2])) for r in small_rows(targets.select("source", "target_share", "max_repeats").dropna(), MAX_TARGETS)}
     listed = documents.filter(F.col(source).isin(list(want)))
     counted = cut_lineage(token_counts(listed, row_id, text, source, vocabulary).filter("tokens > 0"))
     # one row a source and length: bounded by the longest text, not by the number of documents
@@ -116,7 +120,6 @@ def shares(spark, sf_dir: str) -> DataFrame:
     """p9_shares: the shares reached, against the targets."""
     read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     by = mixed(spark, sf_dir).groupBy("source").agg(F.count("*").alias("records"), F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("repeats"))
-    # one row a source
-    total = by.agg(F.sum("tokens").alias("total"))
-    every = read("mix_targets").join(by, "source", "left").withColumn("k", F.lit(1)).join(total.withColumn("k", F.lit(1)), "k", "left")
+    # one row a source, so that a window over all of them is as small as the table of targets
+    every = read("mix_targets").join(by, "source", "left").withColumn("total", F.sum("tokens").over(Window.partitionBy(F.lit(0))))
     return every.select("source", "target_share", (F.coalesce("tokens", F.lit(0)) / F.col("total")).alias("share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("repeats", F.lit(0)).alias("most_repeats"), "max_repeats")

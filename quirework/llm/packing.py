@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 
 from ..functions.session import cut_lineage
 from .arrow import map_columns
-from .tokens import VOCABULARY, ranked, token_counts
+from .tokens import VOCABULARY, ranked, small_rows, token_counts
+
+#: Kinds of containers that a table of limits may have; more is an error.
+MAX_KINDS = 1000
 
 
 def plan_slots(counts: dict[int, int], capacity: int) -> tuple[dict[int, tuple[list[int], list[int]]], int]:
@@ -91,9 +94,9 @@ def pack(documents: DataFrame, limits: DataFrame, row_id: str = "doc_id", text:
 
     A text of more tokens than the capacity is cut into full pieces and a rest, no other is cut. Null and empty texts take
     no place; repeated texts take one each. `limits` (container_kind, capacity_tokens) is a small table of distinct kinds
-    with capacities above 0, others are left out. An empty table gives no rows.
+    with capacities above 0, others are left out; more than MAX_KINDS kinds are an error. An empty table gives no rows.
     """
-    kinds = [(r[0], int(r[1])) for r in limits.filter("capacity_tokens > 0 and container_kind is not null").select("container_kind", "capacity_tokens").distinct().limit(1000).collect()]
+    kinds = [(r[0], int(r[1])) for r in small_rows(limits.filter("capacity_tokens > 0 and container_kind is not null").select("container_kind", "capacity_tokens").distinct(), MAX_KINDS)]
     counted = cut_lineage(token_counts(documents, row_id, text, vocabulary=vocabulary).filter("tokens > 0").select("id", "tokens"))
     cap = F.element_at(F.create_map(*[F.lit(x) for k in kinds for x in k]), F.col("container_kind")).cast("long") if kinds else F.lit(1)
     each = counted.withColumn("container_kind", F.explode(F.array(*[F.lit(k) for k, _ in kinds]) if kinds else F.expr("cast(array() as array<string>)"))).withColumn("cap", cap)

@@ -46,6 +46,14 @@ def token_counts(df: DataFrame, row_id: str, text: str, source: str | None = Non
     return map_columns(rows.filter(F.col("text").isNotNull()), _count(vocabulary), "id long, source string, tokens long")
 
 
+def small_rows(df: DataFrame, most: int) -> list:
+    """Rows of a table that is small by contract; an error, not a cut, if it has more than `most`."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table of at most {most} rows was expected")
+    return rows
+
+
 def ranked(df: DataFrame, group: list[str], order: Column, largest: int, rank: str = "rank") -> DataFrame:
     """Adds the 0-based rank of each row in its group, in the order of `order` (a hash, unique with the row's id).
 

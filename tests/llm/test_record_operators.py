@@ -4,6 +4,7 @@ import datetime
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quirework.llm import entity_match as E
@@ -148,6 +149,41 @@ def test_match_misspelled_author_with_reference_line(spark):
     assert {r.id: r.rule for r in E.match(c, works).collect()} == {1: 7, 2: 7, 3: 7}
 
 
+def test_match_short_beginnings_and_short_names(spark):
+    works = spark.createDataFrame([(1, "Quiet Lakes of the North", ["Li, Wei"], 2020), (2, "Deep Roots and Other Long Stories of a Rather Long Winter Night", ["Wu, An"], 2019)], "work_id long, title string, authors array<string>, pub_year int")
+    cites = [
+        (1, "a", "k1", "Quiet Lakes...", "2020", ["W. Li"], None), (2, "a", "k2", "Quiet Lakes...", None, ["W. Li"], None), (3, "a", "k3", None, None, None, "W. Li. Quiet Lakes of the North. J. X 5, 2020."),
+        (4, "a", "k4", None, None, None, "A. Wu. " + "Xyz " * 200 + ": Deep Roots and Other Long Stories of a Rat... J. X, 2019."), (5, "a", "k5", None, None, None, "See \u2026 " + "a. " * 3000 + "..."),
+    ]
+    c = spark.createDataFrame(cites, "citation_id long, arxiv_id string, cite_key string, title string, pub_year string, authors array<string>, raw_text string")
+    assert {r.id: (r.work, r.rule) for r in E.match(c, works).collect()} == {1: (1, 5), 3: (1, 3), 4: (2, 5)}
+
+
+def test_a_wrong_rule_has_less_confidence(spark):
+    # rule 8 is wrong on every other item; an item's records may disagree; a lone record labels nothing, itself included
+    rows = [x for i in range(200) for x in ((4 * i, i, i, 1), (4 * i + 1, i, i, 3), (4 * i + 2, i, i + i % 2, 8))] + [(9000 + k, 500 + k, k, 1) for k in range(50)] + [(9100, 900, 1, 1), (9101, 900, 2, 1)]
+    got = {r.rule: r for r in E.rule_confidence(spark.createDataFrame(rows, "id long, item long, work long, rule int")).collect()}
+    assert got[3].labelled == 200 and got[3].right == 200 and got[8].right == 100 and got[8].confidence < 0.6 < got[3].confidence
+    assert (got[1].labelled, got[1].right) == (2, 0)
+    assert got[9].right < got[9].labelled
+
+
+def test_targets_beyond_the_bound_are_an_error(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b", "s")], "doc_id long, text string, source string")
+    monkeypatch.setattr(mixing, "MAX_TARGETS", 2)
+    monkeypatch.setattr(packing, "MAX_KINDS", 2)
+    with pytest.raises(ValueError):
+        mixing.mix(docs, spark.createDataFrame([(f"s{k}", 0.3, 1) for k in range(3)], "source string, target_share double, max_repeats int"))
+    with pytest.raises(ValueError):
+        packing.pack(docs, spark.createDataFrame([(f"k{k}", 4) for k in range(3)], "container_kind string, capacity_tokens int"))
+
+
+def test_the_seed_alone_decides():
+    counts = {3: 4, 11: 3, 13: 1, 7: 2, 5: 5}
+    turned = dict(reversed(counts.items()))
+    assert all(mixing.knapsack(counts, t, s) == mixing.knapsack(turned, t, s) for t in range(60) for s in range(3))
+
+
 def test_plan_slots():
     r = random.Random(3)
     for _ in range(40):
