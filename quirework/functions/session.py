@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -32,10 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _tables: list = []
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests, one machine), a temporary one."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset a temporary one, but on one machine only: on a cluster every executor would write to a disk of its own."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if not shared:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (master: {master})")
         shared = tempfile.mkdtemp(prefix="quirework-")
         spark.conf.set("spark.checkpoint.dir", shared)
         atexit.register(shutil.rmtree, shared, True)
@@ -49,20 +53,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     needed, which takes a fraction of a checkpoint's disk. `drop_cuts` removes the tables; the session's end does too.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/quirework-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/quirework-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     if not _tables:
-        atexit.register(drop_cuts, spark)
+        atexit.register(_drop_at_exit, spark)
     _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_cuts(spark: SparkSession) -> None:
-    """Removes the tables that cut_lineage wrote; results that read them must be stored before."""
+    """Removes the tables that cut_lineage wrote; results that read them must be stored before. A table that can't be removed stays listed, and the failure is raised."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _tables:
+        path = jvm.org.apache.hadoop.fs.Path(_tables[-1])
+        path.getFileSystem(conf).delete(path, True)
+        _tables.pop()
+
+
+def _drop_at_exit(spark: SparkSession) -> None:
+    """A session that has ended before leaves the tables to the folder's owner."""
     try:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        while _tables:
-            path = jvm.org.apache.hadoop.fs.Path(_tables.pop())
-            path.getFileSystem(conf).delete(path, True)
-    except Exception:  # noqa: BLE001 - the session may have ended before
-        _tables.clear()
+        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+            drop_cuts(spark)
+    except (Py4JError, ConnectionError):
+        pass
