@@ -1,10 +1,12 @@
 """Garbled text from wrong character encoding (problem 10): best-first search for the original.
 
-A passage is a line. Its words with anything beyond ASCII are the start state of a graph whose edges are encode, decode
-and unescape operations. States are taken cheapest first, each visited once (by hash); the cost of a state says how
-implausible its characters are: control and replacement characters, symbols inside words, mixed scripts, accented letters
-that no one alphabet has together, rare letters. A passage counts as garbled if a clearly cheaper state is reachable, or
-if it holds characters that only lost bytes leave behind. Text shown as an example (code, short quoted strings) is masked.
+A passage is a line. Its words with anything odd in them are the start state of a graph whose edges are encode, decode
+and unescape operations. States are taken cheapest first, each visited once (by hash), until none is left whose cost is
+near enough to the cheapest one's; the cost of a state says how
+implausible its characters are: control and replacement characters, question marks and symbols inside words, mixed scripts,
+accented letters that no one alphabet has together, rare letters. A passage counts as garbled if a clearly cheaper state is
+reachable, or if the cheapest one still holds what only lost bytes leave behind. Text shown as an example (code, short
+quoted strings) is masked.
 
 The operator is one narrow Python stage over whole texts: no shuffle.
 """
@@ -32,12 +34,14 @@ ALPHABETS = {
 _COMMON_CYRILLIC = "оеаинтсрвлкмдпуяыьгзб"
 #: Marks that may stand at the edge of a word or between digits.
 _PUNCTUATION = "“”„‟‘’‚«»‹›¿¡…–—‐‑−·•†‡§¶©®™°′″€£¥¢¹²³ªº½¼¾×÷±≤≥≠≈∞→←↔⇒∈∑∏√∫∂∆∇µ¬¤¦¨¯´¸ΩÅ"
-MAX_STATES = 12
-MAX_WORDS = 400
 BAD_WORD = 3.0
 STEP = 0.25
+#: How far a state's cost may lie above the cheapest known one's for its edges to be followed: FRONTIER where the edge to it traded one
+#: set's characters for another's; FRONTIER_SHORTER and half of what has been gained so far where the text became shorter, as undoing a
+#: reading of UTF-8 or an escape makes it.
+FRONTIER, FRONTIER_SHORTER = 2.0, 5.0
 
-_LOST_LETTER = re.compile(r"(?<=[^\W\d_])\?(?=[^\W\d_])|(?<=\s)\?(?=[^\W\d_])")
+_LOST_LETTER = re.compile(r"[^\W\d_]\?[^\W\d_]")
 _EXAMPLES = re.compile(r"```.*?```|~~~.*?~~~|`[^`\n]*`|\"[^\"\sA-Za-z]{1,8}\"|«[^»\sA-Za-z]{1,8}»|'[^'\sA-Za-z]{1,8}'|“[^”\sA-Za-z]{1,8}”|‘[^’\sA-Za-z]{1,8}’|„[^“”\sA-Za-z]{1,8}[“”]|\(?https?://\S+", re.S)
 _ESCAPES = re.compile(r"&(?:[a-zA-Z]{2,8}|#\d{2,6}|#x[0-9a-fA-F]{2,5});|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|=[C-F][0-9A-F](?:=[89AB][0-9A-F])+|%[C-F][0-9A-F](?:%[89AB][0-9A-F])+")
 _ALPHABET_SETS = [frozenset(v) for v in ALPHABETS.values()]
@@ -56,9 +60,9 @@ def _encode(text: str, enc: str) -> bytes:
 
 
 @lru_cache(maxsize=50_000)
-def _word(w: str) -> tuple[float, int, bool]:
-    """(cost, bits of the alphabets that have all its letters, whether anything in it is odd) of one word."""
-    cost, usual, script = 0.0, 0.0, set()
+def _word(w: str) -> tuple[float, int, bool, bool]:
+    """(cost, bits of the alphabets that have all its letters, whether anything in it is odd, whether bytes were lost in it) of one word."""
+    cost, usual, script, lost = 0.0, 0.0, set(), False
     alphabets = (1 << len(_ALPHABET_SETS)) - 1
     run = 0
     for i, c in enumerate(w):
@@ -69,11 +73,16 @@ def _word(w: str) -> tuple[float, int, bool]:
                 script.add("L")
                 if i and c.isupper() and w[i - 1].islower() and ord(w[i - 1]) > 127:
                     cost += 1
+            elif c == "?" and 0 < i < len(w) - 1 and w[i - 1].isalpha() and w[i + 1].isalpha() and w[i + 1].islower() and not any(x in w for x in "/=&@"):
+                # in the place of a letter
+                cost += 8
+                lost = True
             continue
         before, after = w[i - 1] if i else "", w[i + 1] if i + 1 < len(w) else ""
         inside = before.isalpha() or after.isalpha()
         if c == "�" or o in range(0x80, 0xA0) or 0xE000 <= o <= 0xF8FF:
             cost += 8
+            lost = True
         elif 0x2500 <= o <= 0x259F:
             cost += 5
         elif 0x4E00 <= o <= 0x9FFF or 0x3400 <= o <= 0x4DBF:
@@ -145,7 +154,7 @@ def _word(w: str) -> tuple[float, int, bool]:
         run = 0
     if len(script) > 1:
         cost += 3
-    return cost, alphabets, cost - usual >= 0.75
+    return cost, alphabets, cost - usual >= 0.75, lost
 
 
 @lru_cache(maxsize=8192)
@@ -162,7 +171,7 @@ def cost(words: tuple[str, ...]) -> float:
     """Implausibility of a passage's words: of each, and of their letters under the alphabet that fits most words."""
     total, fits, accented = 0.0, [0] * len(_ALPHABET_SETS), 0
     for w in words:
-        c, bits, _ = _word(w)
+        c, bits, _, _ = _word(w)
         total += c
         if bits != (1 << len(_ALPHABET_SETS)) - 1:
             accented += 1
@@ -255,26 +264,32 @@ def _neighbours(words: tuple[str, ...]):
 
 
 def search(words: tuple[str, ...]) -> tuple[float, tuple[str, ...], list[str]]:
-    """Cheapest state found best first among MAX_STATES expanded ones, and the operations that lead to it.
+    """Cheapest state found best first, and the operations that lead to it.
 
-    A chain of wrong decodings grew worse with each step, so an edge is followed back only to a cheaper state.
+    The frontier holds every state whose cost lies near enough to the cheapest known one's, see FRONTIER; the search ends when it is
+    empty, whatever the number of states. Each step costs STEP, so no chain is followed for ever.
     """
     start = cost(words)
     best = (start, words, [])
-    heap, visited, n = [(start, 0, words, [])], {hash(words)}, 0
-    while heap and n < MAX_STATES:
-        c, _, state, path = heapq.heappop(heap)
-        n += 1
+    heap, visited = [(start, 0, words, [], False)], {hash(words)}
+
+    def near(c: float, shorter: bool) -> bool:
+        return c <= best[0] + (FRONTIER_SHORTER + (start - best[0]) / 2 if shorter else FRONTIER)
+
+    while heap:
+        c, _, state, path, shorter = heapq.heappop(heap)
+        if not near(c, shorter):
+            continue
+        length = sum(map(len, state))
         for op, nxt in _neighbours(state):
             if (h := hash(nxt)) in visited:
                 continue
             visited.add(h)
-            if (d := cost(nxt) + STEP * (len(path) + 1)) < c - 0.05:
-                heapq.heappush(heap, (d, len(visited), nxt, [*path, op]))
+            shorter = sum(map(len, nxt)) < length
+            if near(d := cost(nxt) + STEP * (len(path) + 1), shorter):
+                heapq.heappush(heap, (d, len(visited), nxt, [*path, op], shorter))
                 if d < best[0] - 1e-9:
                     best = (d, nxt, [*path, op])
-        if heap and heap[0][0] > best[0] + 0.25 * (start - best[0]):
-            break
     return best
 
 
@@ -286,17 +301,16 @@ def _passage(words: tuple[str, ...]) -> tuple[bool, tuple[str, ...] | None, bool
     """(garbled, restored words or None, restored in full)."""
     odd, every = False, (1 << len(_ALPHABET_SETS)) - 1
     for w in words:
-        _, bits, o = _word(w)
+        _, bits, o, _ = _word(w)
         odd |= o
         every &= bits
     if not odd and every or (start := cost(words)) < 1.5:
         return False, None, False
-    lost = any("�" in w or any("\x80" <= c <= "\x9f" or "" <= c <= "" for c in w) for w in words)
     c, state, path = search(words)
     changed = [w for w, x in zip(words, state) if w != x]
-    better = path and start - c >= max(0.9, 0.25 * cost(tuple(changed)))
-    whole = bool(better) and not any("�" in w for w in state)
-    return bool(better or lost), state if better else None, whole
+    better = bool(path) and start - c >= max(0.9, 0.25 * cost(tuple(changed)))
+    lost = any(_word(w)[3] for w in (state if better else words))
+    return better or lost, state if better else None, better and not lost
 
 
 _TOKENS = re.compile(r"[^ \t\r\n]+")
@@ -330,15 +344,17 @@ def repair(text: str) -> tuple[bool, bool, str]:
     edits: list[tuple[int, int, str]] = []
     at = 0
     for line in masked.split("\n"):
-        if not line.isascii() or _ESCAPES.search(line):
-            spans = [m for m in _WORDS.finditer(line)]
-            if len(spans) > MAX_WORDS:
-                groups = [spans[k : k + MAX_WORDS] for k in range(0, len(spans), MAX_WORDS)]
+        marks = "?" in line and _LOST_LETTER.search(line)
+        if not line.isascii() or marks or _ESCAPES.search(line):
+            if marks:
+                spans = [m for m in _TOKENS.finditer(line) if not m[0].isascii() or _LOST_LETTER.search(m[0])]
             else:
-                groups = [spans] if spans else []
+                spans = list(_WORDS.finditer(line))
             # the others are ASCII, and of interest for their escapes only
             plain = [m for m in _TOKENS.finditer(line) if m[0].isascii() and _ESCAPES.search(m[0]) and not _unescape(m[0]).isascii()] if _ESCAPES.search(line) else []
-            for group, look in [*((g, _passage) for g in groups), *((plain[k : k + MAX_WORDS], _escaped) for k in range(0, len(plain), MAX_WORDS))]:
+            for group, look in ((spans, _passage), (plain, _escaped)):
+                if not group:
+                    continue
                 words = tuple(dict.fromkeys(m[0] for m in group))
                 bad, fixed, whole = look(words)
                 if bad:
@@ -347,8 +363,6 @@ def repair(text: str) -> tuple[bool, bool, str]:
                     if fixed:
                         now = dict(zip(words, fixed))
                         edits += [(at + m.start(), at + m.end(), now[m[0]]) for m in group if now[m[0]] != m[0]]
-        if "?" in line and _lost(line):
-            garbled, whole_all = True, False
         at += len(line) + 1
     out, k = [], 0
     for a, b, w in sorted(edits):
@@ -357,17 +371,6 @@ def repair(text: str) -> tuple[bool, bool, str]:
     return garbled, garbled and whole_all, "".join([*out, text[k:]]) if edits else text
 
 
-def _lost(line: str) -> bool:
-    """A question mark in the place of a letter."""
-    for m in _LOST_LETTER.finditer(line):
-        a = line.rfind(" ", 0, m.start()) + 1
-        b = line.find(" ", m.end())
-        w = line[a : b if b >= 0 else len(line)]
-        if m.start() > 0 and line[m.start() - 1].isalpha() and not re.search(r"[/=&@]", w) and line[m.end()].islower():
-            return True
-    return False
-
-
 def _mend():
     def f(ids: list, texts: list) -> dict[str, list]:
         done = [repair(t) for t in texts]

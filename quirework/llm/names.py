@@ -3,8 +3,10 @@
 Every spelling is read into a node: for a person its name tokens in no order, with nicknames by their formal name; for an
 institution its place and type. Tokens are indexed by their suffixes from about half their length on (and, read
 backwards, their prefixes, so that an edit near the end is found too). A suffix alone is common; it is refined with
-the first letter of the other name, or the type of institution, before it joins anything, and no block is dropped. Nodes
-that share a block are compared by longest-common-subsequence ratio. A rarer node points to the most frequent one it
+the first letter of the other name, or the type of institution, before it joins anything. A suffix that is still common
+then is discarded, and its nodes meet by it only with the other names in full, or, where just an initial is known, with all
+but one letter of the token: whatever one typing error apart shares the suffix shares one of these too, so nothing is lost.
+Nodes that share a block are compared by longest-common-subsequence ratio. A rarer node points to the most frequent one it
 resembles, pointers are followed to their end, and initials are attached where just one entity fits.
 """
 
@@ -21,7 +23,8 @@ from .arrow import map_columns
 
 MIN_SUFFIX = 3
 LCS_RATIO = 0.8
-HOPS = 4
+#: Nodes from which on a refined suffix is common, and is refined once more.
+COMMON = 200
 
 #: Nicknames and the formal names they stand for.
 NICKNAMES = {
@@ -155,6 +158,32 @@ def block_keys(kind: str, form: str, longs: list[str], rest: str) -> list[str]:
     return out
 
 
+def finer_keys(key: str, kind: str, form: str, longs: list[str], rest: str) -> set[str]:
+    """What a common block of a node is refined to: two nodes that differ in the token whose suffix it is, by one typing error, share one of these."""
+    if kind == "organisation":
+        return {f"O{rest}|{d}" for d in _but_one(longs[0])}
+    if form == "I":
+        return {f"I{rest[0]}|{d}" for d in _but_one(longs[0])}
+    out = set()
+    for i, t in enumerate(longs):
+        others = longs[:i] + longs[i + 1 :]
+        for o in others:
+            if key in (f"p{o[0]}{k}" for k in _edge_keys(t)):
+                # full names that differ in this token, and those that have only an initial of the other
+                out.add(f"{key}|{' '.join(others)}")
+                out |= {f"I{o[0]}|{d}" for d in _but_one(t)}
+        # the same family name and another first letter: all tokens but the other one in full
+        for j, o in enumerate(longs):
+            if j != i and key == f"={t}>{o[-max(2, len(o) // 2) :]}":
+                out.add(f"{key}|{' '.join(longs[:j] + longs[j + 1 :])}")
+    return out
+
+
+def _but_one(token: str) -> set[str]:
+    """A token, and it without one of its letters: tokens one typing error apart share one of these."""
+    return {token, *(token[:k] + token[k + 1 :] for k in range(len(token)))}
+
+
 def lcs_ratio(a: str, b: str) -> float:
     """2 · longest common subsequence / total length, with one bit per character of `a`."""
     where: dict[str, int] = {}
@@ -239,6 +268,17 @@ def _blocks():
     return f
 
 
+def _finer():
+    def f(kinds: list, keys: list, nodes: list, forms: list, longs: list, rests: list) -> dict[str, list]:
+        out: dict[str, list] = {"kind": [], "node": [], "k": []}
+        for kind, key, node, form, ls, r in zip(kinds, keys, nodes, forms, longs, rests):
+            for k in finer_keys(key, kind, form, ls, r):
+                out["kind"].append(kind), out["node"].append(node), out["k"].append(k)
+        return out
+
+    return f
+
+
 def _compare():
     def f(kinds, a, b, na, nb, fa, fb, la, lb, ra, rb, sa, sb) -> dict[str, list]:
         out: dict[str, list] = {k: [] for k in ("kind", "a", "b", "na", "nb", "fa", "fb", "how")}
@@ -270,6 +310,12 @@ def link_names(names: DataFrame) -> DataFrame:
     seen = token.join(token.groupBy("kind", "t").agg(F.count("*").alias("s")), ["kind", "t"]).groupBy("kind", "node").agg(F.array_sort(F.collect_list(F.struct("i", "s")))["s"].alias("seen"))
     nodes = cut_lineage(nodes.join(seen, ["kind", "node"]))
     blocks = map_columns(nodes.select("kind", "node", "form", "longs", "rest"), _blocks, "kind string, node string, k string")
+    # few suffixes are common: at most one in COMMON rows
+    blocks = cut_lineage(blocks)
+    common = blocks.groupBy("kind", "k").agg(F.count("*").alias("c")).filter(F.col("c") > COMMON).select("kind", "k")
+    again = blocks.join(common, ["kind", "k"], "left_semi").join(nodes.select("kind", "node", "form", "longs", "rest"), ["kind", "node"]).select("kind", "k", "node", "form", "longs", "rest")
+    finer = map_columns(again, _finer, "kind string, node string, k string").distinct()
+    blocks = blocks.join(common, ["kind", "k"], "left_anti").unionByName(finer)
     x, y = blocks.alias("x"), blocks.alias("y")
     pairs = x.join(y, (F.col("x.kind") == F.col("y.kind")) & (F.col("x.k") == F.col("y.k")) & (F.col("x.node") < F.col("y.node"))).select("x.kind", F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     side = lambda s: nodes.select("kind", F.col("node").alias(s), *[F.col(c).alias(f"{c[0]}{s}") for c in ("n", "form", "longs", "rest", "seen")])
@@ -282,10 +328,12 @@ def link_names(names: DataFrame) -> DataFrame:
         same.select("kind", F.col("b").alias("node"), F.col("nb").alias("n"), F.struct(F.col("na").alias("n"), F.col("a").alias("to")).alias("t"))
     )
     up = ways.filter(F.struct("n", "node") < F.struct("t.n", "t.to")).groupBy("kind", "node").agg(F.max("t")["to"].alias("to"))
-    root = up
-    for _ in range(HOPS):
+    # each round doubles the steps that pointers have been followed, until none goes on
+    root, moves = up, True
+    while moves:
         nxt = root.select("kind", F.col("node").alias("to"), F.col("to").alias("further"))
-        root = cut_lineage(root.join(nxt, ["kind", "to"], "left").select("kind", "node", F.coalesce("further", "to").alias("to")))
+        stored = cut_lineage(root.join(nxt, ["kind", "to"], "left").select("kind", "node", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")))
+        root, moves = stored.drop("moved"), not stored.filter("moved").isEmpty()
 
     full = nodes.join(root, ["kind", "node"], "left").withColumn("root", F.coalesce("to", "node")).select("kind", "node", "form", "root", "mid", "mids")
     # initials: the entities they fit, by the exact family name first
@@ -317,6 +365,11 @@ def all_names(spark, sf_dir: str) -> DataFrame:
     return people.unionByName(orgs).withColumn("n", F.lit(1))
 
 
+def entities(spark, sf_dir: str) -> DataFrame:
+    """p3_entities: every spelling with the entity it names."""
+    return link_names(all_names(spark, sf_dir))
+
+
 def found(spark, sf_dir: str) -> DataFrame:
     """p3_found: pairs of spellings of one entity."""
     linked = link_names(all_names(spark, sf_dir))

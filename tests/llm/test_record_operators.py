@@ -101,6 +101,26 @@ def test_short_names_meet(spark):
     assert edge("li") and edge("mbrin") & edge("mbin") and edge("haon") & edge("hamn") and edge("abcdef") & edge("abxdef")
 
 
+def test_common_suffixes_lose_nothing(spark, monkeypatch):
+    r = random.Random(5)
+    given, family = ["anna", "hanna", "joanna", "jana", "joan", "sanna"], ["ruson", "larson", "parson", "karson", "olson", "nilson"]
+    people = {f"{g.title()} {f.title()}" for g in given for f in family} | {f"{g[0].upper()}. {f.title()}" for g in given for f in family[:3]} | {"Jnaa Ruson", "Anna Lrason", "Hanna Nilsonn"}
+    orgs = [f"University of {f}{g}" for g in ("ville", "vile", "burg") for f in ("Nor", "Sor", "Tor")]
+    rows = [("person", p, r.randint(1, 9)) for p in sorted(people)] + [("organisation", o, r.randint(1, 9)) for o in orgs]
+    df = spark.createDataFrame(rows, "name_kind string, name string, n int")
+    got = lambda: {(x.name_kind, x.name): x.entity for x in names.link_names(df).collect()}
+    want = got()
+    monkeypatch.setattr(names, "COMMON", 1)
+    assert got() == want
+
+
+def test_long_chains_of_spellings_end_in_one(spark):
+    # each spelling is one edit from the next and rarer, over more steps than a fixed number of rounds would follow
+    chain = ["Zed " + "abcdefghijklmnopqrstuvwx"[:8] + "q" * k for k in range(40)]
+    out = {x.name: x.entity for x in names.link_names(spark.createDataFrame([("person", c, 100 - k) for k, c in enumerate(chain)], "name_kind string, name string, n int")).collect()}
+    assert len(set(out.values())) == 1
+
+
 def test_titles():
     assert E.same_title("a late theory of things", "late theory of things") and E.same_title("fast search over graphs", "fast saerch over graphs")
     assert not E.same_title("fast search over graphs", "fast search over graphs ii") and not E.same_title("a study of graphs revisited", "a study of graphs")
@@ -161,7 +181,7 @@ def test_match_short_beginnings_and_short_names(spark):
 
 def test_a_wrong_rule_has_less_confidence(spark):
     # rule 8 is wrong on every other item; an item's records may disagree; a lone record labels nothing, itself included
-    rows = [x for i in range(200) for x in ((4 * i, i, i, 1), (4 * i + 1, i, i, 3), (4 * i + 2, i, i + i % 2, 8))] + [(9000 + k, 500 + k, k, 1) for k in range(50)] + [(9100, 900, 1, 1), (9101, 900, 2, 1)]
+    rows = [x for i in range(200) for x in ((4 * i, i, i, 1), (4 * i + 1, i, i, 3), (4 * i + 2, i, i + i % 2, 8))] + [(9000 + k, 500 + k, k, 1) for k in range(50)] + [(9100, 900, 1, 1), (9101, 900, 2, 1), (9200, 901, 1, 9)]
     got = {r.rule: r for r in E.rule_confidence(spark.createDataFrame(rows, "id long, item long, work long, rule int")).collect()}
     assert got[3].labelled == 200 and got[3].right == 200 and got[8].right == 100 and got[8].confidence < 0.6 < got[3].confidence
     assert (got[1].labelled, got[1].right) == (2, 0)

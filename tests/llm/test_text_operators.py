@@ -138,6 +138,21 @@ def test_double_and_lost():
     assert B.repair(long.encode().decode("cp1252"))[2] == long
 
 
+def test_search_climbs_and_ends():
+    # the way to the restored name leads over a text that costs more
+    assert B.search(("NamupÃ…Â¯guk",))[1] == ("Namupůguk",)
+    # three layers, and a line of thousands of words that is judged as a whole
+    text = "Größe für Läufe"
+    for _ in range(3):
+        text = text.encode().decode("latin-1")
+    assert B.repair(text)[2] == "Größe für Läufe"
+    line = " ".join(f"Größe{k}" for k in range(3000))
+    assert B.repair(line.encode().decode("cp1252"))[::2] == (True, line)
+    # what is lost shows in the cheapest state too
+    assert B.repair("Lin?lujoth kam für Größe".encode().decode("cp1252"))[:2] == (True, False)
+    assert B.repair("see a?b and x=y?z, or=w?x")[0] is True and B.repair("see http://x/a?b and x=y?z")[0] is False
+
+
 def test_mend_frame(spark):
     df = spark.createDataFrame([(1, "caf\u00c3\u00a9"), (1, "caf\u00c3\u00a9"), (2, "fine"), (3, None), (4, "")], "doc_id long, text string").withColumn("id", F.lit("clash")).withColumn("restored", F.lit(1))
     assert [(r.id, r.restored, r.text) for r in B.mend_texts(df).collect()] == [(1, True, "café")] * 2
