@@ -1,10 +1,12 @@
 """Deeply nested JSON records as flat child tables with parent links (problem 6).
 
-A record is parsed once into a VARIANT. A merged schema is inferred over all records first: for each
-structural path the JSON kinds it takes anywhere and how often. It tells how deep a self-nesting array goes,
-and so how many array levels there are to open. Each level is opened with array functions in the row that
-holds it (child key = parent key + ordinal), so the whole flattening is one narrow stage: no shuffle, no Python
-in the hot path, and a record's nodes never leave its task.
+A merged schema is inferred over all records first: for each structural path the JSON kinds it takes anywhere and how
+often. It tells how deep a self-nesting array goes, and so what type a record has: nested structs, read by one
+`from_json` that decodes the fields asked for and skips the rest. Each array level is then opened with array functions in
+the row that holds it (child key = parent key + ordinal), and a block's parent is looked up there too, so the whole
+flattening is one narrow stage: no shuffle, no Python in the hot path, and a record's nodes never leave its task.
+Records that don't fit the type (an object where a list is expected, JSON inside a JSON string, more levels than are
+planned) are opened one by one, with a queue.
 """
 
 from __future__ import annotations
@@ -17,33 +19,18 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-#: The most levels Spark is asked to plan (its analyzer gives up at 64). Records that may be deeper are opened one by one, with a queue.
+#: The most levels Spark is asked to plan (its analyzer gives up at 64).
 MAX_DEPTH = 16
-
-
-def parse_record(text: Column) -> Column:
-    """VARIANT of a complete JSON text, null for a null, blank or cut-off one.
-
-    A text which is a JSON string that holds JSON again (double encoding) is opened once more.
-    """
-    once = F.try_parse_json(text)
-    return F.when(F.ltrim(text).startswith('"'), F.try_parse_json(once.cast("string"))).otherwise(once)
-
-
-def is_object(v: Column) -> Column:
-    # opens one level only; the schema of a variant would read the whole subtree
-    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
-
-
-def as_items(v: Column) -> Column:
-    """array<variant> of an array; of a single object, the array that holds it; of anything else, none."""
-    empty = F.expr("cast(array() as array<variant>)")
-    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.when(is_object(v), F.array(v)), empty)
-
-
-def _text(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, path, "string")
+#: Fields of a section and of a block, and the lists of blocks that a record may have at its top.
+SECTION = ("struct_id", "title", "level", "anchor", "html_sha256")
+BLOCK = ("id", "section_id", "type", "order_index", "text_plain", "text_md", "extra")
+TOP_LISTS = ("abstract_blocks", "front_matter_blocks", "blocks", "bibliography_blocks")
+#: Paths of lists and of their elements.
+_LISTS = rf"^(?:sections|{'|'.join(TOP_LISTS)}|sections\[\](?:\.children\[\])*\.(?:children|blocks))"
+_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "columnNameOfCorruptRecord": "_bad"}
 
 
 def infer_paths(df: DataFrame, json_col: str) -> DataFrame:
@@ -83,50 +70,66 @@ def infer_paths(df: DataFrame, json_col: str) -> DataFrame:
     return parts.groupBy("path", "kind").agg(F.sum("n").alias("n"))
 
 
-def nesting_depth(df: DataFrame, json_col: str, root: str, child: str) -> int:
-    """Array levels of a self-nesting node: 1 for `root` alone, one more for each `child` below.
+def shape(df: DataFrame, json_col: str) -> tuple[int, bool]:
+    """(levels of sections, whether any record has something else where a list or an element of one is expected).
 
-    Counts how often `child` occurs along a path of the merged schema; one number comes to the driver.
+    The depth is 1 for `sections` alone and one more for each `children` below. Both come from the merged schema; one row comes to the driver.
     """
-    paths = infer_paths(df, json_col).filter(F.col("path").startswith(root) & (F.col("kind") == "object"))
-    # every step into `child` is followed by another step, an element or the end
-    steps = F.regexp_count("path", F.lit(rf"\.{child}(?=$|\.|\[)"))
-    top = paths.agg(F.max(steps).alias("d")).first()["d"]
-    return 1 + (top if top is not None else 0)
-
-
-def explode_tree(parsed: DataFrame, key: str, variant_col: str, root: str, child: str, depth: int) -> DataFrame:
-    """One row per node of a self-nesting array, as (key, node_path, parent_path, ordinal, node variant).
-
-    `node_path` is the surrogate key: ordinals from the root joined by dots; '' is the parent of a root.
-    """
-    return parsed.select(key, F.explode(tree_nodes(variant_col, root, child, depth)).alias("n")).select(key, "n.*")
-
-
-def tree_nodes(variant_col: str, root: str, child: str, depth: int) -> Column:
-    """Array of all nodes of one record, parents before children."""
-
-    def open_level(items: Column, prefix: Column | None) -> Column:
-        def node(v: Column, i: Column) -> Column:
-            path = i.cast("string") if prefix is None else F.concat(prefix, F.lit("."), i.cast("string"))
-            return F.struct(
-                path.alias("node_path"), (F.lit("") if prefix is None else prefix).alias("parent_path"),
-                i.alias("ordinal"), v.alias("node"),
-            )
-
-        return F.filter(F.transform(items, node), lambda n: is_object(n["node"]))
-
-    level = open_level(as_items(F.try_variant_get(F.col(variant_col), f"$.{root}", "variant")), None)
-    levels = [level]
-    for _ in range(depth - 1):
-        below = lambda n: open_level(as_items(F.try_variant_get(n["node"], f"$.{child}", "variant")), n["node_path"])
-        level = F.flatten(F.transform(level, below))
-        levels.append(level)
-    return F.concat(*levels)
+    paths = infer_paths(df, json_col)
+    steps = F.when(F.col("path").startswith("sections") & (F.col("kind") == "object"), F.regexp_count("path", F.lit(r"\.children(?=$|\.|\[)")))
+    odd = F.col("path").rlike(_LISTS + "$") & ~F.col("kind").isin("array", "null") | F.col("path").rlike(_LISTS + r"\[\]$") & ~F.col("kind").isin("object", "null")
+    got = paths.agg(F.max(steps).alias("d"), F.max(odd).alias("odd")).first()
+    return 1 + (got["d"] or 0), bool(got["odd"])
+
+
+def _type(depth: int, section: tuple[str, ...], block: tuple[str, ...]) -> str:
+    """Type of a record whose sections nest to `depth`."""
+    texts = lambda names: ", ".join(f"{n} string" for n in names)
+    blocks = f"array<struct<{texts(block)}>>"
+    node = ""
+    for _ in range(depth):
+        inner = f", children array<{node}>" if node else ""
+        node = f"struct<{texts(section)}, blocks {blocks}{inner}>"
+    return f"sections array<{node}>, {', '.join(f'{t} {blocks}' for t in TOP_LISTS)}, _bad string"
+
+
+def _arrays(section: tuple[str, ...], block: tuple[str, ...]) -> str:
+    texts = lambda names: "".join(f", {n} string" for n in names)
+    return f"nodes array<struct<node_path string, parent_path string, ordinal int{texts(section)}>>, blocks array<struct<parent_path string, list_name string, ordinal int{texts(block)}>>"
+
+
+def _open(doc: DataFrame, depth: int, section: tuple[str, ...], block: tuple[str, ...]) -> DataFrame:
+    """(key, nodes, blocks) of typed records: every level's nodes, and all blocks with the path of their section."""
+    levels = []
+    df = doc
+    for k in range(depth):
+        def node(v: Column, i: Column, up: Column | None) -> Column:
+            path = i.cast("string") if up is None else F.concat(up["node_path"], F.lit("."), i.cast("string"))
+            return F.struct(path.alias("node_path"), (F.lit("") if up is None else up["node_path"]).alias("parent_path"), i.alias("ordinal"), v.alias("v"))
+
+        if k == 0:
+            opened = F.transform(F.col("doc.sections"), lambda v, i: node(v, i, None))
+        else:
+            opened = F.flatten(F.transform(levels[-1], lambda n: F.coalesce(F.transform(n["v"]["children"], lambda v, i: node(v, i, n)), F.array())))
+        # elements that aren't objects keep their ordinal, but are no nodes
+        df = df.withColumn(f"l{k}", F.coalesce(F.filter(opened, lambda n: n["v"].isNotNull()), F.array()))
+        levels.append(F.col(f"l{k}"))
+
+    flat = lambda n: F.struct(n["node_path"].alias("node_path"), n["parent_path"].alias("parent_path"), n["ordinal"].alias("ordinal"), *[n["v"][f].alias(f) for f in section])
+    placed = lambda items, name, parent: F.coalesce(
+        F.transform(F.filter(F.transform(items, lambda b, i: F.struct(i.alias("ordinal"), b.alias("b"))), lambda x: x["b"].isNotNull()), lambda x: F.struct(parent(x["b"]).alias("parent_path"), F.lit(name).alias("list_name"), x["ordinal"].alias("ordinal"), *[x["b"][f].alias(f) for f in block])),
+        F.array(),
+    )
+    df = df.withColumn("nodes", F.concat(*[F.transform(x, flat) for x in levels])).withColumn("ids", F.transform("nodes", lambda n: F.coalesce(n["struct_id"], F.lit(""))))
+    # the first section that has a top block's section_id
+    at = lambda b: F.nullif(F.array_position("ids", F.nullif(b["section_id"], F.lit(""))), F.lit(0))
+    inside = [F.flatten(F.transform(x, lambda n: placed(n["v"]["blocks"], "blocks", lambda b: n["node_path"]))) for x in levels]
+    top = [placed(F.col(f"doc.{t}"), t, lambda b: F.get("nodes", (at(b) - 1).cast("int"))["node_path"]) for t in TOP_LISTS]
+    return df.select("key", "nodes", F.concat(*inside, *top).alias("blocks"))
 
 
-def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records of any depth, as `tree_nodes` has them: (key, doc without its sections, nodes without their children)."""
+def _reader(section: tuple[str, ...], block: tuple[str, ...], kind: str):
+    schema = to_arrow_schema(_parse_datatype_string(f"key {kind}, {_arrays(section, block)}"))
 
     def constant(name: str) -> None:
         raise ValueError(name)
@@ -134,34 +137,62 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def items(v: object) -> list:
         return v if isinstance(v, list) else [v] if isinstance(v, dict) else []
 
-    text_type = pa.string()
-    node_type = pa.struct([("node_path", text_type), ("parent_path", text_type), ("ordinal", pa.int32()), ("node", text_type)])
-    for b in batches:
-        keys, docs, trees = [], [], []
-        for key, text in zip(*[c.to_pylist() for c in b.columns]):
-            try:
-                doc = json.loads(text, parse_constant=constant)
-                if isinstance(doc, str):
-                    doc = json.loads(doc, parse_constant=constant)
-            except ValueError:
-                continue
-            if not isinstance(doc, dict):
-                continue
-            nodes, level = [], [("", items(doc.pop("sections", None)))]
-            while level:
-                below = []
-                for parent, listed in level:
-                    for i, node in enumerate(listed):
-                        if isinstance(node, dict):
-                            path = f"{parent}.{i}" if parent else str(i)
-                            below.append((path, items(node.pop("children", None))))
-                            nodes.append({"node_path": path, "parent_path": parent, "ordinal": i, "node": json.dumps(node)})
-                level = below
-            keys.append(key)
-            docs.append(json.dumps(doc))
-            trees.append(nodes)
-        columns = [pa.array(keys, b.schema.field(0).type), pa.array(docs, text_type), pa.array(trees, pa.list_(node_type))]
-        yield pa.RecordBatch.from_arrays(columns, names=["key", "doc", "nodes"])
+    def text(v: object) -> str | None:
+        return v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False, separators=(",", ":"))
+
+    def blocks_of(holder: dict, name: str, parent) -> list[dict]:
+        return [{"parent_path": parent(b), "list_name": name, "ordinal": i} | {f: text(b.get(f)) for f in block} for i, b in enumerate(items(holder.get(name))) if isinstance(b, dict)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, trees, lists = [], [], []
+            for key, t in zip(*[c.to_pylist() for c in batch.columns]):
+                try:
+                    doc = json.loads(t, parse_constant=constant)
+                    if isinstance(doc, str):
+                        doc = json.loads(doc, parse_constant=constant)
+                except ValueError:
+                    continue
+                if not isinstance(doc, dict):
+                    continue
+                nodes, inside, first, level = [], [], {}, [("", items(doc.get("sections")))]
+                while level:
+                    below = []
+                    for up, listed in level:
+                        for i, v in enumerate(listed):
+                            if isinstance(v, dict):
+                                path = f"{up}.{i}" if up else str(i)
+                                nodes.append({"node_path": path, "parent_path": up, "ordinal": i} | {f: text(v.get(f)) for f in section})
+                                if name := text(v.get("struct_id")):
+                                    first.setdefault(name, path)
+                                inside += blocks_of(v, "blocks", lambda b: path)
+                                below.append((path, items(v.get("children"))))
+                    level = below
+                top = [b for name in TOP_LISTS for b in blocks_of(doc, name, lambda b: first.get(text(b.get("section_id")) or None))]
+                keys.append(key), trees.append(nodes), lists.append(inside + top)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((keys, trees, lists), schema)], schema=schema)
+
+    return run
+
+
+def open_documents(df: DataFrame, key: str, json_col: str, section: tuple[str, ...] = SECTION, block: tuple[str, ...] = BLOCK) -> DataFrame:
+    """(key, nodes, blocks): one row for each complete record, with the fields asked for (struct_id, id and section_id always)."""
+    section, block = tuple(dict.fromkeys(("struct_id", *section))), tuple(dict.fromkeys(("id", "section_id", *block)))
+    depth, odd = shape(df, json_col)
+    texts = df.select(F.col(key).alias("key"), F.col(json_col).alias("t")).filter("t is not null")
+    planned = min(depth, MAX_DEPTH)
+    usual = F.col("t").rlike(r"^\s*\{")
+    if depth > MAX_DEPTH:
+        # a name for each level at least, if it isn't written with escapes
+        usual &= (F.regexp_count("t", F.lit("children")) < MAX_DEPTH) & ~F.col("t").contains("\\u00")
+    typed = texts.filter(usual).select("key", "t", F.from_json("t", _type(planned, section, block), _JSON).alias("doc"))
+    out = _open(typed.filter("doc is not null and doc._bad is null").select("key", "doc"), planned, section, block)
+    # records that the type doesn't fit are read twice; the merged schema tells whether there may be any
+    rest = texts.filter(~usual)
+    if odd:
+        rest = rest.unionByName(typed.filter("doc is null or doc._bad is not null").select("key", "t"))
+    kind = texts.schema["key"].dataType.simpleString()
+    return out.unionByName(rest.mapInArrow(_reader(section, block, kind), f"key {kind}, {_arrays(section, block)}"))
 
 
 def flatten_documents(df: DataFrame, key: str = "record_id", json_col: str = "document_json") -> tuple[DataFrame, DataFrame]:
@@ -171,52 +202,22 @@ def flatten_documents(df: DataFrame, key: str = "record_id", json_col: str = "do
     blocks: key, block_id, parent_path, list_name, ordinal, section_id, type, order_index, text_plain, text_md, extra (JSON text).
     parent_path of a block is the section it lies in, or for one listed at the top the first section with its
     section_id, or null where there is none. A record that is null, blank or cut off gives no row; an object where
-    a list is expected counts as a list of one; elements that aren't objects are passed over but keep their ordinal.
+    a list is expected counts as a list of one; elements that aren't objects are passed over but keep their ordinal; an
+    object or list where a text is expected gives its JSON text. Of a name that an object has twice the last counts.
     Sections may nest to any depth that a JSON reader can follow; a text beyond that is an error. An empty table gives two
     empty tables. Other columns of `df`, whatever their names, aren't read.
     """
-    depth = nesting_depth(df, json_col, "sections", "children")
-    texts = df.select(F.col(key).alias("key"), F.col(json_col).alias("t"))
-    # at least a name for each level, if it isn't written with escapes
-    long = F.coalesce((F.regexp_count("t", F.lit("children")) >= MAX_DEPTH) | F.col("t").contains("\\u00"), F.lit(False)) if depth > MAX_DEPTH else F.lit(False)
-    parsed = texts.filter(~long).select("key", parse_record(F.col("t")).alias("doc")).filter(is_object(F.col("doc")))
-    secs = parsed.select("key", "doc", tree_nodes("doc", "sections", "children", min(depth, MAX_DEPTH)).alias("nodes"))
-    if depth > MAX_DEPTH:
-        kind = texts.schema["key"].dataType.simpleString()
-        deep = texts.filter(long).mapInArrow(_opened, f"key {kind}, doc string, nodes array<struct<node_path string, parent_path string, ordinal int, node string>>")
-        node = lambda n: F.struct(n["node_path"].alias("node_path"), n["parent_path"].alias("parent_path"), n["ordinal"].alias("ordinal"), F.try_parse_json(n["node"]).alias("node"))
-        secs = secs.unionByName(deep.select("key", F.try_parse_json("doc").alias("doc"), F.transform("nodes", node).alias("nodes")))
-
-    field = lambda name, kind="string": F.try_variant_get("n.node", f"$.{name}", kind).alias(name)
-    sections = secs.select("key", F.explode("nodes").alias("n")).select(
-        F.col("key").alias(key), "n.node_path", "n.parent_path", "n.ordinal",
-        field("struct_id"), field("title"), field("level", "int"), field("anchor"), field("html_sha256"),
-    )
-
-    def listed(v: Column, name: str, parent: Column) -> Column:
-        row = lambda b, i: F.struct(b.alias("node"), i.alias("ordinal"), parent.alias("parent_path"), F.lit(name).alias("list_name"))
-        return F.filter(F.transform(as_items(F.try_variant_get(v, f"$.{name}", "variant")), row), lambda b: is_object(b["node"]))
-
-    ids = F.transform("nodes", lambda n: F.coalesce(_text(n["node"], "$.struct_id"), F.lit("")))
-    inside = F.flatten(F.transform("nodes", lambda n: listed(n["node"], "blocks", n["node_path"])))
-    at_top = F.concat(*[listed(F.col("doc"), name, F.lit(None).cast("string")) for name in ("abstract_blocks", "front_matter_blocks", "blocks", "bibliography_blocks")])
-    blocks = (
-        secs.select("key", "nodes", ids.alias("ids"), F.explode(F.concat(inside, at_top)).alias("n"))
-        .select("key", "nodes", "ids", "n", field("section_id"))
-        .withColumn("at", F.array_position("ids", F.when(F.col("section_id") != "", F.col("section_id"))))
-        .select(
-            F.col("key").alias(key), _text(F.col("n.node"), "$.id").alias("block_id"),
-            F.coalesce("n.parent_path", F.when(F.col("at") > 0, F.get("nodes", (F.col("at") - 1).cast("int"))["node_path"])).alias("parent_path"),
-            "n.list_name", "n.ordinal", "section_id", field("type"), field("order_index", "int"), field("text_plain"), field("text_md"),
-            F.to_json(F.try_variant_get("n.node", "$.extra", "variant")).alias("extra"),
-        )
-    )
+    opened = open_documents(df, key, json_col)
+    number = lambda c: F.expr(f"try_cast({c} as int)").alias(c)
+    sections = opened.select(F.col("key").alias("_key"), F.inline("nodes")).select(F.col("_key").alias(key), "node_path", "parent_path", "ordinal", "struct_id", "title", number("level"), "anchor", "html_sha256")
+    blocks = opened.select(F.col("key").alias("_key"), F.inline("blocks")).select(
+        F.col("_key").alias(key), F.col("id").alias("block_id"), "parent_path", "list_name", "ordinal", "section_id", "type", number("order_index"), "text_plain", "text_md", "extra")
     return sections, blocks
 
 
 def found(spark, sf_dir: str) -> DataFrame:
     """p6_found: sections and the blocks that belong to one, each with its parent."""
-    sections, blocks = flatten_documents(spark.read.parquet(f"{sf_dir}/paper_documents.parquet"))
-    return sections.select("record_id", "node_path", "parent_path").unionByName(
-        blocks.filter(F.col("parent_path").isNotNull()).select("record_id", F.col("block_id").alias("node_path"), "parent_path")
-    )
+    opened = open_documents(spark.read.parquet(f"{sf_dir}/paper_documents.parquet"), "record_id", "document_json", (), ())
+    row = lambda x, path: F.struct(x[path].alias("node_path"), x["parent_path"].alias("parent_path"))
+    rows = F.concat(F.transform("nodes", lambda n: row(n, "node_path")), F.transform(F.filter("blocks", lambda b: b["parent_path"].isNotNull()), lambda b: row(b, "id")))
+    return opened.select(F.col("key").alias("record_id"), F.inline(rows))

@@ -1,6 +1,7 @@
 """Every core query against its SQL on the smallest tables; nested records and streaming."""
 
 import glob
+import json
 import os
 
 import duckdb
@@ -49,6 +50,21 @@ def test_nested_shapes(spark):
     assert empty[0].count() == 0 and empty[1].count() == 0
 
 
+def test_nested_beyond_the_plan(spark):
+    doc = {"struct_id": "deep", "blocks": [{"id": "b", "level": 2}]}
+    for k in range(300):
+        doc = {"struct_id": f"s{k}", "children": [doc]}
+    rows = [(1, json.dumps({"sections": [doc], "blocks": [{"id": "t", "section_id": "deep"}]})), (2, '{"sections": [{"struct_id": "a", "level": 3, "title": {"x": [1]}, "struct_id": "z"}]} '), (3, '{"sections": [{"struct_id": NaN}]}'), (4, "{'sections': []}")]
+    df = spark.createDataFrame(rows, "record_id long, document_json string")
+    for part in (df, df.filter("record_id > 1")):
+        sections, blocks = nested.flatten_documents(part)
+        got = {r.record_id: (r.struct_id, r.title, r.level) for r in sections.filter("record_id > 1").collect()}
+        assert got == {2: ("z", '{"x":[1]}', 3)}
+    sections, blocks = nested.flatten_documents(df)
+    path = ".".join(["0"] * 301)
+    assert sections.filter("record_id = 1").count() == 301 and {(r.block_id, r.parent_path) for r in blocks.collect()} == {("b", path), ("t", path)}
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("2101.00001\n# c\nbad\n")
