@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-#: The most levels Spark is asked to plan (its analyzer gives up at 64).
-MAX_DEPTH = 16
+#: The most levels Spark is asked to plan, whose time grows with them (its analyzer gives up at 64).
+MAX_DEPTH = 8
 #: Fields of a section and of a block, and the lists of blocks that a record may have at its top.
 SECTION = ("struct_id", "title", "level", "anchor", "html_sha256")
 BLOCK = ("id", "section_id", "type", "order_index", "text_plain", "text_md", "extra")
