@@ -1,11 +1,13 @@
 """Markup residue in text documents (problem 4): clean text that keeps headings, lists, code, tables and formulas.
 
-HTML is read into a small DOM. For every node the composite text density (Sun et al., SIGIR 2011) sets its characters
-against its tags, adjusted by the share that links have; the subtree with the largest sum of child densities is the
-content, and its siblings and its ancestors' stay only if they reach the least density on the path from the body to it;
-what is left out is still searched for foreign markup. LaTeX and
-Markdown are read by their own rules. What is left as visible text is searched for markup of the other formats, which is
-converted too and reported. One narrow Python stage, no shuffle.
+A text of any format is read into one tree: HTML into its elements, Markdown and LaTeX into blocks with their code and
+formulas set apart. Markup of other formats in the visible text is hung into the tree as tags of its node, each with its
+format. Then every node is measured: its composite text density (Sun et al., SIGIR 2011) sets its characters
+against its tags, own and foreign, adjusted by the share that links have, and its tags are counted by format on the way. The subtree with
+the largest sum of child densities is the
+content, and its siblings and its ancestors' stay only if they reach the least density on the path from the body to it.
+The formats of the whole tree's tags, other than its own, are the residue; it is
+converted too and reported, that of parts left out as well. One narrow Python stage, no shuffle.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Set
+from bisect import bisect_right
+from collections.abc import Iterator, Set
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +35,8 @@ UNSEEN = frozenset("script style head noscript template".split())
 #: An opening tag of the key closes an open one of the value.
 CLOSES = {"p": ("p",), "li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
 BARRIER = frozenset("table ul ol dl td th div section article body blockquote figure".split())
-MAX_DEPTH = 150
+#: Tables within tables from which on rows come as plain blocks.
+TABLES = 20
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\s(?:\"[^\"]*\"|'[^']*'|[^<>\"'])*)?/?)(?:>|\Z)", re.S)
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style")}
@@ -41,10 +45,10 @@ _ATTR = re.compile(r"(?:^|\s)(alttext|alt|href|src|encoding|id)\s*=\s*(?:\"([^\"
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "attrs", "kids", "chars", "tags", "link_chars", "link_tags", "density", "total", "foreign", "formats")
 
     def __init__(self, tag: str, attrs: str = "") -> None:
-        self.tag, self.attrs, self.kids = tag, attrs, []
+        self.tag, self.attrs, self.kids, self.foreign = tag, attrs, [], ()
 
     def attr(self, name: str) -> str:
         for m in _ATTR.finditer(self.attrs):
@@ -94,13 +98,13 @@ def parse_html(text: str) -> Node:
         if name in _RAW_END:
             end = _RAW_END[name].search(text, at)
             at = end.end() if end else n
-        elif name not in VOID and not m[0].endswith("/>") and len(stack) < MAX_DEPTH:
+        elif name not in VOID and not m[0].endswith("/>"):
             stack.append(node)
     return root
 
 
 def _measure(root: Node) -> list[Node]:
-    """Sets counts and densities; gives the elements, children before parents."""
+    """Sets counts, formats and densities; gives the elements, children before parents."""
     order, todo = [], [root]
     while todo:
         x = todo.pop()
@@ -108,11 +112,14 @@ def _measure(root: Node) -> list[Node]:
         todo += [k for k in x.kids if k.__class__ is Node]
     order.reverse()
     for x in order:
-        chars = tags = link_chars = link_tags = 0
+        chars = link_chars = link_tags = 0
+        # markup of other formats in a node's own text is tags of it too
+        tags, x.formats = len(x.foreign), set(x.foreign)
         for k in x.kids:
             if k.__class__ is Node:
                 chars += k.chars
                 tags += k.tags + 1
+                x.formats |= k.formats
                 link_chars += k.link_chars
                 link_tags += k.link_tags + (k.tag == "a")
             else:
@@ -180,11 +187,8 @@ def _boilerplate(order: list[Node], threshold: float, path: list[Node]) -> set[i
     return out
 
 
-def _rendered(root: Node, texts: list[str], boilerplate: Set[int] = frozenset()) -> str:
-    """Text of a node with its structure, without boilerplate.
-
-    Visible prose, also that of boilerplate, is also appended to `texts`, piece by piece.
-    """
+def _rendered(root: Node, boilerplate: Set[int] = frozenset(), tables: int = 0) -> str:
+    """Text of a node with its structure, without boilerplate."""
     out: list[str] = []
     lists: list[list] = []
 
@@ -208,7 +212,6 @@ def _rendered(root: Node, texts: list[str], boilerplate: Set[int] = frozenset())
         if x.__class__ is str:
             t = html.unescape(x) if "&" in x else x
             if not t.isspace():
-                texts.append(t)
                 t = _SPACES.sub(" ", t)
                 out.append(t.lstrip() if not out or out[-1].endswith("\n") else t)
             elif out and not out[-1].endswith(("\n", " ")):
@@ -218,7 +221,6 @@ def _rendered(root: Node, texts: list[str], boilerplate: Set[int] = frozenset())
         if tag in UNSEEN:
             continue
         if id(x) in boilerplate:
-            _rendered(x, texts)
             continue
         if tag == "br":
             out.append("\n")
@@ -235,9 +237,9 @@ def _rendered(root: Node, texts: list[str], boilerplate: Set[int] = frozenset())
             out.append("```\n" + _text_of(x).strip("\n") + "\n```\n\n")
         elif tag in ("code", "kbd", "samp", "tt", "var"):
             out.append("`" + _SPACES.sub(" ", _text_of(x)).strip() + "`")
-        elif tag == "table":
+        elif tag == "table" and tables < TABLES:
             gap()
-            out.append(_table(x, texts) + "\n\n")
+            out.append(_table(x, tables + 1) + "\n\n")
         else:
             after = None
             if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
@@ -294,18 +296,18 @@ def _annotation(x: Node) -> str:
     return ""
 
 
-def _table(x: Node, texts: list[str]) -> str:
+def _table(x: Node, tables: int) -> str:
     rows, todo = [], list(reversed(x.kids))
+    cell = lambda k: _rendered(k, tables=tables).replace("\n", " ").replace("|", "\\|")
     while todo:
         k = todo.pop()
         if k.__class__ is str:
             if not k.isspace():
-                texts.append(html.unescape(k))
                 rows.append([_SPACES.sub(" ", html.unescape(k)).strip()])
         elif k.tag == "tr":
-            rows.append([_rendered(c, texts).replace("\n", " ").replace("|", "\\|") for c in k.kids if c.__class__ is Node])
+            rows.append([cell(c) for c in k.kids if c.__class__ is Node])
         elif k.tag in ("td", "th"):
-            rows.append([_rendered(k, texts).replace("\n", " ").replace("|", "\\|")])
+            rows.append([cell(k)])
         else:
             todo += reversed(k.kids)
     width = max(map(len, rows), default=0)
@@ -317,17 +319,17 @@ def _table(x: Node, texts: list[str]) -> str:
 
 # ---- Visible text of other formats
 
-_MD_OPAQUE = re.compile(r"^(`{3,}|~{3,})[^\n]*\n.*?(?:^\1[`~]*[ \t]*$|\Z)|(`+)(?!`).*?(?<!`)\2(?!`)|\$\$.+?\$\$|(?<![\\\w$])\$(?=\S)[^$\n]{1,300}?(?<=\S)\$(?!\d)|\\\[.+?\\\]|\\\(.+?\\\)|<(?:https?|mailto|ftp):[^>\s]*>|\\begin\{(equation|align|gather|multline|eqnarray|math|displaymath|array|cases)\*?\}.*?\\end\{\3\*?\}", re.S | re.M)
-_TEX_OPAQUE = re.compile(r"\\begin\{(verbatim|lstlisting|minted|equation|align|gather|multline|eqnarray|math|displaymath|tikzpicture|array)\*?\}.*?\\end\{\1\*?\}|\\(?:verb|lstinline)\*?([^\sa-zA-Z*]).*?\2|\\(?:texttt|code|url|path)\{[^{}]*\}|\\href\{[^{}]*\}|\$\$.+?\$\$|(?<!\\)\$[^$]{1,400}?(?<!\\)\$|\\\[.+?\\\]|\\\(.+?\\\)|(?<!\\)%[^\n]*", re.S)
-_HTML_TEXT_OPAQUE = re.compile(r"\$\$.+?\$\$|(?<![\\\w$])\$(?=\S)[^$\n]{1,300}?(?<=\S)\$(?!\d)|\\\(.+?\\\)|\\\[.+?\\\]", re.S)
+_MD_OPAQUE = re.compile(r"^(`{3,}|~{3,})[^\n]*\n.*?(?:^\1[`~]*[ \t]*$|\Z)|(`+)(?!`).*?(?<!`)\2(?!`)|\$\$.+?\$\$|(?<![\\\w$])\$(?=\S)[^$\n]+?(?<=\S)\$(?!\d)|\\\[.+?\\\]|\\\(.+?\\\)|<(?:https?|mailto|ftp):[^>\s]*>|\\begin\{(equation|align|gather|multline|eqnarray|math|displaymath|array|cases)\*?\}.*?\\end\{\3\*?\}", re.S | re.M)
+_TEX_OPAQUE = re.compile(r"\\begin\{(verbatim|lstlisting|minted|equation|align|gather|multline|eqnarray|math|displaymath|tikzpicture|array)\*?\}.*?\\end\{\1\*?\}|\\(?:verb|lstinline)\*?([^\sa-zA-Z*]).*?\2|\\(?:texttt|code|url|path)\{[^{}]*\}|\\href\{[^{}]*\}|\$\$.+?\$\$|(?<!\\)\$[^$]+?(?<!\\)\$|\\\[.+?\\\]|\\\(.+?\\\)|(?<!\\)%[^\n]*", re.S)
+_HTML_TEXT_OPAQUE = re.compile(r"\$\$.+?\$\$|(?<![\\\w$])\$(?=\S)[^$\n]+?(?<=\S)\$(?!\d)|\\\(.+?\\\)|\\\[.+?\\\]", re.S)
 
 _NAMES = "|".join(sorted(TAGS, key=len, reverse=True))
 #: Residue of each format in visible text. Plain uses (a < b, R&D, x * y, C:\dir, a == b) must not match.
 RESIDUE = {
-    "html": re.compile(rf"</?(?:{_NAMES})(?:\s+[a-zA-Z:-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s<>\"']+))*\s*/?>|<!--|&(?:[a-zA-Z][a-zA-Z0-9]{{1,30}}|#\d{{1,7}}|#[xX][0-9a-fA-F]{{1,6}});", re.I),
+    "html": re.compile(rf"</?(?:{_NAMES})(?:\s+[a-zA-Z:-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s<>\"']+))*\s*/?>|<!--|&(?:[a-zA-Z][a-zA-Z0-9]+|#\d+|#[xX][0-9a-fA-F]+);", re.I),
     "latex": re.compile(r"\\(?:[a-zA-Z]{2,}\*?\s*(?:\[[^\]\n]*\])?\{|(?:begin|end)\{|(?:noindent|item|par|medskip|smallskip|bigskip|newline|newpage|clearpage|centering|maketitle|hfill|vfill|quad|qquad|ldots|dots|textbackslash|LaTeX|TeX|hline|toprule|midrule|bottomrule|em|it|bf|tt|sc|rm|large|Large|small|footnotesize|tiny|scriptsize|linebreak|pagebreak|indent|left|right|protect|bfseries|itshape|ttfamily|sffamily|appendix)(?![a-zA-Z])|[\"'`^~=.](?:\{[a-zA-Z]\}|(?<=[`'^~=.\"])[aeiouAEIOU](?=[a-z]))|\\(?=\s*(?:\n|$|\[)))|(?<=\w)~\\(?:cite|ref|eqref)"),
-    "markdown": re.compile(r"(?<![\w*\\])\*\*(?=[^\s*])[^*\n]{1,300}?(?<=[^\s*])\*\*(?![\w*])|(?<![\w_\\])__(?=[^\s_])[^_\n]{1,300}?(?<=[^\s_])__(?![\w_])|(?:!\[[^\[\]\n]{0,300}|\[[^\[\]\n]{1,300})\]\((?:https?://|www\.|mailto:|#|\.{0,2}/|[\w./-]+\.(?:html?|png|jpe?g|svg|pdf|gif|md)\b)[^()\s]*(?:\s+\"[^\"]*\")?\)|(?:^|\n)[ \t]{0,3}#{1,6}[ \t]+\w|(?:^|\n)[ \t]{0,3}(?:```|~~~)|(?<![`\w\\])`(?=[^\s`])[^`\n]{1,200}?(?<=[^\s`])`(?![`\w])|(?:^|\n)[ \t]{0,3}>[ \t]+\w|(?:^|\n)\|(?:\s*:?-{3,}:?\s*\|)+|(?<![\w~])~~(?=\S)[^~\n]{1,200}?(?<=\S)~~(?![\w~])|(?<![\w*\\])\*(?=[^\s*\d])[^*\n]{1,120}?(?<=[^\s*])\*(?![\w*])|(?:^|\n)[ \t]{0,3}[-*+][ \t]+\[[ xX]\][ \t]"),
-    "wiki": re.compile(r"(?<!')'{2,3}(?=[^'\s])[^'\n]{1,300}?(?<=[^'\s])'{2,3}(?!')|\[\[[^\[\]\n|]{1,200}(?:\|[^\[\]\n]{0,200})?\]\]|\{\{[a-zA-Z][^{}\n]{0,300}\}\}|(?:^|\n)[ \t]*(={2,6})[ \t]*[^=\s][^=\n]{0,200}?[ \t]*\1[ \t]*(?:\n|$)|(?:^|\n)\{\||\[https?://[^\s\]]+ [^\]\n]{1,200}\]|__(?:TOC|NOTOC|FORCETOC)__|<(?:ref|nowiki|references)\b[^>]*>"),
+    "markdown": re.compile(r"(?<![\w*\\])\*\*(?=[^\s*])[^*\n]+?(?<=[^\s*])\*\*(?![\w*])|(?<![\w_\\])__(?=[^\s_])[^_\n]+?(?<=[^\s_])__(?![\w_])|(?:!\[[^\[\]\n]*|\[[^\[\]\n]+)\]\((?:https?://|www\.|mailto:|#|\.{0,2}/|[\w./-]+\.(?:html?|png|jpe?g|svg|pdf|gif|md)\b)[^()\s]*(?:\s+\"[^\"]*\")?\)|(?:^|\n)[ \t]{0,3}#{1,6}[ \t]+\w|(?:^|\n)[ \t]{0,3}(?:```|~~~)|(?<![`\w\\])`(?=[^\s`])[^`\n]+?(?<=[^\s`])`(?![`\w])|(?:^|\n)[ \t]{0,3}>[ \t]+\w|(?:^|\n)\|(?:\s*:?-{3,}:?\s*\|)+|(?<![\w~])~~(?=\S)[^~\n]+?(?<=\S)~~(?![\w~])|(?<![\w*\\])\*(?=[^\s*\d])[^*\n]+?(?<=[^\s*])\*(?![\w*])|(?:^|\n)[ \t]{0,3}[-*+][ \t]+\[[ xX]\][ \t]"),
+    "wiki": re.compile(r"(?<!')'{2,3}(?=[^'\s])[^'\n]+?(?<=[^'\s])'{2,3}(?!')|\[\[[^\[\]\n|]+(?:\|[^\[\]\n]*)?\]\]|\{\{[a-zA-Z][^{}\n]*\}\}|(?:^|\n)[ \t]*(={2,6})[ \t]*[^=\s][^=\n]*?[ \t]*\1[ \t]*(?:\n|$)|(?:^|\n)\{\||\[https?://[^\s\]]+ [^\]\n]+\]|__(?:TOC|NOTOC|FORCETOC)__|<(?:ref|nowiki|references)\b[^>]*>"),
 }
 #: Strings without one of which a text can't hold a format's markup.
 NEEDS = {
@@ -338,9 +340,75 @@ OWN = {"html": ("html",), "latex": ("latex",), "markdown": ("markdown",)}
 _TEX_NAMES = re.compile(r"\\(?:[a-zA-Z]{1,}\*?)(?:\[[^\]\n]*\])?")
 
 
-def residue(text: str, own: tuple[str, ...]) -> list[str]:
-    """Formats, other than its own, whose markup a text holds. In what a browser shows, tags aren't HTML's own either."""
-    return [kind for kind, look in RESIDUE.items() if kind not in own and any(x in text for x in NEEDS[kind]) and look.search(text)]
+_MATHS = re.compile(r"\$|\\\[|\\\(|\\begin")
+
+
+def read_marked(text: str, opaque: re.Pattern) -> Node:
+    """Tree of a Markdown or LaTeX text: one article of blocks, parted by empty lines, whose code and formulas are nodes of their own."""
+    root, article, block = Node("#root"), Node("article"), Node("p")
+    root.kids.append(article)
+    at = 0
+
+    def prose(piece: str) -> None:
+        nonlocal block
+        first, *others = piece.split("\n\n")
+        block.kids.append(first)
+        for x in others:
+            article.kids.append(block)
+            block = Node("p")
+            block.kids.append(x)
+
+    for m in opaque.finditer(text):
+        prose(text[at : m.start()])
+        node = Node("math" if _MATHS.match(m[0]) else "code")
+        node.kids.append(m[0])
+        block.kids.append(node)
+        at = m.end()
+    prose(text[at:])
+    article.kids.append(block)
+    return root
+
+
+def _source(block: Node) -> str:
+    return "".join(k if k.__class__ is str else k.kids[0] for k in block.kids)
+
+
+_UNREAD = UNSEEN | frozenset("math pre textarea code kbd samp tt var img br hr".split())
+
+
+def _visible(root: Node) -> Iterator[tuple[Node, str]]:
+    """(node, text) of what a reader of a page sees, without code and formulas."""
+    todo: list = [(root, k) for k in reversed(root.kids)]
+    while todo:
+        x, k = todo.pop()
+        if k.__class__ is str:
+            t = html.unescape(k) if "&" in k else k
+            if not t.isspace():
+                yield x, t
+        elif k.tag not in _UNREAD:
+            todo += [(k, y) for y in reversed(k.kids)]
+
+
+def hang_foreign(root: Node, own: str) -> None:
+    """Hangs markup of other formats into the tree, to the nodes in whose text it stands. In what a browser shows, tags aren't HTML's own either."""
+    if own == "html":
+        leaves, joint, skip = list(_visible(root)), "\n", ()
+    else:
+        leaves, joint, skip = [(b, "".join(k if k.__class__ is str else " \x01 " for k in b.kids)) for b in root.kids[0].kids], "\n\n", (own,)
+    text = joint.join(t for _, t in leaves)
+    kinds = [k for k in RESIDUE if k not in skip and any(x in text for x in NEEDS[k])]
+    if not kinds:
+        return
+    if own == "html" and ("$" in text or "\\" in text):
+        text = _HTML_TEXT_OPAQUE.sub(lambda m: " " + "\x01" * (len(m[0]) - 2) + " ", text)
+    starts, at = [], 0
+    for _, t in leaves:
+        starts.append(at)
+        at += len(t) + len(joint)
+    for kind in kinds:
+        for m in RESIDUE[kind].finditer(text):
+            node = leaves[bisect_right(starts, m.start() + (m[0][:1] == "\n")) - 1][0]
+            node.foreign = (*node.foreign, kind)
 
 
 _TEX_HEADS = {"chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4, "subparagraph": 5}
@@ -375,11 +443,10 @@ def latex_text(t: str) -> str:
     t = re.sub(r"\\(?:begin|end)\{[^{}]*\}(?:\[[^\]]*\])?", "\n", t)
     t = re.sub(r"\\(?:label|vspace|hspace|vskip|hskip|bibliographystyle|bibliography|input|include|includegraphics|setlength|setcounter)\*?(?:\[[^\]]*\])?\{[^{}]*\}", "", t)
     t = re.sub(r"~?\\(?:cite[a-z]*|ref|eqref|autoref|cref|Cref)\*?(?:\[[^\]]*\])*\{([^{}]*)\}", r" [\1]", t)
-    for _ in range(6):
-        new = re.sub(r"\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}", r"\1", t)
-        if new == t:
-            break
-        t = new
+    # from the innermost command outwards
+    new = None
+    while new != t:
+        new, t = t, re.sub(r"\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}", r"\1", t)
     t = re.sub(r"\\([%&$#_{}])", r"\1", t)
     t = re.sub(r"\\\\(?:\[[^\]]*\])?", "\n", t)
     t = re.sub(r"\\[a-zA-Z]+\*?[ \t]?", "", t)
@@ -410,26 +477,16 @@ def _residue_text(t: str, kinds: list[str]) -> str:
 
 def clean(text: str, own: str) -> tuple[str, list[str]]:
     """(clean text, other formats whose markup was found) of one text of the format `own`."""
+    root = parse_html(text) if own == "html" else read_marked(text, _TEX_OPAQUE if own == "latex" else _MD_OPAQUE)
+    hang_foreign(root, own)
+    order, threshold, path = content_root(root)
+    kinds = [k for k in RESIDUE if k in root.formats]
     if own == "html":
-        root = parse_html(text)
-        seen: list[str] = []
-        out = _rendered(root, seen, _boilerplate(*content_root(root)))
-        prose = "\n".join(seen)
-        kinds = residue(prose, ())
-        if kinds and ("$" in prose or "\\" in prose):
-            kinds = residue(_HTML_TEXT_OPAQUE.sub(" \x01 ", prose), ())
-    elif own == "latex":
-        kinds = residue(_TEX_OPAQUE.sub(" \x01 ", text), ("latex",))
-        out = latex_text(text)
+        out = _rendered(root, _boilerplate(order, threshold, path))
     else:
-        # code and formulas are left out once there is something to find
-        kinds = residue(text, ("markdown",))
-        if kinds:
-            kinds = residue(_MD_OPAQUE.sub(" \x01 ", text), ("markdown",))
-        out = text.strip()
-    if kinds:
-        out = _by_prose(out, kinds)
-    return out, kinds
+        out = "\n\n".join(map(_source, root.kids[0].kids))
+        out = latex_text(out) if own == "latex" else out.strip()
+    return (_by_prose(out, kinds) if kinds else out), kinds
 
 
 def _by_prose(t: str, kinds: list[str]) -> str:

@@ -14,7 +14,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": entity_match.found,
         "p1_matches": entity_match.matched,
         "p2_found": survivor.found,
+        "p2_records": survivor.records,
         "p3_found": names.found,
+        "p3_entities": names.entities,
         "p4_found": markup.found,
         "p5_found": splitter.found,
         "p7_found": neardup.found,
@@ -29,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": survivor.found_sql(),
+        "p2_records": survivor.found_sql(values=True),
         "p5_found": """
             SELECT 'ingestion_results.content' AS field_name, result_id AS row_id FROM ingestion_results, split_limits
             WHERE field_name = 'ingestion_results.content' AND length(content) > max_chars

@@ -86,15 +86,28 @@ def survivors(
     return one.select(*out)
 
 
+def records(spark, sf_dir: str) -> DataFrame:
+    """p2_records: the surviving record of each item, every field with its value and the row it is from."""
+    read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    return survivors(read("citations"), read("citation_sources"))
+
+
 def found(spark, sf_dir: str) -> DataFrame:
     """p2_found."""
     read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     return survivors(read("citations"), read("citation_sources"), values=False)
 
 
-def found_sql() -> str:
+#: Stand-ins as the SQL has them, written out by themselves so that a wrong entry above shows.
+_SQL_STAND_INS = """'', '-', '--', '---', '–', '—', '.', '..', '...', '?', '??', '???', '/', '*', 'n/a', 'na', 'n.a.', 'n.a', 'nan', 'nil', 'null', 'none', '(none)', '[none]',
+    'unknown', '(unknown)', '[unknown]', 'not available', 'not applicable', 'not given', 'not known', 'no value', 'missing', 'undefined', 'unspecified', 'empty',
+    'tba', 't.b.a.', 'tbd', 't.b.d.', 'to appear', 'to be announced', 'to be determined', 'in press', 'forthcoming', 'xx', 'xxx', 'todo', '[s.n.]', 's.n.', '[s.l.]',
+    's.l.', '[s.l.: s.n.]', '[s.l. : s.n.]', '[n.p.]', 'n.p.', '[n.d.]', 'n.d.', 'pp.', 'pp', 'p.', 'p', 'doi:', 'doi', '#n/a', '0'"""
+
+
+def found_sql(values: bool = False) -> str:
     """The same in SQL."""
-    names = ", ".join("'" + x.replace("'", "''") + "'" for x in STAND_INS)
+    names = _SQL_STAND_INS
     low = "lower(regexp_replace({0}, '^[\\s\\x{{00a0}}\\x{{200b}}\\x{{feff}}]+|[\\s\\x{{00a0}}\\x{{200b}}\\x{{feff}}]+$', '', 'g'))"
     text = lambda c: f"coalesce({low.format(c)} NOT IN ({names}), FALSE)"
     doi = f"coalesce(regexp_matches(regexp_replace({low.format('doi')}, '^(?:https?://)?(?:(?:dx\\.)?doi\\.org/)?(?:doi:?\\s*)?', ''), '^10\\.\\d{{4,9}}(?:\\.\\d+)*/\\S*[\\p{{L}}\\p{{N}}]'), FALSE) AND {text('doi')}".replace("{{", "{").replace("}}", "}")
@@ -102,9 +115,10 @@ def found_sql() -> str:
     first, last = (f"try_cast(nullif(regexp_extract({bare}, '^(\\d+)\\s*(?:[-\\x{{2010}}-\\x{{2015}}\\x{{2212}}]+|to)\\s*(\\d+)', {k}), '') AS HUGEINT)".replace("{{", "{").replace("}}", "}") for k in (1, 2))
     pages = f"coalesce(regexp_matches({bare}, '^[\\p{{L}}]{{0,4}}[.:]?\\s*\\d'), FALSE) AND NOT coalesce({first} > {last}, FALSE) AND {text('pages')}".replace("{{", "{").replace("}}", "}")
     use = {"doi": doi, "journal": text("journal"), "pages": pages, "publisher": text("publisher")}
-    best = ", ".join(f"coalesce(first(citation_id ORDER BY r, fetched_at DESC NULLS LAST, citation_id) FILTER (WHERE {ok}), 0) AS {f}_from" for f, ok in use.items())
+    order = "ORDER BY r, fetched_at DESC NULLS LAST, citation_id"
+    best = ", ".join(f"coalesce(first(citation_id {order}) FILTER (WHERE {ok}), 0) AS {f}_from" + (f", first({f} {order}) FILTER (WHERE {ok}) AS {f}" if values else "") for f, ok in use.items())
     return (
         f"WITH k AS (SELECT {low.format('source_kind')} AS kind, min(trust_rank) AS t FROM citation_sources GROUP BY ALL), "
-        f"c AS (SELECT citations.*, coalesce(k.t, {UNKNOWN_RANK}) AS r FROM citations LEFT JOIN k ON k.kind = {low.format('citations.source_kind')}) "
+        f"c AS (SELECT citations.*, coalesce(k.t, 1000000) AS r FROM citations LEFT JOIN k ON k.kind = {low.format('citations.source_kind')}) "
         f"SELECT arxiv_id, cite_key, {best} FROM c WHERE arxiv_id IS NOT NULL AND cite_key IS NOT NULL GROUP BY arxiv_id, cite_key HAVING count(*) >= 2"
     )

@@ -81,6 +81,28 @@ def test_content_is_selected(part):
     assert K.clean(page.replace("menu3", "**menu**"), "html")[1] == ["markdown"]
 
 
+def test_foreign_markup_hangs_in_the_tree():
+    root = K.parse_html("<div><p>plain words of about the same length here</p><p>so &lt;b&gt;bold&lt;/b&gt; and \\emph{x}</p></div>")
+    K.hang_foreign(root, "html")
+    K.content_root(root)
+    plain, marked = root.kids[0].kids
+    assert marked.foreign == ("html", "html", "latex") and plain.foreign == () and root.formats == {"html", "latex"}
+    # tags of other formats make a node less dense
+    assert marked.tags == 3 and plain.density > marked.density
+    tree = K.read_marked("a\n\n```\nx\n\ny\n```\n\n$$z$$ b", K._MD_OPAQUE)
+    assert [[k.tag if k.__class__ is K.Node else k for k in b.kids] for b in tree.kids[0].kids] == [["a"], ["", "code", ""], ["", "math", " b"]]
+
+
+@pytest.mark.parametrize("own,text,kinds", [("html", f"<p>**{'wide ' * 400}end** x</p>", ["markdown"]), ("markdown", f"see [[{'wide ' * 300}]]", ["wiki"]), ("markdown", f"${'x + ' * 300}x <b> y$", []), ("markdown", "\\a{" * 40 + "x" + "}" * 40, [])])
+def test_long_spans_of_markup(own, text, kinds):
+    assert K.clean(text, own)[1] == kinds
+
+
+def test_deep_markup_is_kept():
+    assert "x" in K.clean("<table><tr><td>" * 400 + "x", "html")[0]
+    assert K.latex_text("\\emph{" * 50 + "x" + "}" * 50) == "x"
+
+
 def test_section_fragments_stay_whole():
     section = "<section><h2>T</h2><p>Short one.</p><figure><img src='a.png'><figcaption>" + "caption " * 40 + "</figcaption></figure><ul><li>x</li></ul><p>End.</p></section>"
     text = K.clean(section, "html")[0]
