@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -55,6 +56,23 @@ class Element:
         return "".join(out)
 
 
+def markup(e: Element) -> str:
+    """An element written out again, with all its attributes and what is in it."""
+    out, todo = [], [e]
+    while todo:
+        x = todo.pop()
+        if x.__class__ is tuple:
+            out.append(x[0])
+        elif x.__class__ is str:
+            out.append(html.escape(x, quote=False))
+        else:
+            out.append(f"<{x.tag}{''.join(f' {k}="{html.escape(v)}"' for k, v in x.attrs.items())}>")
+            if x.tag not in VOID:
+                todo.append((f"</{x.tag}>",))
+                todo += reversed(x.kids)
+    return "".join(out)
+
+
 class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)

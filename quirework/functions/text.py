@@ -49,6 +49,11 @@ def file_stem(c: Column, limit: int = 80) -> Column:
     return F.when(F.length(joined) <= limit, joined).otherwise(F.regexp_replace(trimmed, r"-+$", ""))
 
 
+def title_stem(c: Column, limit: int = 80) -> Column:
+    """A title as a file's name; `Unknown` where nothing of it is left."""
+    return F.coalesce(F.nullif(file_stem(c, limit), F.lit("")), F.lit("Unknown"))
+
+
 def basename(date: Column, title: Column, source: Column, short: Column | None = None, scheme: str = "arxiv-ym", limit: int = 255) -> Column:
     """Output name of a paper: `arxiv-ym` YYYYMM-source-[short-]title, `full-date` with the whole date, `title` alone.
 
@@ -182,6 +187,8 @@ AFFILIATION_WORDS = [
 #: Parts of an author list that name nobody; footnote marks.
 SKIP_WORDS = ["footnotemark:", "equal contribution", "work performed", "listing order"]
 FOOTNOTE_MARKS = r"[\*†‡§¶‖#♯\d]+"
+#: A place: a capitalized word, a comma, and another one of two letters or more.
+PLACE = r"\b[A-Z][a-z]+,\s*[A-Z]\s*[a-zA-Z]"
 _WORDS = "(?i)" + "|".join(AFFILIATION_WORDS)
 
 
@@ -198,7 +205,7 @@ def looks_like_affiliation(c: Column) -> Column:
     t = strip(c)
     words = F.size(F.split(F.regexp_replace(t, r"(?U)\s+", " "), " "))
     few = (words <= 4) & (t.rlike(r"[\d()\[\]]") | ((words == 1) & t.rlike(r"^\p{Lu}")))
-    return F.coalesce((F.length(t) >= 2) & (t.rlike(_WORDS) | t.rlike(r"\b[A-Z][a-z]+,\s*[A-Z][a-zA-Z\s]+\b") | few), F.lit(False))
+    return F.coalesce((F.length(t) >= 2) & (t.rlike(_WORDS) | t.rlike(PLACE) | few), F.lit(False))
 
 
 # ---- identifiers in references
@@ -228,52 +235,7 @@ def is_arxiv_doi(doi: Column) -> Column:
     return F.lower(doi).startswith("10.48550/arxiv.")
 
 
-# ---- fragments, captions and math of parsed pages
-
-
-def reference_target(href: Column) -> Column:
-    """`ref-N` of a link to a bibliography entry."""
-    n = match(href, r"#bib\.bib(\d+)")
-    return F.when(n.isNotNull(), F.concat(F.lit("ref-"), n))
-
-
-def fragment_anchor(href: Column) -> Column:
-    """Anchor that a page's fragment id stands for: figures, tables, sections, algorithms; null for others."""
-    f = F.regexp_replace(href, "^#", "")
-    pick = lambda p, *parts: F.when(f.rlike(p), F.concat(*[F.lit(x) if isinstance(x, str) else F.regexp_extract(f, p, x) for x in parts]))
-    return F.coalesce(
-        pick(r"^S\d+\.F(\d+)$", "figure-", 1), pick(r"^[SA]\d+\.T(\d+)$", "table-", 1), pick(r"^S(\d+)$", "section-", 1), pick(r"^S(\d+)\.SS(\d+)$", "section-", 1, "-", 2), pick(r"^alg(\d+)$", "algorithm-", 1),
-    )
-
-
-def caption_number(caption: Column, kind: str) -> Column:
-    """Number after `Figure`, `Table` or `Algorithm`, anywhere in a caption."""
-    return match(caption, rf"(?i){kind}\s+(\d+)").cast("int")
-
-
-def image_alt(c: Column) -> Column:
-    """Alternative text without brackets; placeholders give ''."""
-    t = strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\[\]]", ""))
-    return F.when(F.lower(t).isin("", "refer to caption", "[uncaptioned image]", "uncaptioned image", "image"), "").otherwise(t)
-
-
-def equation_latex(annotations: Column) -> Column:
-    """TeX of an equation's annotations, joined, without dollar signs and tags."""
-    joined = F.array_join(F.filter(F.transform(annotations, strip), lambda a: a != ""), " ")
-    return strip(F.regexp_replace(F.regexp_replace(joined, r"^\$+|\$+$", ""), r"\\tag\{[^{}]*\}", ""))
-
-
-def math_latex(c: Column) -> Column:
-    """TeX of a formula without colour, size and driver commands, on one line."""
-    for pattern, by in (
-        (r"\\definecolor(?:\[[^\]]*\])?\{[^{}]*\}(?:\{[^{}]*\}){1,2}", ""), (r"\\color(?:\[[^\]]*\])?\{[^{}]*\}", ""), (r"\\pgfsys@[a-zA-Z@]+(?:\{[^{}]*\})*", ""), (r"\\displaystyle\b\s*", ""), (r"(?<!\\)%[ \t]*\n?", ""),
-        (r"\s*\n\s*", " "), (r"[ \t]{2,}", " "), (r"\{\s+\\", r"{\\\\"), (r"(\\begin\{[a-zA-Z*]+\})\[\]", "$1"),
-        (r"\\mbox\{\$?\{\}\\perp(?:\\mkern-[0-9]+(?:\.[0-9]+)?mu|(?:\\!)+)\\perp\{\}\$?\}", r"\\\\perp\\\\!\\\\!\\\\!\\\\perp"), (r"\\mbox\{", r"\\\\text{"), (r"\\nolinebreak(?:\[\d\])?\s*", ""),
-    ):
-        c = F.regexp_replace(c, pattern, by.replace("\\\\\\\\", "\\\\"))
-    # $..$ inside \text{..} leaves it
-    c = F.regexp_replace(c, r"\\text\{([^{}$]*)\$([^{}$]*)\$([^{}$]*)\}", r"\\text{$1}$2\\text{$3}")
-    return strip(F.replace(c, F.lit("\\text{}"), F.lit("")))
+# ---- formulas and listings
 
 
 def without_math_spacing(c: Column) -> Column:
@@ -286,10 +248,6 @@ def listing_text(href: Column) -> Column:
     return F.decode(F.try_to_binary(F.regexp_extract(href, r"(?s)^data:text/plain[^,]*;base64,(.*)$", 1), F.lit("base64")), "utf-8")
 
 
-def listing_language(classes: Column) -> Column:
-    return F.lower(F.coalesce(match(classes, r"ltx_lst_language_(\w+)"), F.lit("text")))
-
-
 # ---- Markdown
 
 
@@ -306,11 +264,14 @@ def tidy_markdown(c: Column) -> Column:
     return F.concat(strip(F.regexp_replace(F.regexp_replace(c, r"(?m)[ \t]+$", ""), r"\n{3,}", "\n\n")), F.lit("\n"))
 
 
+#: How a page's TeX lifts a symbol, by a raisebox around boxes of no width and height.
+LIFTED = r"\\raisebox\{[^}]+\}\{\\hbox to 0\.0\s*pt\{\\hss\\vbox to 0\.0\s*pt\{\\hbox\{\$(?<held>[^$]*)\$\}\\vss\}\}\}"
+
+
 def simple_display_math(c: Column) -> Column:
-    """Body of a display formula without raisebox, a trailing `$ (n)` and stray dollar signs."""
-    c = F.regexp_replace(c, r"\\raisebox\{[^{}]*\}(?:\[[^\]]*\])*\{((?:[^{}]|\{[^{}]*\})*)\}", "$1")
-    c = F.regexp_replace(c, r"\$\s*\((\d+)\)\s*$", "")
-    return F.regexp_replace(F.regexp_replace(c, r"\$\}", "}"), r"(?<!\\)\$", "")
+    """Body of a display formula: a lifted symbol by itself, no dollar sign before a number at the end, and none that isn't escaped."""
+    bare = F.regexp_replace(F.regexp_replace(c, LIFTED, "${held}"), r"\$\s*(?=\(\d+\)\s*$)", "")
+    return F.regexp_replace(F.replace(bare, F.lit("$}"), F.lit("}")), r"(?<!\\)\$", "")
 
 
 _TOKENS = r"(?s)\$\$.*?\$\$|\$\$.*|\$[^$]*\$|\$|[^$]+"
@@ -342,9 +303,9 @@ def spaced_tokens(tokens: Column) -> Column:
 
 def formatted_markdown(c: Column, keep_anchors: bool = True) -> Column:
     """Finishing of Markdown: an empty line after anchors, table captions as quotes, single bullets, tidy lines."""
-    c = F.regexp_replace(c, r'(<a id="[^"]+"></a>)\n(?!\n)(?!\s*$)', "$1\n\n")
-    c = F.regexp_replace(c, r"\n\*\*(Table\s+\d+[^*]*)\*\*\s*\n(\|[^\n]*)", "\n> $1\n\n$2")
-    c = F.regexp_replace(c, r"(?m)^(\s*-\s+)[•·◦]\s+", "$1")
+    c = F.regexp_replace(c, r'(?<tag><a id="[^"]+"></a>)\n(?=[^\n]*\S)', "${tag}\n\n")
+    c = F.regexp_replace(c, r"\n\*\*(?<caption>Table\s+\d+[^*]*+)\*\*\s*\n(?=\|)", "\n\n> ${caption}\n\n")
+    c = F.regexp_replace(c, r"(?m)^(?<bullet>\s*-\s+)[•·◦]\s+", "${bullet}")
     if not keep_anchors:
         c = F.regexp_replace(c, r'<a id="[^"]*"></a>', "")
     return tidy_markdown(c)
@@ -369,11 +330,19 @@ def numbered_references(c: Column) -> Column:
     return F.array_join(mark, "\n")
 
 
+def joined_output(summary: Column, tree: Column, content: Column, with_tree: bool = True) -> Column:
+    """What a run prints: the summary, the sections' tree if it is asked for, the content, an empty line between; parts that are absent leave nothing."""
+    parts = [summary, tree, content] if with_tree else [summary, content]
+    return F.array_join(F.filter(F.array(*parts), lambda p: F.coalesce(p, F.lit("")) != ""), "\n\n")
+
+
 # ---- BibTeX
 
 
 #: Characters of TeX and how BibTeX writes them, in the order in which they are replaced.
-BIBTEX_ESCAPES = [("\\", "\\textbackslash{}"), ("{", "\\{"), ("}", "\\}"), ("$", "\\$"), ("&", "\\&"), ("#", "\\#"), ("^", "\\textasciicircum{}"), ("_", "\\_"), ("~", "\\textasciitilde{}"), ("%", "\\%")]
+BIBTEX_ESCAPES = [
+    ("\\", "\\textbackslash{}"), ("{", "\\{"), ("}", "\\}"), ("&", "\\&"), ("%", "\\%"), ("$", "\\$"), ("#", "\\#"), ("_", "\\_"), ("^", "\\^{}"), ("~", "\\textasciitilde{}"),
+]
 
 
 def bibtex_escape(c: Column) -> Column:

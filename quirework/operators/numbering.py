@@ -5,6 +5,7 @@ Blocks are (doc_id, pos, kind, caption, ...), `pos` being their order in the doc
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,16 +41,37 @@ def block_anchor(kind: Column, ident: Column, label: Column, number: Column) ->
     )
 
 
+def _distinct_anchors(bases: pd.Series) -> pd.Series:
+    """For each document's bases in order: the base itself if it is free, else with the first number from 2 on that is."""
+
+    def one(items: list[str | None]) -> list[str | None]:
+        used: set[str] = set()
+        after: dict[str, int] = {}
+        out = []
+        for base in items:
+            anchor = base
+            if base in used:
+                n = after.get(base, 2)
+                while f"{base}-{n}" in used:
+                    n += 1
+                anchor, after[base] = f"{base}-{n}", n + 1
+            if base is not None:
+                used.add(anchor)
+            out.append(anchor)
+        return out
+
+    return bases.map(one)
+
+
 def unique_anchors(blocks: DataFrame, doc: str = "doc_id", pos: str = "pos", base: str = "base") -> DataFrame:
-    """Adds anchor: the first use of a base keeps it, later ones are base-2, base-3 and so on.
+    """Adds anchor: the base if no block before has it, else base-2, base-3 and so on, the first that none before has. A null base has none.
 
-    A base that equals a made one is moved on until it is free, by the same rule once more.
+    A document's bases are gathered with their places, named in order and joined back: whether a name is free depends on all before it.
     """
-    nth = F.row_number().over(Window.partitionBy(doc, base).orderBy(pos))
-    d = blocks.withColumn("_n", nth).withColumn("anchor", F.when(F.col(base).isNotNull(), F.when(F.col("_n") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), F.col("_n").cast("string")))))
-    # literal bases come first; a made anchor that clashes takes the next number of the clash
-    again = F.row_number().over(Window.partitionBy(doc, "anchor").orderBy(F.col("_n"), pos))
-    return d.withColumn("_m", again).withColumn("anchor", F.when(F.col("anchor").isNotNull() & (F.col("_m") > 1), F.concat("anchor", F.lit("-"), F.col("_m").cast("string"))).otherwise(F.col("anchor"))).drop("_n", "_m")
+    of = blocks.filter(F.col(base).isNotNull()).groupBy(doc).agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(base).alias("b")))).alias("_x"))
+    name = F.pandas_udf(_distinct_anchors, "array<string>")
+    made = of.select(doc, F.explode(F.arrays_zip(F.col("_x.p").alias("p"), name(F.col("_x.b")).alias("a"))).alias("_y")).select(doc, F.col("_y.p").alias(pos), F.col("_y.a").alias("anchor"))
+    return blocks.drop("anchor").join(made, [doc, pos], "left")
 
 
 def point_links(links: DataFrame, blocks: DataFrame, doc: str = "doc_id", pos: str = "pos") -> DataFrame:

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from ..functions.dom import Element, flat, parse
+from ..functions.dom import Element, flat, markup, parse
 from . import authors as A
 
-#: Inline tokens: op is text, math, image, break, raw, open or close; style names what open and close enclose.
+#: Inline tokens: op is text, math, image, break, raw, cite, open or close; style names what open and close enclose.
 INLINE = "op string, style string, text string, url string, kind string, display boolean"
 BLOCK = (
     f"region string, sec_pos int, pos int, kind string, level int, inlines array<struct<{INLINE}>>, caption array<struct<{INLINE}>>, text string, latex string, number int, eq_number string, label string, "
@@ -27,14 +27,16 @@ BLOCK = (
 )
 PAGE = (
     "title string, authors array<struct<name string, affiliations array<string>>>, abstract string, submission_date string, "
-    f"sections array<struct<pos int, level int, title string, anchor string>>, blocks array<struct<{BLOCK}>>"
+    f"sections array<struct<pos int, level int, title string, anchor string>>, blocks array<struct<{BLOCK}>>, svgs array<struct<path string, content string>>"
 )
 _BLOCK_FIELDS = ["region", "sec_pos", "pos", "kind", "level", "inlines", "caption", "text", "latex", "number", "eq_number", "label", "language", "ordered", "marker", "indent", "quote", "images", "cells"]
 HEADINGS = "h1 h2 h3 h4 h5 h6"
 EQUATION = r"ltx_equationgroup|ltx_eqn_align|ltx_eqn_table|ltx_equation"
 STYLES = {"em": "italic", "i": "italic", "strong": "bold", "b": "bold", "u": "underline", "s": "strike", "del": "strike"}
 #: Commands by which a listing declared as Python shows to be shell.
-SHELL = frozenset("apt bash cat cd chmod conda cp curl docker echo export git ls make mkdir pip python sh sudo wget".split())
+SHELL = frozenset("pip conda apt apt-get yum brew npm yarn cargo curl wget git bash sh zsh make cmake gcc g++".split())
+#: Where images of a page are put.
+IMAGES = "images"
 
 
 def _tok(op: str, text: str | None = None, style: str | None = None, url: str | None = None, kind: str | None = None, display: bool | None = None) -> dict:
@@ -48,15 +50,77 @@ def tex_of(e: Element) -> str:
     return normal_tex(e.get("alttext") or e.text())
 
 
+#: The independence symbol as pages box it, and how it is written without the box.
+_PERP = re.compile(r"\\mbox\{\$?\{\}\\perp(?:\\mkern-[\d.]+mu|(?:\\!)+)\\perp\{\}\$?\}")
+#: Colours, drawing commands, a display style and line-continuing comment marks, which leave a blank.
+_INVISIBLE = re.compile(r"\\definecolor(?:\[[^\]]*\])?(?:\{[^}]*\}){3}|\\color(?:\[[^\]]*\])?\{[^}]*\}|\\pgfsys@color@[a-z@]+(?:\{[^}]*\}){2}|\\displaystyle\b|(?<!\\)%|[\n\r\t]")
+_IN_TEXT = re.compile(r"\\text\{([^{}]*\$[^{}]*)\}")
+
+
+def _out_of_text(m: re.Match) -> str:
+    """`\\text` around the words alone: what stands between dollar signs in it is a formula."""
+    return "".join((f"\\text{{{part}}}" if part else "") if k % 2 == 0 else part for k, part in enumerate(re.split(r"\$([^$]*)\$", m[1])))
+
+
 def normal_tex(t: str) -> str:
-    """One-line TeX without colour, size and driver commands."""
-    for pattern, by in (
-        (r"\\definecolor(?:\[[^\]]*\])?\{[^{}]*\}(?:\{[^{}]*\}){1,2}", ""), (r"\\color(?:\[[^\]]*\])?\{[^{}]*\}", ""), (r"\\pgfsys@[a-zA-Z@]+(?:\{[^{}]*\})*", ""), (r"\\displaystyle\b\s*", ""),
-        (r"(?<!\\)%[ \t]*\n?", ""), (r"\s*\n\s*", " "), (r"[ \t]{2,}", " "), (r"\{\s+\\", r"{\\"), (r"(\\begin\{[a-zA-Z*]+\})\[\]", r"\1"), (r"\\mbox\{", r"\\text{"), (r"\\nolinebreak(?:\[\d\])?\s*", ""),
-        (r"\\text\{([^{}$]*)\$([^{}$]*)\$([^{}$]*)\}", r"\\text{\1}\2\\text{\3}"),
-    ):
-        t = re.sub(pattern, by, t)
-    return t.replace("\\text{}", "").strip()
+    """One-line TeX without colour, size and driver commands. What is taken out leaves a blank, so that a command before it doesn't run into what follows."""
+    t = re.sub(" {2,}", " ", _INVISIBLE.sub(" ", t))
+    t = re.sub(r"\{\s+(?=\\)", "{", t)
+    t = re.sub(r"(\\begin\{[a-zA-Z*]+\})\s*\[\s*\]\s*", r"\1", t)
+    t = re.sub(" {2,}", " ", _PERP.sub(lambda m: "\\perp \\!\\!\\! \\perp ", t))
+    t = re.sub(r"\\mbox(\s*)\{([^{}]*)\}", r"\\text\1{\2}", t)
+    return re.sub(r"\\nolinebreak(?:\s*\[[^\]]*\])?", "", _IN_TEXT.sub(_out_of_text, t)).strip()
+
+
+def cut_at_display(tokens: list[dict]) -> Iterator[tuple[str | None, list[dict]]]:
+    """(None, inline tokens) and (formula, []) in turn: a paragraph cut at its display formulas.
+
+    Emphasis and links that are open at a cut are closed before it and opened again behind it. Runs without anything to see are dropped.
+    """
+    run: list[dict] = []
+    held: list[dict] = []
+
+    def seen() -> list[dict]:
+        kept = _without_empty([*run, *({**t, "op": "close"} for t in reversed(held))])
+        if not any(t["op"] != "text" or t["text"].strip() for t in kept):
+            return []
+        inner = [k for k, t in enumerate(kept) if t["op"] not in ("open", "close")]
+        for k, side in ((inner[0], str.lstrip), (inner[-1], str.rstrip)) if inner else ():
+            if kept[k]["op"] == "text":
+                kept[k] = kept[k] | {"text": side(kept[k]["text"])}
+        return [t for t in kept if t["op"] != "text" or t["text"]]
+
+    for t in tokens:
+        if t["op"] == "math" and t["display"]:
+            if shown := seen():
+                yield None, shown
+            yield t["text"], []
+            run = list(held)
+            continue
+        run.append(t)
+        if t["op"] == "open":
+            held.append(t)
+        elif t["op"] == "close" and held:
+            held.pop()
+    held = []
+    if shown := seen():
+        yield None, shown
+
+
+def _without_empty(tokens: list[dict]) -> list[dict]:
+    """Without what encloses blanks only, the blanks stay."""
+    out: list[dict] = []
+    opened: list[int] = []
+    for t in tokens:
+        if t["op"] == "open":
+            opened.append(len(out))
+        elif t["op"] == "close" and opened:
+            k = opened.pop()
+            if all(x["op"] == "text" and not x["text"].strip() for x in out[k + 1 :]):
+                del out[k]
+                continue
+        out.append(t)
+    return out
 
 
 def link_kind(href: str) -> tuple[str, str]:
@@ -78,6 +142,7 @@ class _Reader:
     def __init__(self) -> None:
         self.blocks: list[dict] = []
         self.notes: list[tuple[str, list[dict]]] = []
+        self.svgs: list[dict] = []
         self.region, self.sec, self.quote, self.indent = "section", None, 0, 0
 
     # -- inline
@@ -111,6 +176,8 @@ class _Reader:
         inner = self.inlines(k.kids)
         if k.tag == "a":
             kind, target = link_kind(k.get("href"))
+            if kind == "citation":
+                return [_tok("cite", flat("".join(t["text"] or "" for t in inner)), url=target, kind=kind)]
             return [_tok("open", style="link", url=target, kind=kind), *inner, _tok("close", style="link", url=target, kind=kind)] if k.get("href") else inner
         style = STYLES.get(k.tag) or {"sup": "superscript", "sub": "subscript"}.get(k.tag)
         if style is None and k.tag in ("span", "cite", "label", "p"):
@@ -129,7 +196,7 @@ class _Reader:
         row.update(region=self.region, sec_pos=self.sec, pos=len(self.blocks), kind=kind, quote=self.quote, indent=self.indent, inlines=[], caption=[], images=[], cells=[])
         row.update(values)
         if "inlines" in values and not row["text"]:
-            row["text"] = flat(" ".join(t["text"] or "" for t in row["inlines"] if t["op"] in ("text", "math", "raw", "image")))
+            row["text"] = flat(" ".join(t["text"] or "" for t in row["inlines"] if t["op"] in ("text", "math", "raw", "image", "cite")))
         self.blocks.append(row)
 
     def flush_notes(self) -> None:
@@ -141,14 +208,10 @@ class _Reader:
 
     def paragraph(self, tokens: list[dict], **values: object) -> None:
         """A paragraph, cut at its display formulas."""
-        for display, run in groupby(tokens, key=lambda t: t["op"] == "math" and bool(t["display"])):
-            run = list(run)
-            if display:
-                for t in run:
-                    self.add("equation", latex=t["text"])
-            elif any(t["op"] != "text" or t["text"].strip() for t in run):
-                run[0] = run[0] | {"text": run[0]["text"].lstrip()} if run[0]["op"] == "text" else run[0]
-                run[-1] = run[-1] | {"text": run[-1]["text"].rstrip()} if run[-1]["op"] == "text" else run[-1]
+        for latex, run in cut_at_display(tokens):
+            if latex is not None:
+                self.add("equation", latex=latex)
+            else:
                 self.add("paragraph", inlines=run, **values)
                 values = {}
         self.flush_notes()
@@ -232,9 +295,14 @@ class _Reader:
             self.table(inner, e.get("id"))
         else:
             images = [_image(i) for i in e.all("img")]
-            if not images and e.first("svg") is None:
-                return
-            self.add("figure", caption=caption, images=images or [{"src": "", "alt": "svg", "width": None}], number=_number(words, "Figure"), label=e.get("id") or None, text=words)
+            if not images:
+                svg = e.first("svg")
+                if svg is None:
+                    return
+                path = f"{IMAGES}/figure-{len(self.svgs) + 1}.svg"
+                self.svgs.append({"path": path, "content": markup(svg)})
+                images = [{"src": path, "alt": _alt(svg.get("alt")), "width": None}]
+            self.add("figure", caption=caption, images=images, number=_number(words, "Figure"), label=e.get("id") or None, text=words)
 
     def table(self, e: Element, label: str = "") -> None:
         cap = next((k for k in e.kids if k.__class__ is Element and k.tag == "caption"), None)
@@ -295,8 +363,8 @@ def listing_language(code: str, declared: str) -> str:
         ast.parse(code)
         return "python"
     except (SyntaxError, ValueError, RecursionError, MemoryError):
-        words = code.lstrip("$ \n").split()
-        return "bash" if words and words[0] in SHELL else "text"
+        words = code.split(None, 1)
+        return "bash" if words and words[0].lower() in SHELL else "text"
 
 
 def _title(root: Element) -> str | None:
@@ -322,9 +390,9 @@ def _date(root: Element) -> str | None:
     return (t.get("datetime") or flat(t.text()) or None) if t is not None else None
 
 
-def read_page(markup: str | bytes | None) -> dict:
+def read_page(source: str | bytes | None) -> dict:
     """One page as nested values; sections come in document order, without a hierarchy."""
-    page = parse(markup)
+    page = parse(source)
     root = page.first("article", "ltx_document") or page.first("article") or page.first("body") or page
     r = _Reader()
     abstract = root.first(cls="ltx_abstract")
@@ -333,6 +401,16 @@ def read_page(markup: str | bytes | None) -> dict:
         r.children(abstract)
         if r.blocks and r.blocks[0]["kind"] == "heading" and (r.blocks[0]["text"] or "").strip().lower().rstrip(".") == "abstract":
             r.blocks.pop(0)
+        # what stands before the first section: figures and paragraphs of the title block
+        if root.first("section", "ltx_section") is not None and abstract.parent is not None:
+            r.region = "front_matter"
+            after = abstract.parent.kids[next(n for n, k in enumerate(abstract.parent.kids) if k is abstract) + 1 :]
+            for k in after:
+                if k.__class__ is Element:
+                    if k.tag == "section":
+                        break
+                    if k.has("ltx_logical-block") or any(x.has("ltx_figure|ltx_para") for x in (k, *k.walk())):
+                        r.block(k)
         r.region = "section"
     sections = []
     for h in root.all(HEADINGS):
@@ -357,7 +435,7 @@ def read_page(markup: str | bytes | None) -> dict:
         b["pos"] = n
     return {
         "title": _title(page), "authors": [{"name": n, "affiliations": a} for n, a in A.page_authors(root)], "abstract": re.sub(r"^Abstract[.:]?\s*", "", flat(abstract.text())) if abstract is not None else None,
-        "submission_date": _date(page), "sections": sections, "blocks": r.blocks,
+        "submission_date": _date(page), "sections": sections, "blocks": r.blocks, "svgs": r.svgs,
     }
 
 

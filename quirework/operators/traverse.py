@@ -19,7 +19,7 @@ def nodes(parsed: DataFrame) -> DataFrame:
     tokens = inlines_of(parsed).filter("op != 'close'").join(blocks.select("doc_id", F.col("p").alias("pos"), "s"), ["doc_id", "pos"])
     return rows_union([
         doc, meta, authors, sections, blocks.select("doc_id", F.array("s", "p").alias("place"), F.col("kind").alias("type"), "text"),
-        tokens.select("doc_id", F.array("s", "pos", "i").alias("place"), F.when(F.col("op") == "open", F.when(F.col("style") == "link", "link").when(F.col("style").isin("superscript", "subscript"), F.col("style")).otherwise("emphasis")).otherwise(F.col("op")).alias("type"), "text"),
+        tokens.select("doc_id", F.array("s", "pos", "i").alias("place"), F.when(F.col("op") == "open", F.when(F.col("style") == "link", "link").when(F.col("style").isin("superscript", "subscript"), F.col("style")).otherwise("emphasis")).when(F.col("op") == "cite", "link").otherwise(F.col("op")).alias("type"), "text"),
     ])
 
 
