@@ -5,8 +5,12 @@ Patterns switch Unicode classes on with (?U), since a title's letters go beyond
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def strip(c: Column) -> Column:
@@ -169,11 +173,19 @@ def without_contained(xs: Column) -> Column:
 
 
 def names_match(a: Column, b: Column) -> Column:
-    """Equal but for case and blanks, the same last word, or one of them "Last, First" of the other."""
-    x, y = F.lower(squeeze(a)), F.lower(squeeze(b))
-    turned = lambda n: F.when(F.contains(n, F.lit(",")), squeeze(F.concat_ws(" ", F.substring_index(n, ",", -1), F.substring_index(n, ",", 1)))).otherwise(n)
-    x, y = turned(x), turned(y)
-    return (x != "") & (y != "") & ((x == y) | (F.substring_index(x, " ", -1) == F.substring_index(y, " ", -1)))
+    """Equal but for case, blanks and full stops, the same last word, or the family name of a "Last, First" form as the other's last word."""
+    whole = lambda n: F.lower(squeeze(F.replace(n, F.lit("."), F.lit(" "))))
+    last = lambda n: F.lower(F.substring_index(squeeze(n), " ", -1))
+    family = lambda n: F.when(F.contains(n, F.lit(",")), F.lower(strip(F.substring_index(n, ",", 1))))
+    said = (strip(a) != "") & (strip(b) != "")
+    same = (whole(a) == whole(b)) | (last(a) == last(b)) | F.coalesce(family(a) == last(b), F.lit(False)) | F.coalesce(family(b) == last(a), F.lit(False)) | F.coalesce(family(a) == family(b), F.lit(False))
+    return F.coalesce(said & same, F.lit(False))
+
+
+@F.pandas_udf(StringType())
+def folded_name(names: pd.Series) -> pd.Series:
+    """Lower case without accents or anything beyond ASCII, trimmed."""
+    return names.map(lambda n: None if n is None else unicodedata.normalize("NFKD", n).encode("ascii", "ignore").decode("ascii").lower().strip())
 
 
 #: Words that tell an affiliation.
@@ -388,9 +400,29 @@ def bibtex_entry(kind: Column, key: Column, fields: dict[str, Column]) -> Column
     return F.concat(F.lit("@"), kind, F.lit("{"), key, F.lit(",\n"), F.array_join(F.array_compact(F.array(*parts)), ",\n"), F.lit("\n}"))
 
 
-def short_citation(authors: Column, year: Column, title: Column) -> Column:
-    """`A (year). Title`, `A and B`, `A et al.`; a title beyond 60 characters is cut."""
+def short_citation(authors: Column, year: Column, title: Column, ident: Column | None = None) -> Column:
+    """`A. (year). Title. arXiv:id.`, `A and B`, `A et al.`; a title beyond 60 characters is cut; '' without authors or a title."""
     a = F.filter(authors, lambda x: strip(x) != "")
-    who = F.when(F.size(a) == 0, "Unknown").when(F.size(a) == 1, F.get(a, F.lit(0))).when(F.size(a) == 2, F.concat_ws(" and ", a)).otherwise(F.concat(F.get(a, F.lit(0)), F.lit(" et al.")))
+    who = F.when(F.size(a) == 1, F.get(a, F.lit(0))).when(F.size(a) == 2, F.concat_ws(" and ", a)).otherwise(F.concat(F.get(a, F.lit(0)), F.lit(" et al.")))
     cut = F.when(F.length(title) > 60, F.concat(F.substring(title, 1, 57), F.lit("..."))).otherwise(title)
-    return F.concat(who, F.lit(" ("), F.coalesce(year, F.lit("n.d.")), F.lit("). "), cut)
+    given = lambda c: F.nullif(c, F.lit(""))
+    parts = [who, F.concat(F.lit("("), given(year), F.lit(")")), cut, F.concat(F.lit("arXiv:"), given(ident)) if ident is not None else F.lit(None).cast("string")]
+    there = (F.size(a) > 0) & (F.coalesce(title, F.lit("")) != "")
+    return F.when(F.coalesce(there, F.lit(False)), F.concat(F.array_join(F.array_compact(F.array(*parts)), ". "), F.lit("."))).otherwise("")
+
+
+def paper_bibtex(authors: Column, year: Column, title: Column, ident: Column, category: Column, url: Column) -> Column:
+    """`misc` entry of a paper by its id, keyed by the first author's family name, the year and the id up to its point; '' where one of these is missing."""
+    a = F.filter(authors, lambda x: strip(x) != "")
+    first = F.get(a, F.lit(0))
+    family = F.when(F.contains(first, F.lit(",")), F.substring_index(first, ",", 1)).otherwise(F.substring_index(squeeze(first), " ", -1))
+    key = F.concat(F.lower(F.regexp_replace(family, "[^a-zA-Z]", "")), year, F.substring_index(ident, ".", 1))
+    braces = F.replace(F.replace(title, F.lit("{"), F.lit("{{")), F.lit("}"), F.lit("}}"))
+    given = lambda c: F.nullif(c, F.lit(""))
+    line = lambda name, v: F.concat(F.lit(f"  {name} = {{"), v, F.lit("},"))
+    lines = [
+        F.concat(F.lit("@misc{"), key, F.lit(",")), line("author", bibtex_authors(a)), line("title", braces), line("year", year), line("eprint", without_version(ident)), F.lit("  archivePrefix = {arXiv},"),
+        line("primaryClass", given(category)), line("url", given(url)), F.lit("}"),
+    ]
+    there = (F.size(a) > 0) & (given(title).isNotNull()) & given(year).isNotNull() & given(ident).isNotNull()
+    return F.when(F.coalesce(there, F.lit(False)), F.array_join(F.array_compact(F.array(*lines)), "\n")).otherwise("")

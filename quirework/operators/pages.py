@@ -84,10 +84,12 @@ def cut_at_display(tokens: list[dict]) -> Iterator[tuple[str | None, list[dict]]
         kept = _without_empty([*run, *({**t, "op": "close"} for t in reversed(held))])
         if not any(t["op"] != "text" or t["text"].strip() for t in kept):
             return []
-        inner = [k for k, t in enumerate(kept) if t["op"] not in ("open", "close")]
-        for k, side in ((inner[0], str.lstrip), (inner[-1], str.rstrip)) if inner else ():
-            if kept[k]["op"] == "text":
-                kept[k] = kept[k] | {"text": side(kept[k]["text"])}
+        for side, around, order in ((str.lstrip, "open", range(len(kept))), (str.rstrip, "close", range(len(kept) - 1, -1, -1))):
+            for k in order:
+                if kept[k]["op"] == "text":
+                    kept[k] = kept[k] | {"text": side(kept[k]["text"])}
+                if kept[k]["op"] != around and kept[k]["text"] != "":
+                    break
         return [t for t in kept if t["op"] != "text" or t["text"]]
 
     for t in tokens:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.session import cut_lineage
 from ..operators import graph as G
+from ..operators import images as I
 from ..operators import markdown as M
 from ..operators import numbering as N
 from ..operators import outline as O
@@ -35,6 +36,7 @@ class Tables:
     sections: DataFrame
     blocks: DataFrame
     options: Options = field(default_factory=Options)
+    svgs: DataFrame | None = None
 
     def transform(self, *passes) -> Tables:
         out = self
@@ -50,49 +52,53 @@ def from_parsed(parsed: DataFrame, options: Options = Options()) -> Tables:
     items = F.transform("sections", lambda s: F.struct(s["pos"].alias("pos"), s["level"].alias("level"), s["title"].alias("title"), s["anchor"].alias("anchor"), (s["unnumbered"] if has else F.lit(False)).alias("unnumbered")))
     sections = parsed.select("doc_id", F.inline(O.outlined(items)))
     blocks = P.blocks_of(parsed).withColumn("order", F.col("pos"))
-    return Tables(parsed.select("doc_id", "title", "authors", "abstract", T.parsed_date(F.col("submission_date")).alias("submission_date")), sections, blocks, options)
+    return Tables(parsed.select("doc_id", "title", "authors", "abstract", T.parsed_date(F.col("submission_date")).alias("submission_date")), sections, blocks, options, parsed.select("doc_id", F.inline("svgs")))
 
 
 def section_filter(t: Tables) -> Tables:
     o = t.options
     kept = O.filter_content(t.sections, o.mode, list(o.sections))
     blocks = t.blocks.join(kept.select("doc_id", F.col("pos").alias("sec_pos")), ["doc_id", "sec_pos"], "left_semi")
-    if O.keeps_abstract(o.mode, list(o.sections)):
-        blocks = blocks.unionByName(t.blocks.filter("region = 'abstract'"))
-    return Tables(t.docs, kept, blocks, o)
+    # the title block isn't a section, and the abstract counts as one only by its name
+    kept_regions = ["front_matter", *(["abstract"] if O.keeps_abstract(o.mode, list(o.sections)) else [])]
+    blocks = blocks.unionByName(t.blocks.filter(F.col("region").isin(kept_regions)))
+    return replace(t, sections=kept, blocks=blocks)
 
 
 def empty_sections(t: Tables) -> Tables:
-    return Tables(t.docs, O.without_empty(t.sections, t.blocks), t.blocks, t.options)
+    return replace(t, sections=O.without_empty(t.sections, t.blocks))
 
 
 def numbers(t: Tables) -> Tables:
-    return Tables(t.docs, t.sections, N.number_blocks(t.blocks.withColumnRenamed("number", "claimed")), t.options)
+    """Blocks of the abstract and the sections; those of the title block keep the number of their own caption."""
+    beside = F.col("region") == "front_matter"
+    numbered = N.number_blocks(t.blocks.filter(~beside).withColumnRenamed("number", "claimed"))
+    return replace(t, blocks=numbered.unionByName(t.blocks.filter(beside).withColumn("claimed", F.col("number"))))
 
 
 def section_titles(t: Tables) -> Tables:
     if not t.options.number_sections:
         return t
     s = t.sections.withColumn("title", F.concat_ws(" ", "number", "title")).withColumn("struct_id", F.coalesce("number", "struct_id"))
-    return Tables(t.docs, s, t.blocks, t.options)
+    return replace(t, sections=s)
 
 
 def figure_order(t: Tables) -> Tables:
     b = t.blocks.withColumn("scope", F.coalesce("sec_pos", F.lit(-1)))
     figures = F.when(F.col("kind") == "figure", F.col("number"))
     moved = N.reorder_figures(b.withColumn("_fig", figures), number="_fig")
-    return Tables(t.docs, t.sections, moved.withColumn("order", F.col("new_pos")).drop("scope", "_fig", "new_pos"), t.options)
+    return replace(t, blocks=moved.withColumn("order", F.col("new_pos")).drop("scope", "_fig", "new_pos"))
 
 
 def anchors(t: Tables) -> Tables:
     made = F.when(F.col("kind").isin(*N.KINDS), N.block_id(F.col("kind"), F.col("number")))
     based = t.blocks.withColumn("base", F.coalesce(made, N.block_anchor(F.col("kind"), F.lit(None).cast("string"), F.col("label"), F.col("number"))))
     s = t.sections.withColumn("anchor", O.section_anchor(F.col("title"), F.col("struct_id")))
-    return Tables(t.docs, s, N.unique_anchors(based).drop("base"), t.options)
+    return replace(t, sections=s, blocks=N.unique_anchors(based).drop("base"))
 
 
 def parts(t: Tables) -> Tables:
-    return Tables(t.docs, O.split_parts(t.sections, t.options.reference_titles), t.blocks, t.options)
+    return replace(t, sections=O.split_parts(t.sections, t.options.reference_titles))
 
 
 DEFAULT = (section_filter, empty_sections, numbers, section_titles, figure_order, anchors, parts)
@@ -111,7 +117,7 @@ def _written(t: Tables) -> DataFrame:
 def stored(t: Tables) -> Tables:
     """The same tables, with each block's Markdown, stored for several outputs to read."""
     keep = ["doc_id", "region", "sec_pos", "pos", "order", "kind", "indent", "text", "md", "images"]
-    return Tables(t.docs, cut_lineage(t.sections), cut_lineage(_written(t).select(*keep)), t.options)
+    return replace(t, sections=cut_lineage(t.sections), blocks=cut_lineage(_written(t).select(*keep)))
 
 
 def to_markdown(t: Tables) -> DataFrame:
@@ -153,6 +159,12 @@ def to_json(t: Tables, mode: str = "document") -> DataFrame:
     return d.select("doc_id", F.to_json(F.struct(meta.alias("meta"), "sections", "blocks"), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def to_assets(t: Tables) -> DataFrame:
+    """(doc_id, pos, path, kind, stem, content): distinct images of the documents in order, with the markup of those drawn in the page."""
+    refs = t.blocks.select("doc_id", F.col("pos").alias("ord"), F.explode("images").alias("i")).select("doc_id", "ord", F.col("i.src").alias("src"))
+    return I.assets(refs, t.svgs)
+
+
 def to_graph(t: Tables) -> tuple[DataFrame, DataFrame]:
     placed = t.blocks.join(t.sections.select("doc_id", F.col("pos").alias("sec_pos"), F.col("struct_id").alias("section")), ["doc_id", "sec_pos"])
     images = t.blocks.select("doc_id", "pos", F.explode("images").alias("i")).select("doc_id", "pos", F.col("i.src").alias("path"), F.lit("image").alias("kind"))

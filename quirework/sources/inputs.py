@@ -4,28 +4,55 @@ from __future__ import annotations
 
 import gzip
 import io
+import os
+import re
 import tarfile
 import time
 import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions.session import cut_lineage
 
 # ---- lines and files
 
 
 def batch_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, kind, arxiv fields): one input a line; blank and comment lines stay as `skip` rows for the report."""
-    return classify(spark.read.text(path).select(F.col("value").alias("line")))
+    """(n, line, kind, arxiv fields): one input a line, n ascending with the lines; blank and comment lines stay as `skip` rows for the report.
+
+    The lines are stored once, so that a line keeps its n whenever it is read again.
+    """
+    return cut_lineage(classify(spark.read.text(path).select(F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))))
 
 
 def classify(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("kind", T.input_kind(F.col("line"))).withColumn("arxiv", T.arxiv_input(F.col("line"))).select("line", "kind", "arxiv.*")
+    """Adds kind and the arxiv fields; n, if the lines have it, stays."""
+    return lines.withColumn("kind", T.input_kind(F.col("line"))).withColumn("arxiv", T.arxiv_input(F.col("line"))).select(*(["n"] if "n" in lines.columns else []), "line", "kind", "arxiv.*")
+
+
+def read_files(inputs: DataFrame, key: str = "n", path: str = "line") -> DataFrame:
+    """(key, content, error): files that all executors reach, each read by the task that holds its row; a missing one is its row's error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for k, p in zip(pdf["key"], pdf["path"]):
+                try:
+                    where, inside = fs.FileSystem.from_uri(p) if "://" in p else (fs.LocalFileSystem(), os.path.expanduser(p))
+                    with where.open_input_stream(inside, compression=None) as f:
+                        rows.append((k, f.read(), None))
+                except (OSError, ValueError) as e:
+                    rows.append((k, None, f"StorageError: {type(e).__name__}"))
+            yield pd.DataFrame(rows, columns=["key", "content", "error"])
+
+    df = inputs.select(F.col(key).alias("key"), F.trim(path).alias("path"))
+    return df.mapInPandas(run, f"key {dict(inputs.dtypes)[key]}, content binary, error string").withColumnRenamed("key", key)
 
 
 def local_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -87,16 +114,17 @@ MAIN_TEX, MAIN_HTML = ("main.tex", "paper.tex", "article.tex"), ("index", "full_
 
 
 def main_tex(files: DataFrame) -> DataFrame:
-    """(doc_id, main): an only file; a usual name; a root file that is a document; a file named by its id; the largest in the root; the largest."""
+    """(doc_id, main): an only file; a usual name in the root; a root file that is a document; a file named by its id; the largest in the root; the largest."""
     t = files.filter(F.lower("path").endswith(".tex"))
-    name, root = F.lower(F.element_at(F.split("path", "/"), -1)), ~F.contains("path", F.lit("/"))
     text = F.decode("content", "utf-8")
+    name, root = F.element_at(F.split("path", "/"), -1), ~F.contains("path", F.lit("/"))
     whole = text.contains("\\documentclass") & text.contains("\\begin{document}")
+    usual = F.array_position(F.array(*map(F.lit, MAIN_TEX)), F.col("path"))
     rank = (
-        F.when(F.count("*").over(Window.partitionBy("doc_id")) == 1, 0).when(name.isin(*MAIN_TEX), F.array_position(F.array(*map(F.lit, MAIN_TEX)), name)).when(root & whole, 10)
+        F.when(F.count("*").over(Window.partitionBy("doc_id")) == 1, 0).when(usual > 0, usual).when(root & whole, 10)
         .when(name.rlike(r"\d{4}\.\d{4,5}"), 20).when(root, 30).otherwise(40)
     )
-    best = F.row_number().over(Window.partitionBy("doc_id").orderBy("_rank", F.desc("size"), "path"))
+    best = F.row_number().over(Window.partitionBy("doc_id").orderBy("_rank", F.when(F.col("_rank") >= 30, -F.col("size")), "path"))
     return t.withColumn("_rank", rank).withColumn("_n", best).filter("_n = 1").select("doc_id", F.col("path").alias("main"))
 
 
@@ -120,8 +148,12 @@ def image_inventory(files: DataFrame) -> DataFrame:
 Fetcher = Callable[[str], tuple[int, str, bytes]]
 #: Statuses worth another try.
 RETRY = frozenset((429, 500, 502, 503, 504))
-#: What a page says that has no content yet.
-PLACEHOLDER = ("HTML is not available for the source", "Conversion to HTML had a Fatal error")
+#: The title of a page that stands for a paper without one.
+PLACEHOLDER = r"<title>\s*No content available\s*</title>"
+
+
+def is_placeholder(html: Column) -> Column:
+    return F.coalesce(html.rlike(PLACEHOLDER), F.lit(False))
 
 
 def fetch_with_retries(fetch: Fetcher, url: str, tries: int = 3, backoff_s: float = 3.0, wait: Callable[[float], None] = time.sleep) -> tuple[int, str, bytes | None, str | None]:
@@ -145,31 +177,77 @@ def fetch_with_retries(fetch: Fetcher, url: str, tries: int = 3, backoff_s: floa
     return status, kind, None, reason
 
 
-def fetch_pages(inputs: DataFrame, make_fetcher: Callable[[], Fetcher], key: str = "id", urls: tuple[str, ...] = ("html_url", "ar5iv_url"), tries: int = 3, backoff_s: float = 3.0, partitions: int | None = None) -> DataFrame:
-    """(key, url, html, error): the first address that has a page. One fetcher a partition; the partitions bound the concurrency."""
+def _with_fetcher(make_fetcher: Callable[[], Fetcher], one: Callable[[Fetcher, tuple], tuple], columns: list[str]):
+    """A partition's rows through one fetcher, which is closed behind them if it can be."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fetch = make_fetcher()
-        for pdf in batches:
-            rows = []
-            for row in pdf.itertuples(index=False):
-                url, page, error = None, None, "no address"
-                for url in [u for u in row[1:] if u]:
-                    status, kind, body, error = fetch_with_retries(fetch, url, tries, backoff_s)
-                    if body is not None and "text/html" not in kind:
-                        body, error = None, f"content type {kind}"
-                    if body is not None:
-                        page = body.decode("utf-8", "replace")
-                        if any(p in page for p in PLACEHOLDER):
-                            page, error = None, "no page for this source"
-                    if page is not None:
-                        break
-                rows.append((row[0], url, page, None if page is not None else error))
-            yield pd.DataFrame(rows, columns=["key", "url", "html", "error"])
+        try:
+            for pdf in batches:
+                yield pd.DataFrame([one(fetch, tuple(None if x != x else x for x in row)) for row in pdf.itertuples(index=False)], columns=columns)
+        finally:
+            getattr(fetch, "close", lambda: None)()
+
+    return run
+
+
+def fetch_pages(inputs: DataFrame, make_fetcher: Callable[[], Fetcher], key: str = "id", urls: tuple[str, ...] = ("html_url", "ar5iv_url"), tries: int = 3, backoff_s: float = 3.0, partitions: int | None = None, delay_s: float = 0.0) -> DataFrame:
+    """(key, url, html, error): the first address that has a page, the next being tried where one isn't found. A placeholder page is an error.
+
+    One fetcher a partition; the partitions bound the concurrency, and a delay spaces their requests.
+    """
+
+    def one(fetch: Fetcher, row: tuple) -> tuple:
+        url, error = None, "no address"
+        for url in [u for u in row[1:] if u]:
+            if delay_s:
+                time.sleep(delay_s)
+            _, kind, body, error = fetch_with_retries(fetch, url, tries, backoff_s)
+            if body is not None:
+                page = body.decode("utf-8", "replace")
+                error = f"content type {kind}" if "text/html" not in kind else "no page for this source" if re.search(PLACEHOLDER, page) else None
+                return row[0], url, None if error else page, error
+            if error != "not found":
+                break
+        return row[0], url, None, error
 
     df = inputs.select(key, *urls)
     df = df.repartition(partitions) if partitions else df
-    return df.mapInPandas(run, f"key {dict(inputs.dtypes)[key]}, url string, html string, error string").withColumnRenamed("key", key)
+    return df.mapInPandas(_with_fetcher(make_fetcher, one, ["key", "url", "html", "error"]), f"key {dict(inputs.dtypes)[key]}, url string, html string, error string").withColumnRenamed("key", key)
+
+
+def fetch_files(inputs: DataFrame, make_fetcher: Callable[[], Fetcher], key: str = "id", url: str = "url", tries: int = 3, backoff_s: float = 3.0, tex: bool = False) -> DataFrame:
+    """(key, content, error): a paper's PDF or its archive. With `tex`, a PDF served in the place of TeX counts as not found, told by its type or its first bytes."""
+
+    def one(fetch: Fetcher, row: tuple) -> tuple:
+        if not row[1]:
+            return row[0], None, "no address"
+        _, kind, body, error = fetch_with_retries(fetch, row[1], tries, backoff_s)
+        if body is not None and tex and ("application/pdf" in kind or body[:5] == PDF_MAGIC):
+            return row[0], None, "not found"
+        return row[0], body, error
+
+    return inputs.select(key, url).mapInPandas(_with_fetcher(make_fetcher, one, ["key", "content", "error"]), f"key {dict(inputs.dtypes)[key]}, content binary, error string").withColumnRenamed("key", key)
+
+
+def fetch_records(inputs: DataFrame, make_fetcher: Callable[[], Fetcher], key: str = "id", url: str = "url", tries: int = 3, backoff_s: float = 3.0) -> DataFrame:
+    """(key, body): an answer of a metadata service as text, null where there is none: what isn't found or fails is no error here."""
+
+    def one(fetch: Fetcher, row: tuple) -> tuple:
+        body = fetch_with_retries(fetch, row[1], tries, backoff_s)[2] if row[1] else None
+        return row[0], None if body is None else body.decode("utf-8", "replace")
+
+    return inputs.select(key, url).mapInPandas(_with_fetcher(make_fetcher, one, ["key", "body"]), f"key {dict(inputs.dtypes)[key]}, body string").withColumnRenamed("key", key)
+
+
+def record_urls(ident: Column, doi: Column) -> Column:
+    """Addresses of a paper's records: feed, abstract page, registry and aggregator."""
+    base = T.without_version(ident)
+    return F.struct(
+        F.concat(F.lit("https://export.arxiv.org/api/query?id_list="), ident).alias("atom"), F.concat(F.lit("https://arxiv.org/abs/"), base).alias("abs"),
+        F.when(~T.is_arxiv_doi(doi), F.concat(F.lit("https://api.crossref.org/works/"), F.regexp_replace(doi, r"^(?:https?://(?:dx\.)?doi\.org/|doi:)", ""))).alias("crossref"),
+        F.concat(F.lit("https://api.openalex.org/works/https://doi.org/10.48550/arXiv."), base).alias("openalex"),
+    )
 
 
 def through_cache(inputs: DataFrame, cache: DataFrame, ttl_s: int, now: Column | None = None, key: str = "cache_key") -> tuple[DataFrame, DataFrame]:

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from ..functions.session import cut_lineage
+from .yaml_files import dump
 
 
 def write_text(df: DataFrame, path: str, name: str = "name", text: str = "text") -> None:
@@ -28,6 +35,16 @@ def write_bundle(path: str, json: DataFrame | None = None, nodes: DataFrame | No
         bibtex.select("entry").write.mode("overwrite").text(f"{path}/bibtex")
 
 
+def write_records(records: DataFrame, path: str) -> None:
+    """Paper records (arxiv_id, record as JSON) as YAML, one folder a paper."""
+
+    @F.pandas_udf(StringType())
+    def to_yaml(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else dump(json.loads(t)))
+
+    write_text(records.select(F.replace("arxiv_id", F.lit("/"), F.lit("_")).alias("name"), to_yaml("record").alias("text")), path)
+
+
 def result_lines(df: DataFrame) -> DataFrame:
     """One machine-readable line a row."""
     return df.select(F.to_json(F.struct("*")).alias("value"))
@@ -35,6 +52,6 @@ def result_lines(df: DataFrame) -> DataFrame:
 
 def write_svgs(assets: DataFrame, path: str) -> int:
     """Inline SVGs with content; how many there were."""
-    svgs = assets.filter((F.col("kind") == "svg") & F.col("content").isNotNull())
+    svgs = cut_lineage(assets.filter((F.col("kind") == "svg") & F.col("content").isNotNull()))
     write_text(svgs, path, "path", "content")
     return svgs.count()

@@ -1,4 +1,9 @@
+import io
 import json
+import tarfile
+import zipfile
+
+from pyspark.sql import functions as F
 
 from quirework.operators import authors as A
 from quirework.operators import tex, traverse
@@ -143,12 +148,74 @@ def test_tex_authors():
     assert (names, hints) == (["Jane Doe"], ["MIT"])
 
 
-def test_batch(spark):
-    from quirework.sources.inputs import classify
-
-    lines = classify(spark.createDataFrame([("2101.00001",), ("# x",), ("",), ("bad",)], "line string"))
-    counts = batch.report(lines, lines)
-    assert {r.status: r.n for r in counts.collect()} == {"ok": 1, "skip": 2, "error": 1} and batch.exit_code(counts) == 1
+def test_batch(spark, tmp_path):
+    page = '<article class="ltx_document"><h1 class="ltx_title ltx_title_document">P{0}</h1><section class="ltx_section"><h2>S</h2><p>text {0}</p></section></article>'
+    (tmp_path / "a.html").write_text(page.format("local"))
+    with tarfile.open(tmp_path / "b.tar.gz", "w:gz") as t:
+        for name, text in (FILES | {"f.png": "x"}).items():
+            info = tarfile.TarInfo(name)
+            info.size = len(text.encode())
+            t.addfile(info, io.BytesIO(text.encode()))
+    with zipfile.ZipFile(tmp_path / "c.zip", "w") as z:
+        z.writestr("index.html", page.format("zipped"))
+    (tmp_path / "d.zip").write_bytes(b"PKbroken")
+    lines = ["# list", "", "2101.00001", "2101.00001", "2101.00002", "2101.00003", f"{tmp_path}/a.html", f"{tmp_path}/b.tar.gz", f"{tmp_path}/c.zip", f"{tmp_path}/d.zip", f"{tmp_path}/gone.html", "what is it"]
+    (tmp_path / "lines.txt").write_text("\n".join(lines))
+
+    def maker():
+        def fetch(url):
+            if url.endswith("00001"):
+                return 200, "text/html", page.format("remote").encode()
+            if url.endswith("00002"):
+                return 200, "text/html", b"<title> No content available </title>"
+            return 404, "", b""
+
+        return fetch
+
+    documents, outcomes = batch.run_batch(batch.I.batch_lines(spark, str(tmp_path / "lines.txt")), make_fetcher=maker, tries=1)
+    got = [(r.line, r.status, r.error) for r in outcomes.orderBy("n").collect()]
+    assert [x[0] for x in got] == lines and [x[1] for x in got] == ["skip", "skip", "ok", "ok", "error", "error", "ok", "ok", "ok", "error", "error", "error"]
+    assert [x[2] for x in got if x[2]] == ["NetworkError: no page for this source", "NetworkError: not found", "IngestionError: an archive without a TeX file or a page", "StorageError: FileNotFoundError", "UserInputError: neither an arXiv id nor a page or archive"]
+    counts = batch.report(outcomes)
+    assert {r.status: r.n for r in counts.collect()} == {"ok": 5, "skip": 2, "error": 5} and batch.exit_code(counts) == 1
+    assert batch.until_first_error(outcomes).count() == 5
+    assert {r.c for r in outcomes.select(batch.error_class(F.col("error")).alias("c")).collect()} == {None, "NetworkError", "IngestionError", "StorageError", "UserInputError"}
+    text = {r.title: r.content for r in documents.collect()}
+    assert set(text) == {"Premote", "Plocal", "Pzipped", "A T"} and text["Plocal"] == "## S\n\ntext local\n" and "![](f.png)" in text["A T"] and "## 1 Intro" in text["A T"]
+    without = batch.run_batch(batch.I.batch_lines(spark, str(tmp_path / "lines.txt")).filter("kind = 'arxiv'"))[1]
+    assert {r.error for r in without.collect()} == {"NetworkError: no fetcher is installed"}
+
+
+def test_stubs(spark):
     stub = batch.with_stubs(spark.createDataFrame([("a", None, "not found"), ("b", "<p>", None)], "id string, html string, error string"))
     assert [r.is_stub for r in stub.orderBy("id").collect()] == [True, False]
-    assert {k: v.count() for k, v in batch.route(lines).items()}["skip"] == 2
+
+
+def test_cuts_at_display_formulas():
+    show = lambda ts: [(t["op"], t["style"] or t["text"]) for t in ts]
+    tok, math = P._tok, P._tok("math", "z", display=True)
+    tokens = [tok("open", style="italic"), tok("text", "a "), math, tok("open", style="bold"), tok("text", " "), tok("close", style="bold"), tok("text", " b "), tok("close", style="italic"), math, tok("text", " ")]
+    got = [(latex, show(run)) for latex, run in P.cut_at_display(tokens)]
+    one = lambda t: [("open", "italic"), ("text", t), ("close", "italic")]
+    assert got == [(None, one("a")), ("z", []), (None, one("b")), ("z", [])]
+    page = P.read_page('<section><h2>x</h2><p><em>a <math display="block" alttext="z"></math> b</em></p></section>')
+    assert [(b["kind"], show(b["inlines"])) for b in page["blocks"]] == [("paragraph", one("a")), ("equation", []), ("paragraph", one("b"))]
+    text = tex.read_tex("m", {"m": "\\section{s} \\emph{a \\[z\\] b}"})
+    assert [(b["kind"], show(b["inlines"])) for b in text["blocks"]] == [("paragraph", one("a")), ("equation", []), ("paragraph", one("b"))]
+
+
+def test_front_matter_and_drawn_figures(spark):
+    html = """<article class="ltx_document"><div class="ltx_abstract"><p>abs</p></div><figure class="ltx_figure" id="f0"><svg width="5"><path d="M0"/></svg><figcaption>Figure 1: teaser</figcaption></figure><p>not this</p>
+    <section class="ltx_section"><h2>One</h2><figure class="ltx_figure"><svg></svg></figure><figure class="ltx_figure"></figure></section></article>"""
+    t = PL.convert(spark.createDataFrame([(1, html)], "doc_id int, html string"))
+    got = {(r.region, r.kind, r.number, r.anchor) for r in t.blocks.collect()}
+    assert {x for x in got if x[1] == "figure"} == {("front_matter", "figure", 1, "figure-1"), ("section", "figure", 1, "figure-1-2")}
+    assert {(r.path, r.kind, r.content) for r in PL.to_assets(t).collect()} == {("images/figure-1.svg", "svg", '<svg width="5"><path d="M0"></path></svg>'), ("images/figure-2.svg", "svg", "<svg></svg>")}
+    assert "teaser" not in PL.to_markdown(t).first().content and "images/figure-2.svg" in PL.to_markdown(t).first().content
+
+
+def test_missing_braces():
+    assert tex.close_braces("\\emph{a % {\n\\{ \\end{document}") == "\\emph{a % {\n\\{ }\\end{document}"
+    assert tex.close_braces("{" * 26 + "\\end{document}") == "{" * 26 + "\\end{document}"
+    blocks = tex.read_tex("m", {"m": "\\begin{document}\\section{s}a \\emph{b\n\n\\end{document}"})["blocks"]
+    assert [b["kind"] for b in blocks] == ["paragraph"]

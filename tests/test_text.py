@@ -70,7 +70,7 @@ def test_numbers_and_lists(ev):
     assert ev(T.fingerprint(arr("a", "b"))) == __import__("hashlib").sha256(b"a\nb\n").hexdigest()
 
 
-@pytest.mark.parametrize("a,b,want", [("Doe, Jane", "jane doe", True), ("J. Doe", "Jane Doe", True), ("Jane Doe", "Jane Roe", False), ("", "", False)])
+@pytest.mark.parametrize("a,b,want", [("Doe, Jane", "jane doe", True), ("J.K. Doe", "J K  doe.", True), ("J. Doe", "Jane Doe", True), ("Jane Doe", "Jane Roe", False), ("", "", False)])
 def test_names_match(ev, a, b, want):
     assert ev(T.names_match(L(a), L(b))) is want
 
@@ -114,7 +114,10 @@ def test_bibtex(ev):
     assert ev(T.citation_key(F.expr("array()").cast("array<string>"), L("2020"), L("Big deal"))) == "2020big"
     assert ev(T.bibtex_authors(arr("Jane M. Doe", "X, Y"))) == "Doe, Jane M. and X, Y"
     assert ev(T.bibtex_entry(L("article"), L("k"), {"title": L("T"), "booktitle": L("B"), "doi": L(None).cast("string")})) == "@article{k,\n  title = {T}\n}"
-    assert ev(T.short_citation(arr("A", "B", "C"), L("2020"), L("t" * 70))) == "A et al. (2020). " + "t" * 57 + "..."
+    assert ev(T.short_citation(arr("A", "B", "C"), L("2020"), L("t" * 70))) == "A et al.. (2020). " + "t" * 57 + "...."
+    assert ev(T.short_citation(arr("A", "B"), L(None).cast("string"), L("T"), L("2101.00001"))) == "A and B. T. arXiv:2101.00001." and ev(T.short_citation(arr(), L("2020"), L("T"))) == ""
+    assert ev(T.paper_bibtex(arr("Jane Doe", "X, Y"), L("2020"), L("{T}"), L("2101.00001v2"), L("cs.CL"), L(""))).splitlines() == ["@misc{doe20202101,", "  author = {Doe, Jane and X, Y},", "  title = {{{T}}},", "  year = {2020},", "  eprint = {2101.00001},", "  archivePrefix = {arXiv},", "  primaryClass = {cs.CL},", "}"]
+    assert ev(T.bibtex_escape(L("a^b~c%"))) == "a\\^{}b\\textasciitilde{}c\\%"
 
 
 def test_listings(ev):
