@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from ..functions.dom import Element, flat
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.dom import Element, flat, parse
 from ..functions.text import AFFILIATION_WORDS, FOOTNOTE_MARKS, PLACE, SKIP_WORDS
 
 Author = tuple[str, list[str]]
@@ -274,3 +279,30 @@ def tex_authors(tex: str | None) -> list[Author]:
         if found := [(n, distinct([a for a in affs if a])) for n, affs in style(t) if n]:
             return found
     return []
+
+
+# ---- as tables
+
+
+def tex_author_rows(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ord, name, affiliations) of TeX sources; a null text, or one without authors, gives no rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(k, n, name, affs) for k, t in zip(pdf["key"], pdf["text"]) for n, (name, affs) in enumerate(tex_authors(t))]
+            yield pd.DataFrame(rows, columns=["key", "ord", "name", "affiliations"])
+
+    kind = dict(texts.dtypes)[key]
+    return texts.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, ord int, name string, affiliations array<string>").withColumnRenamed("key", key)
+
+
+def abstract_page_rows(pages: DataFrame, key: str = "doc_id", html: str = "html") -> DataFrame:
+    """(key, names, hints) of abstract pages; a null page has neither."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(k, *abstract_page_authors(parse(h))) for k, h in zip(pdf["key"], pdf["html"])]
+            yield pd.DataFrame(rows, columns=["key", "names", "hints"])
+
+    kind = dict(pages.dtypes)[key]
+    return pages.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInPandas(run, f"key {kind}, names array<string>, hints array<string>").withColumnRenamed("key", key)

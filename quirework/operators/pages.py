@@ -23,13 +23,13 @@ from . import authors as A
 INLINE = "op string, style string, text string, url string, kind string, display boolean"
 BLOCK = (
     f"region string, sec_pos int, pos int, kind string, level int, inlines array<struct<{INLINE}>>, caption array<struct<{INLINE}>>, text string, latex string, number int, eq_number string, label string, "
-    f"language string, ordered boolean, marker string, indent int, quote int, images array<struct<src string, alt string, width string>>, cells array<array<array<struct<{INLINE}>>>>"
+    f"language string, ordered boolean, marker string, indent int, list_no int, quote int, images array<struct<src string, alt string, width string>>, cells array<array<array<struct<{INLINE}>>>>"
 )
 PAGE = (
     "title string, authors array<struct<name string, affiliations array<string>>>, abstract string, submission_date string, "
     f"sections array<struct<pos int, level int, title string, anchor string>>, blocks array<struct<{BLOCK}>>, svgs array<struct<path string, content string>>"
 )
-_BLOCK_FIELDS = ["region", "sec_pos", "pos", "kind", "level", "inlines", "caption", "text", "latex", "number", "eq_number", "label", "language", "ordered", "marker", "indent", "quote", "images", "cells"]
+_BLOCK_FIELDS = ["region", "sec_pos", "pos", "kind", "level", "inlines", "caption", "text", "latex", "number", "eq_number", "label", "language", "ordered", "marker", "indent", "list_no", "quote", "images", "cells"]
 HEADINGS = "h1 h2 h3 h4 h5 h6"
 EQUATION = r"ltx_equationgroup|ltx_eqn_align|ltx_eqn_table|ltx_equation"
 STYLES = {"em": "italic", "i": "italic", "strong": "bold", "b": "bold", "u": "underline", "s": "strike", "del": "strike"}
@@ -145,6 +145,7 @@ class _Reader:
         self.blocks: list[dict] = []
         self.notes: list[tuple[str, list[dict]]] = []
         self.svgs: list[dict] = []
+        self.lists = 0
         self.region, self.sec, self.quote, self.indent = "section", None, 0, 0
 
     # -- inline
@@ -195,7 +196,7 @@ class _Reader:
 
     def add(self, kind: str, **values: object) -> None:
         row = dict.fromkeys(_BLOCK_FIELDS)
-        row.update(region=self.region, sec_pos=self.sec, pos=len(self.blocks), kind=kind, quote=self.quote, indent=self.indent, inlines=[], caption=[], images=[], cells=[])
+        row.update(region=self.region, sec_pos=self.sec, pos=len(self.blocks), kind=kind, quote=self.quote, indent=self.indent, list_no=self.lists if self.indent else None, inlines=[], caption=[], images=[], cells=[])
         row.update(values)
         if "inlines" in values and not row["text"]:
             row["text"] = flat(" ".join(t["text"] or "" for t in row["inlines"] if t["op"] in ("text", "math", "raw", "image", "cite")))
@@ -275,6 +276,7 @@ class _Reader:
 
     def items(self, e: Element, ordered: bool) -> None:
         n = 0
+        self.lists += self.indent == 0
         for item in e.kids:
             if item.__class__ is str or not (item.tag == "li" or item.has("ltx_item")):
                 continue
@@ -282,8 +284,7 @@ class _Reader:
             at = len(self.blocks)
             self.indent += 1
             self.children(item, skip=r"ltx_tag\b")
-            if len(self.blocks) > at:
-                self.blocks[at].update(marker=f"{n}." if ordered else "-", ordered=ordered)
+            mark_item(self.blocks, at, self.indent, self.quote, f"{n}." if ordered else "-")
             self.indent -= 1
 
     def figure(self, e: Element) -> None:
@@ -319,6 +320,22 @@ class _Reader:
             self.flush_notes()
 
 
+def mark_item(blocks: list[dict], at: int, indent: int, quote: int, marker: str) -> None:
+    """Blocks from `at` on as one item: paragraphs that follow each other become one line with the marker, again after a nested list or another kind of block."""
+    kept: list[dict] = []
+    for b in blocks[at:]:
+        own = b["kind"] == "paragraph" and b["indent"] == indent and b["quote"] == quote
+        if own and kept and kept[-1].get("_own"):
+            kept[-1]["inlines"] = [*kept[-1]["inlines"], _tok("text", " "), *b["inlines"]]
+            kept[-1]["text"] = f"{kept[-1]['text']} {b['text']}"
+        else:
+            kept.append(b | ({"marker": marker, "ordered": marker != "-", "_own": True} if own else {}))
+    for n, b in enumerate(kept):
+        b.pop("_own", None)
+        b["pos"] = at + n
+    blocks[at:] = kept
+
+
 def _number(caption: str, kind: str) -> int | None:
     m = re.search(rf"{kind}\s+(\d+)", caption, re.I)
     return int(m[1]) if m else None

@@ -116,7 +116,7 @@ def _written(t: Tables) -> DataFrame:
 
 def stored(t: Tables) -> Tables:
     """The same tables, with each block's Markdown, stored for several outputs to read."""
-    keep = ["doc_id", "region", "sec_pos", "pos", "order", "kind", "indent", "text", "md", "images"]
+    keep = ["doc_id", "region", "sec_pos", "pos", "order", "kind", "indent", "list_no", "text", "md", "images"]
     return replace(t, sections=cut_lineage(t.sections), blocks=cut_lineage(_written(t).select(*keep)))
 
 
@@ -172,7 +172,7 @@ def to_graph(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 
 def content_fingerprint(t: Tables) -> DataFrame:
-    """(doc_id, sha256) over the abstract's and each section's Markdown in order."""
-    b = _written(t)
-    parts_of = b.groupBy("doc_id", F.coalesce("sec_pos", F.lit(-1)).alias("s")).agg(F.array_join(F.sort_array(F.collect_list(F.struct("order", "md")))["md"], "\n\n").alias("md"))
+    """(doc_id, sha256) over the abstract's and each section's Markdown in order; what stands in the title block doesn't count."""
+    b = M.tight(_written(t).filter("region != 'front_matter'"))
+    parts_of = b.groupBy("doc_id", F.coalesce("sec_pos", F.lit(-1)).alias("s")).agg(M.joined_blocks(F.sort_array(F.collect_list(F.struct("order", "md")))["md"]).alias("md"))
     return parts_of.groupBy("doc_id").agg(T.fingerprint(F.sort_array(F.collect_list(F.struct("s", "md")))["md"]).alias("sha256"))

@@ -22,7 +22,7 @@ from ..operators import numbering as N
 from ..operators import outline as O
 from ..operators import pages as P
 from ..sources import inputs
-from . import batch
+from . import batch, markup_queries
 from . import pipeline as PL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -295,7 +295,7 @@ _QUERIES: list[Query] = [
 
 
 def queries() -> dict[str, Query]:
-    return {"p6_found": nested.found} | {q.__name__: q for q in _QUERIES}
+    return {"p6_found": nested.found} | {q.__name__: q for q in [*_QUERIES, *markup_queries.QUERIES]}
 
 
 _WS = r"[\s\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{001c}-\x{001f}\x{000b}]+"
@@ -448,4 +448,4 @@ def oracle_sql() -> dict[str, str]:
         "page_images": "SELECT p_partkey AS doc_id, p_name || '.png' AS src FROM part",
         "tex_images": "SELECT p_partkey AS doc_id, 0::BIGINT AS ord, 'fig/' || p_brand AS ref FROM part UNION ALL SELECT p_partkey, 1, p_type FROM part",
     }
-    return q
+    return q | markup_queries.sql()

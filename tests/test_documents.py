@@ -119,7 +119,7 @@ def test_tex_archive(spark):
     fd = spark.createDataFrame([(7, p, c, "main.tex") for p, c in FILES.items()], "doc_id long, path string, content string, main string")
     t = PL.from_parsed(tex.parse_archives(fd), PL.Options(number_sections=True)).transform(*PL.DEFAULT)
     md = PL.to_markdown(t).first()
-    for part in ("## Abstract\n\nShort.", "## 1 Intro\n\nText **bold** [2] and $x^2$.<sup>1</sup> Included.", "kept", "> Footnote 1: note", "$$\nE=mc^2 \\tag{1}\n$$", "### Un\n\n- a\n- b\n  1. c", "| a | b |\n| --- | --- |\n| 1 | 2 |\n\n> Cap", "![](f.png)\n\n> Fig"):
+    for part in ("## Abstract\n\nShort.", "## 1 Intro\n\nText **bold** [2] and $x^2$.<sup>1</sup> Included.\n\n[^1]\n\nnote", "kept", "$$\nE=mc^2 \\tag{1}\n$$", "### Un\n\n- a\n- b\n  1. c", "| a | b |\n| --- | --- |\n| 1 | 2 |\n\n> Cap", "![](f.png)\n\n> Fig"):
         assert part in md.content
     assert "gone" not in md.content and "foo" not in md.content and md.content_references == "## References\n\n- [1] One.\n- [2] Two.\n".replace("- [1]", '- [1]')
     d = t.docs.first()
