@@ -22,7 +22,7 @@ from ..operators import numbering as N
 from ..operators import outline as O
 from ..operators import pages as P
 from ..sources import inputs
-from . import batch, markup_queries
+from . import batch, markup_queries, source_queries
 from . import pipeline as PL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -190,7 +190,7 @@ def block_ids(spark, d):
 
 def content_hashes(spark, d):
     s = table(spark, d, "sections").filter("markdown is not null")
-    return s.groupBy("arxiv_id").agg(T.fingerprint(F.sort_array(F.collect_list(F.struct("section_id", "markdown")))["markdown"]).alias("sha256"))
+    return s.select("section_id", T.fingerprint(F.array(F.coalesce("title", F.lit("")), "markdown")).alias("sha256"))
 
 
 def distinct_affiliations(spark, d):
@@ -273,8 +273,9 @@ def paper_markdown(spark, d):
 
 
 def document_markdown(spark, d):
-    """Whole plan over documents as pages: summary, tree, Markdown and its hash."""
-    return batch.ingest(document_pages(spark, d)).select("doc_id", "title", "sections_tree", "sha256")
+    """Whole plan over documents as pages: tree, Markdown in its parts and its hash. Signs that Markdown escapes or reads as formulas are replaced before."""
+    pages = document_pages(spark, d).select("doc_id", F.translate("html", "$\\[]", "S/()").alias("html"))
+    return batch.ingest(pages).select("doc_id", "title", "sections_tree", "content", "content_references", "content_appendix", "sha256")
 
 
 def page_images(spark, d):
@@ -295,7 +296,7 @@ _QUERIES: list[Query] = [
 
 
 def queries() -> dict[str, Query]:
-    return {"p6_found": nested.found} | {q.__name__: q for q in [*_QUERIES, *markup_queries.QUERIES]}
+    return {"p6_found": nested.found} | {q.__name__: q for q in [*_QUERIES, *markup_queries.QUERIES, *source_queries.QUERIES]}
 
 
 _WS = r"[\s\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{001c}-\x{001f}\x{000b}]+"
@@ -305,11 +306,15 @@ _DAY = r"""coalesce(
   CASE WHEN regexp_matches(s, '\d{4}[-/]\d{1,2}[-/]\d{1,2}') THEN regexp_extract(s, '(\d{4})[-/](\d{1,2})[-/](\d{1,2})', 1) || lpad(regexp_extract(s, '(\d{4})[-/](\d{1,2})[-/](\d{1,2})', 2), 2, '0') || lpad(regexp_extract(s, '(\d{4})[-/](\d{1,2})[-/](\d{1,2})', 3), 2, '0') END,
   CASE WHEN regexp_matches(s, '^\d{8}$') THEN s END, strftime(try_strptime(s, ['%d %B %Y', '%d %b %Y', '%B %d, %Y', '%b %d, %Y']), '%Y%m%d'),
   strftime(try_strptime('1 ' || s, ['%d %B %Y', '%d %b %Y']), '%Y%m%d'))"""
-_WORDS = "(?i)" + "|".join(T.AFFILIATION_WORDS)
+#: What the SQL takes from itself, so that a wrong entry in the library shows.
+_WORDS = (
+    "(?i)university|college|institute|institution|laboratory|lab|school|center|centre|department|faculty|division|academy|consortium|corporation|corp|inc|ltd|gmbh|research|google|microsoft|meta|amazon|apple|deepmind|openai|anthropic|"
+    "nvidia|intel|ibm|facebook|twitter|tesla|uber|lyft|airbnb|netflix|stripe|square|berkeley|stanford|mit|harvard|caltech|cmu|princeton|yale|columbia|cornell|oxford|cambridge|eth|epfl|mpi|inria|cern|nasa|flatiron|allen|astera"
+)
 
 
 def _escaped(c: str) -> str:
-    for a, b in T.BIBTEX_ESCAPES:
+    for a, b in (("\\", "\\textbackslash{}"), ("{", "\\{"), ("}", "\\}"), ("&", "\\&"), ("%", "\\%"), ("$", "\\$"), ("#", "\\#"), ("_", "\\_"), ("^", "\\^{}"), ("~", "\\textasciitilde{}")):
         c = f"replace({c}, '{a}', '{b}')"
     return c
 
@@ -410,7 +415,15 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT * FROM (SELECT doc_id, lag(id) OVER (PARTITION BY doc_id ORDER BY pos) AS src, id, 'next' FROM s) WHERE src IS NOT NULL
             UNION ALL SELECT * FROM (SELECT doc_id, lag(id) OVER (PARTITION BY doc_id, sec ORDER BY i) AS src, id, 'next' FROM b) WHERE src IS NOT NULL""",
         "block_ids": "SELECT block_row_id, section_struct_id || ':b' || order_index || ':' || block_type AS id FROM blocks",
-        "content_hashes": "SELECT arxiv_id, sha256(string_agg(markdown, chr(10) ORDER BY section_id) || chr(10)) AS sha256 FROM sections WHERE markdown IS NOT NULL GROUP BY arxiv_id",
+        "content_hashes": "SELECT section_id, sha256(concat(title, chr(10), markdown, chr(10))) AS sha256 FROM sections WHERE markdown IS NOT NULL",
+        "document_markdown": rf"""
+            WITH t AS (SELECT doc_id, translate(text, '$\[]', 'S/()') AS text, trim(regexp_replace(translate(coalesce(section_title, 'Text'), '$\[]', 'S/()'), '{_WS}', ' ', 'g')) AS h FROM documents WHERE text IS NOT NULL),
+            l AS (SELECT doc_id, h, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM t),
+            s AS (SELECT doc_id, h, n, trim(regexp_replace(line, '{_WS}', ' ', 'g')) AS p FROM l),
+            d AS (SELECT doc_id, h, string_agg(p, chr(10) || chr(10) ORDER BY n) FILTER (WHERE p <> '') AS body, lower(trim(regexp_replace(h, '^[\d.]+\s+', ''))) AS k FROM s GROUP BY doc_id, h),
+            m AS (SELECT *, CASE WHEN body IS NULL THEN NULL WHEN k IN ('references', 'bibliography') THEN 'r' WHEN starts_with(k, 'appendix') THEN 'a' ELSE 'm' END AS part, regexp_replace(concat('## ', h, chr(10), chr(10), body, chr(10)), '(?m)^(\s*-\s+)[•·◦]\s+', '', 'g') AS md FROM d)
+            SELECT doc_id, 'Document ' || doc_id AS title, CASE WHEN body IS NOT NULL THEN h END AS sections_tree, CASE part WHEN 'm' THEN md END AS content, CASE part WHEN 'r' THEN md END AS content_references, CASE part WHEN 'a' THEN md END AS content_appendix,
+            CASE WHEN body IS NOT NULL THEN sha256(body || chr(10)) END AS sha256 FROM m""",
         "distinct_affiliations": rf"""
             WITH u AS (SELECT author_id, regexp_replace(unnest(affiliations), '^{_WS}|{_WS}$', '', 'g') AS a, generate_subscripts(affiliations, 1) AS i FROM paper_authors WHERE affiliations IS NOT NULL),
             f AS (SELECT author_id, lower(a) AS k, min(i) AS i, arg_min(a, i) AS a FROM u WHERE a <> '' GROUP BY author_id, lower(a))
@@ -448,4 +461,4 @@ def oracle_sql() -> dict[str, str]:
         "page_images": "SELECT p_partkey AS doc_id, p_name || '.png' AS src FROM part",
         "tex_images": "SELECT p_partkey AS doc_id, 0::BIGINT AS ord, 'fig/' || p_brand AS ref FROM part UNION ALL SELECT p_partkey, 1, p_type FROM part",
     }
-    return q | markup_queries.sql()
+    return q | markup_queries.sql() | source_queries.sql()
