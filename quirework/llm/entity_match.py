@@ -120,9 +120,12 @@ def _is_stop(raw: str, dot: int, end: int) -> bool:
 def titles_in(raw: str) -> list[str]:
     """Words of what may be the title in a reference line."""
     found: dict[str, None] = {}
-    for style in _STYLES:
-        for m in style.finditer(raw):
-            found[title_words(m[1])] = None
+    quoted, dated, within = any(q in raw for q in '“"„'), "(" in raw, "in:" in raw.lower()
+    # a style is tried only where its signs are
+    for style, there in zip(_STYLES, (quoted, dated, dated, within)):
+        if there:
+            for m in style.finditer(raw):
+                found[title_words(m[1])] = None
     at = [0, *(m.end() for m in _DOT.finditer(raw) if m.start() > 0 and _is_stop(raw, m.start(), m.end())), len(raw)]
     for k in range(1, len(at) - 1):
         found[title_words(raw[at[k] : at[k + 1]])] = None
@@ -152,10 +155,11 @@ def cut_titles(title: str, raw: str) -> list[str]:
     return list(out)
 
 
-def _years(year: str, raw: str) -> tuple[int | None, list[int]]:
-    m = YEARS.search(year or "")
-    seen = [int(y) for y in YEARS.findall(raw or "")]
-    return (int(m[1]) if m else None), ([int(m[1])] if m else seen)
+def _years(year: str, raw: str) -> list[int]:
+    """The record's own year, else those in its reference line."""
+    if m := YEARS.search(year or ""):
+        return [int(m[1])]
+    return [int(y) for y in YEARS.findall(raw or "")]
 
 
 def _hash(s: str) -> int:
@@ -206,8 +210,8 @@ def _read_citations():
             out["cuts"].append(cut_titles(t if cut else "", r if r and ("..." in r or "…" in r) else ""))
             out["people"].append([_who(p) for p in people])
             # shorter ones are never a misspelled name's
-            out["names"].append([p for p in people if len(p) >= 4] if words else [])
-            out["years"].append(_years(y, r)[1])
+            out["names"].append(" ".join([p for p in people if len(p) >= 4]) if words else "")
+            out["years"].append(_years(y, r))
         return out
 
     return f
@@ -262,7 +266,7 @@ def match(citations: DataFrame, works: DataFrame) -> DataFrame:
     """
     c = cut_lineage(map_columns(
         citations.select("citation_id", "arxiv_id", "cite_key", "title", "pub_year", "authors", "raw_text"), _read_citations,
-        "id long, item long, words string, lines array<string>, cuts array<string>, people array<int>, names array<string>, years array<int>",
+        "id long, item long, words string, lines array<string>, cuts array<string>, people array<int>, names string, years array<int>",
     ))
     w = map_columns(works.select("work_id", "title", "authors", F.col("pub_year").cast("int")), _read_works, "work long, wwords string, family array<int>, fnames array<string>, wyear int")
     w = cut_lineage(w.filter("wwords != ''").withColumn("wkey", _key(F.col("wwords"))))
@@ -311,8 +315,8 @@ def match(citations: DataFrame, works: DataFrame) -> DataFrame:
     # rules 6, 7: by title alone, where it is one work's and says enough
     weaker = rest(hits.filter("weak is not null and near >= 0"), done)
     late = _only_one(weaker.filter("weak = 6 and near >= 1"), 6)
-    typo = F.exists("names", lambda p: F.exists("fnames", lambda f: (F.levenshtein(p, f, 2) >= 0) & (F.length(f) >= 6)))
-    names = weaker.filter("weak = 7").join(c.filter(F.size("names") > 0).select("id", "names"), "id").join(w.select("work", "fnames"), "work").filter(typo)
+    typo = F.exists(F.split("names", " "), lambda p: F.exists("fnames", lambda f: (F.levenshtein(p, f, 2) >= 0) & (F.length(f) >= 6)))
+    names = weaker.filter("weak = 7").join(c.filter("names != ''").select("id", "names"), "id").join(w.select("work", "fnames"), "work").filter(typo)
     late = late.unionByName(_only_one(names, 7))
     more = cut_lineage(more.unionByName(rest(late, more)))
 
