@@ -38,6 +38,9 @@ def test_main_files(spark):
     rows = [(1, "x/a.tex", b"aa", 2), (1, "main.tex", b"a", 1), (2, "only.tex", b"", 0), (3, "b.tex", b"\\documentclass\\begin{document}", 9), (3, "c.tex", b"long" * 9, 36), (4, "index.html", b"", 0), (4, "big.html", b"x", 5)]
     f = spark.createDataFrame(rows, "doc_id int, path string, content binary, size int")
     assert {r.doc_id: r.main for r in inputs.main_tex(f).collect()} == {1: "main.tex", 2: "only.tex", 3: "b.tex"}
+    # a usual name counts in the root only
+    sub = [(5, "supp/main.tex", b"aaaa", 4), (5, "z.tex", b"\\documentclass\\begin{document}", 9)]
+    assert inputs.main_tex(spark.createDataFrame(sub, "doc_id int, path string, content binary, size int")).first().main == "z.tex"
     assert inputs.main_html(f).first().main == "index.html"
 
 
@@ -68,6 +71,21 @@ def test_fetch_and_cache(spark):
     assert [r.cache_key for r in fresh.collect()] == ["k"] and [r.cache_key for r in missing.collect()] == ["l"]
 
 
+def test_files_and_records(spark):
+    class Server:
+        def __call__(self, url):
+            return {"p": (200, "application/pdf", b"%PDF-1"), "t": (200, "application/gzip", b"tar"), "m": (200, "application/gzip", b"%PDF-1"), "r": (200, "text/xml", "é".encode())}.get(url, (500, "", b""))
+
+    df = spark.createDataFrame([(1, "p"), (2, "t"), (3, "m"), (4, "x"), (5, None)], "id int, url string")
+    got = {r.id: (bytes(r.content) if r.content else None, r.error) for r in inputs.fetch_files(df, Server, tries=2, backoff_s=0.0, tex=True).collect()}
+    assert got == {1: (None, "not found"), 2: (b"tar", None), 3: (None, "not found"), 4: (None, "status 500"), 5: (None, "no address")}
+    assert {r.id for r in inputs.fetch_files(df, Server, tries=1, backoff_s=0.0).filter("error is null").collect()} == {1, 2, 3}
+    records = inputs.fetch_records(spark.createDataFrame([(1, "r"), (2, "x"), (3, None)], "id int, url string"), Server, tries=1)
+    assert {r.id: r.body for r in records.collect()} == {1: "é", 2: None, 3: None}
+    u = spark.range(1).select(inputs.record_urls(F.lit("2101.00001v2"), F.lit("doi:10.1/x")).alias("u")).first().u
+    assert u.crossref.endswith("/works/10.1/x") and u.openalex.endswith("arXiv.2101.00001") and u.atom.endswith("=2101.00001v2")
+
+
 def test_yaml():
     r = {"id": "arxiv:2101.1", "identifiers": {"doi": "x"}, "tags": ["a", "b"]}
     assert yaml_files.load(yaml_files.dump(r)) == r and yaml_files.paper_id(r) == "2101.1"
