@@ -143,8 +143,11 @@ def similar_texts(df: DataFrame, row_id: str, text: str, size: int = 5, threshol
     membership = signed.select("id", "same").join(reps, "same").select("id", "rep")
     keyed = signed.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", F.explode("keys").alias("k"))
     x, y = keyed.alias("x"), keyed.alias("y")
-    pairs = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    ta, tb = rows.select(F.col("id").alias("a"), F.col("text").alias("ta")), rows.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    pairs = cut_lineage(x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    # only texts that are in a pair move to it
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = cut_lineage(rows.join(paired, "id", "left_semi"))
+    ta, tb = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
     links = map_columns(both, _verify(size, threshold), "a long, b long, similarity double")
     return links, membership
