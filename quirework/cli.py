@@ -99,7 +99,7 @@ def main(argv: list[str] | None = None) -> int:
         counts.show()
         return batch.exit_code(counts)
     if a.verb == "paper-yml":
-        answers = spark.read.option("wholetext", True).text(a.input).select(metadata.atom_entry(F.col("value")).alias("e")).select("e.*").filter("arxiv_id is not null")
+        answers = spark.read.text(a.input, wholetext=True).select(metadata.atom_entry(F.col("value")).alias("e")).select("e.*").filter("arxiv_id is not null")
         records = metadata.paper_record(metadata.with_defaults(answers))
         if a.output:
             sinks.write_records(records, a.output)

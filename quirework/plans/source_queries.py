@@ -375,7 +375,7 @@ def written_files(spark, d):
     out = f"{shared_folder(spark)}/quirework-written-{d.strip('/').replace('/', '-')}"
     rows = made.withColumn("doc_id", F.pmod("doc_id", F.lit(7))).groupBy("doc_id").agg(F.max("content").alias("content"), F.max(F.when(F.col("doc_id") > 2, F.col("refs"))).alias("content_references"), F.lit(None).cast("string").alias("content_appendix"))
     sinks.write_markdown(rows, out)
-    return spark.read.option("wholetext", True).schema("value string, doc_id long, part string").text(out)
+    return spark.read.schema("value string, doc_id long, part string").text(out, wholetext=True)
 
 
 def batch_outcomes(spark, d):
@@ -466,8 +466,8 @@ def sql() -> dict[str, str]:
             WITH {_N}, s AS (SELECT doc_id, concat('Title: Title ', doc_id, chr(10), 'Sections: 1', chr(10), 'Estimated tokens: ', p_size, '.0k') AS short FROM n)
             SELECT doc_id, concat(short, chr(10), chr(10), 'Head ', doc_id, chr(10), chr(10), 'body') AS printed, short FROM s""",
         "written_files": """
-            SELECT 'paper' AS part, p_partkey % 7 AS doc_id, 'main ' || max(p_name) AS value FROM part GROUP BY ALL
-            UNION ALL SELECT 'references', p_partkey % 7, 'refs ' || max(p_partkey || '') FROM part WHERE p_partkey % 7 > 2 GROUP BY ALL""",
+            SELECT 'paper' AS part, p_partkey % 7 AS doc_id, 'main ' || max(p_name) || chr(10) AS value FROM part GROUP BY ALL
+            UNION ALL SELECT 'references', p_partkey % 7, 'refs ' || max(p_partkey || '') || chr(10) FROM part WHERE p_partkey % 7 > 2 GROUP BY ALL""",
         "batch_outcomes": """
             WITH p AS (SELECT paper_id AS n, CASE WHEN paper_id % 10 IN (0, 1) THEN 'skip' WHEN paper_id % 10 = 2 THEN 'UserInputError: neither an arXiv id nor a page or archive' WHEN paper_id % 10 = 3 THEN 'StorageError: FileNotFoundError'
               WHEN paper_id % 7 IN (1, 2) THEN 'NetworkError: not found' WHEN paper_id % 7 = 3 THEN 'NetworkError: no page for this source' WHEN paper_id % 7 = 4 THEN 'NetworkError: content type application/pdf' WHEN paper_id % 7 = 5 THEN 'NetworkError: status 403' ELSE 'ok' END AS e FROM papers)

@@ -57,7 +57,7 @@ def read_files(inputs: DataFrame, key: str = "n", path: str = "line") -> DataFra
 
 def local_pages(spark: SparkSession, path: str) -> DataFrame:
     """(path, html) of HTML files, each in whole."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
 
 
 def binary_files(spark: SparkSession, path: str) -> DataFrame:

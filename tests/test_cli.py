@@ -8,7 +8,8 @@ import pytest
 from quirework import cli
 from quirework.plans import protocols
 
-PAGE = '<article class="ltx_document"><h1 class="ltx_title ltx_title_document">T</h1><section class="ltx_section"><h2>One</h2><p>text</p><figure class="ltx_figure"><svg></svg></figure></section></article>'
+PAGE = '<article class="ltx_document"><h1 class="ltx_title ltx_title_document">T</h1><section class="ltx_section"><h2>One</h2><p>text</p>
+<figure class="ltx_figure"><svg></svg></figure></section></article>'
 
 
 class Closing:
@@ -31,7 +32,7 @@ def test_batch_writes_files(spark, tmp_path):
     out = str(tmp_path / "out")
     args = ["batch", str(tmp_path / "lines"), "--output", out, "--fetcher", "test_cli:make_fetcher"]
     assert cli.main(args) == 0
-    assert sorted(r.value.strip() for r in spark.read.option("wholetext", True).text(out).select("value").collect()) == ["## One\n\ntext\n\n![](images/figure-1.svg)"] * 2
+    assert sorted(r.value.strip() for r in spark.read.text(out, wholetext=True).select("value").collect()) == ["## One\n\ntext\n\n![](images/figure-1.svg)"] * 2
     (tmp_path / "lines").write_text("2101.00009\n")
     assert cli.main(args[:2] + ["--fetcher", "test_cli:make_fetcher", "--fail-fast"]) == 1
 
