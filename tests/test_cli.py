@@ -8,8 +8,7 @@ import pytest
 from quirework import cli
 from quirework.plans import protocols
 
-PAGE = '<article class="ltx_document"><h1 class="ltx_title ltx_title_document">T</h1><section class="ltx_section"><h2>One</h2><p>text</p>
-<figure class="ltx_figure"><svg></svg></figure></section></article>'
+PAGE = '<article class="ltx_document"><h1 class="ltx_title ltx_title_document">T</h1><section class="ltx_section"><h2>One</h2><p>text</p>\n<figure class="ltx_figure"><svg></svg></figure></section></article>'
 
 
 class Closing:
