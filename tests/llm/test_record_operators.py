@@ -179,6 +179,56 @@ def test_match_short_beginnings_and_short_names(spark):
     assert {r.id: (r.work, r.rule) for r in E.match(c, works).collect()} == {1: (1, 5), 3: (1, 3), 4: (2, 5)}
 
 
+def test_match_moves_records_a_few_times_only(spark, tmp_path, monkeypatch):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghijklmnoprstuvz") for _ in range(r.randint(5, 9)))
+    works = [(k, " ".join(word() for _ in range(7)).title(), [f"{word().title()}, {word().title()}" for _ in range(3)], 2000 + k % 20) for k in range(300)]
+    cites = []
+    for i in range(6000):
+        _, title, authors, year = works[i % 300] if i % 4 else (0, " ".join(word() for _ in range(7)).title(), [f"{word().title()}, {word().title()}" for _ in range(3)], 2005)
+        # a title, a line, or both; every fifth one is misspelled
+        title = title[:20] + title[21:] if i % 5 == 0 else title
+        line = f"{', '.join(a.split(',')[0] + ' ' + a.split(', ')[1][0] + '.' for a in authors)} ({year}). {title}. Journal of {word().title()} {i % 60}, {i}-{i + 9}."
+        cites.append((i, f"p{i // 30}", f"k{i % 15}", title if i % 3 else None, str(year), authors if i % 3 else None, line if i % 3 != 1 else None))
+    spark.createDataFrame(works, "work_id long, title string, authors array<string>, pub_year int").write.parquet(f"{tmp_path}/works.parquet")
+    spark.createDataFrame(cites, "citation_id long, arxiv_id string, cite_key string, title string, pub_year string, authors array<string>, raw_text string").write.parquet(f"{tmp_path}/citations.parquet")
+    size = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet") if f.is_file())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark.sparkContext._jsc.sc().statusStore()
+    gw = spark.sparkContext._gateway
+
+    def stages():
+        bus.waitUntilEmpty(30_000)
+        found = store.stageList(None, False, False, gw.new_array(gw.jvm.double, 0), None)
+        return {x.stageId(): x.shuffleWriteBytes() for x in (found.apply(k) for k in range(found.size()))}
+
+    try:
+        old = stages()
+        m = E.found(spark, str(tmp_path)).collect()
+        moved = sum(v for k, v in stages().items() if k not in old)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {x.citation_id: x.work_id for x in m} == {i: i % 300 for i in range(6000) if i % 4} and len(m) == 4500
+    assert moved < 6.5 * size, moved / size
+
+
+def test_match_repeated_and_bare_rows(spark):
+    works = spark.createDataFrame([(1, "Fast Search over Large Graphs", ["Doe, Jane"], 2020), (2, "Editorial", ["Poe, Max"], 2010), (3, "Editorial", ["Loe, Ann"], 2010)], "work_id long, title string, authors array<string>, pub_year int")
+    cites = [
+        # a repeated row is one record; records without a title go each their way, and never meet a work by that
+        *[(1, "a", "k1", "Fast Search over Large Graphs", "2020", ["J. Doe"], None)] * 2, (2, "a", "k2", "Editorial", "2010", [None, "", "Ann Loe"], None), *[(3, "a", "k1", None, None, None, None)] * 2, (4, "a", None, None, None, None, None), (5, None, "k1", None, None, None, None),
+        *[(100 + k, "b", f"x{k}", None, None, None, None) for k in range(20)],
+    ]
+    c = spark.createDataFrame(cites, "citation_id long, arxiv_id string, cite_key string, title string, pub_year string, authors array<string>, raw_text string")
+    assert sorted((r.id, r.work, r.rule) for r in E.match(c, works).collect()) == [(1, 1, 1), (2, 3, 1), (3, 1, 9)]
+
+
+def test_names_in_reference_lines():
+    assert E.names_in("O’Neill-Smith, J. & d'Arc, Li; ČAPEK ØRSTED (Иванов 2x) xy") == {"oneillsmith", "darc", "li", "capek", "orsted"}
+    assert E.title_words("Über β-Sheets & \\emph{More} <i>X²</i>…") == "uber sheets and more x2"
+
+
 def test_a_wrong_rule_has_less_confidence(spark):
     # rule 8 is wrong on every other item; an item's records may disagree; a lone record labels nothing, itself included
     rows = [x for i in range(200) for x in ((4 * i, i, i, 1), (4 * i + 1, i, i, 3), (4 * i + 2, i, i + i % 2, 8))] + [(9000 + k, 500 + k, k, 1) for k in range(50)] + [(9100, 900, 1, 1), (9101, 900, 2, 1), (9200, 901, 1, 9)]
