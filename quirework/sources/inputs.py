@@ -120,12 +120,9 @@ def main_tex(files: DataFrame) -> DataFrame:
     name, root = F.element_at(F.split("path", "/"), -1), ~F.contains("path", F.lit("/"))
     whole = text.contains("\\documentclass") & text.contains("\\begin{document}")
     usual = F.array_position(F.array(*map(F.lit, MAIN_TEX)), F.col("path"))
-    rank = (
-        F.when(F.count("*").over(Window.partitionBy("doc_id")) == 1, 0).when(usual > 0, usual).when(root & whole, 10)
-        .when(name.rlike(r"\d{4}\.\d{4,5}"), 20).when(root, 30).otherwise(40)
-    )
-    best = F.row_number().over(Window.partitionBy("doc_id").orderBy("_rank", F.when(F.col("_rank") >= 30, -F.col("size")), "path"))
-    return t.withColumn("_rank", rank).withColumn("_n", best).filter("_n = 1").select("doc_id", F.col("path").alias("main"))
+    rank = F.when(usual > 0, usual).when(root & whole, 10).when(name.rlike(r"\d{4}\.\d{4,5}"), 20).when(root, 30).otherwise(40)
+    # an only file is the best of one whatever its rank; contents don't leave their row
+    return t.withColumn("_rank", rank).groupBy("doc_id").agg(F.min(F.struct("_rank", F.when(F.col("_rank") >= 30, -F.col("size")), "path"))["path"].alias("main"))
 
 
 def main_html(files: DataFrame) -> DataFrame:
@@ -133,8 +130,7 @@ def main_html(files: DataFrame) -> DataFrame:
     h = files.filter(F.lower("path").rlike(r"\.html?$"))
     stem = F.lower(F.regexp_extract("path", r"([^/]*)\.[^.]*$", 1))
     at = F.array_position(F.array(*map(F.lit, MAIN_HTML)), stem)
-    best = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.when(at > 0, at).otherwise(99), F.desc("size"), "path"))
-    return h.withColumn("_n", best).filter("_n = 1").select("doc_id", F.col("path").alias("main"))
+    return h.groupBy("doc_id").agg(F.min(F.struct(F.when(at > 0, at).otherwise(99), -F.col("size"), "path"))["path"].alias("main"))
 
 
 def image_inventory(files: DataFrame) -> DataFrame:

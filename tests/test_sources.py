@@ -147,3 +147,9 @@ def test_metadata(spark):
     reg = spark.createDataFrame([("d", "v1", None, ["A", "b"])], "doi string, volume string, publication_name string, subjects array<string>")
     x = M.merged(api, reg).first()
     assert (x.volume, x.publication_name, x.keywords) == ("v1", "J0", ["a", "b"])
+
+
+def test_main_files_keeps_contents_in_their_rows(spark):
+    f = spark.createDataFrame([(1, "a.tex", b"x", 1), (1, "b/c.tex", b"xx", 2), (2, "2101.00001.tex", b"", 0)], "doc_id int, path string, content binary, size int")
+    for made, want in ((inputs.main_tex(f), {1: "a.tex", 2: "2101.00001.tex"}), (inputs.main_html(f), {})):
+        assert "Window" not in made._jdf.queryExecution().toString() and {r.doc_id: r.main for r in made.collect()} == want
