@@ -12,10 +12,12 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from ..functions import text as T
 from ..functions.session import cut_lineage
@@ -95,18 +97,36 @@ def archive_members(content: bytes | None) -> Iterator[tuple[str, bytes]]:
             yield "/".join(p for p in parts if p not in ("", ".")), data
 
 
+#: Bytes and members from which on a batch of members goes out.
+BATCH_BYTES, BATCH_ROWS = 8_000_000, 10_000
+
+
 def extract(archives: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
     """(doc_id, path, content, size) of all members of all archives."""
     kind = dict(archives.dtypes)[key]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for k, c in zip(pdf["doc_id"], pdf["content"]):
-                rows = [(k, p, d, len(d)) for p, d in archive_members(bytes(c) if c is not None else None)]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["doc_id", "path", "content", "size"])
-
-    return archives.select(F.col(key).alias("doc_id"), F.col(content).alias("content")).mapInPandas(run, f"doc_id {kind}, path string, content binary, size long")
+    schema = f"doc_id {kind}, path string, content binary, size long"
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            held = 0
+            for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                # archives share a batch, and a large one takes several
+                for p, d in archive_members(c):
+                    rows.append((k, p, d, len(d)))
+                    held += len(d)
+                    if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                        yield batch(rows)
+                        rows, held = [], 0
+            if rows:
+                yield batch(rows)
+
+    return archives.select(F.col(key).alias("doc_id"), F.col(content).alias("content")).mapInArrow(run, schema)
 
 
 #: File names by which a paper's main file goes, best first.

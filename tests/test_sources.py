@@ -1,6 +1,7 @@
 import gzip
 import io
 import json
+import os
 import tarfile
 import zipfile
 
@@ -13,6 +14,8 @@ from quirework.operators import images as I
 from quirework.operators import metadata as M
 from quirework.sources import inputs, yaml_files
 
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 def archive(kind):
     b = io.BytesIO()
@@ -149,6 +152,23 @@ def test_metadata(spark):
     assert (x.volume, x.publication_name, x.keywords) == ("v1", "J0", ["a", "b"])
 
 
+def test_archive_files_reads_archives_once(spark):
+    from quirework.plans import source_queries as Q
+
+    if os.path.isdir(DATA):
+        plan = Q.archive_files(spark, DATA)._jdf.queryExecution().toString()
+        assert "MapIn" not in plan and "ArrowEvalPython" not in plan
+    # members of many archives, and of one that is larger than a batch
+    many = b"".join(b"x" for _ in range(inputs.BATCH_ROWS + 5))
+    b = io.BytesIO()
+    with zipfile.ZipFile(b, "w") as z:
+        for n in range(inputs.BATCH_ROWS + 5):
+            z.writestr(zipfile.ZipInfo(f"{n}.txt"), many[n : n + 1])
+    rows = [(1, archive("zip")), (2, b.getvalue()), (3, None), (4, archive("tar"))]
+    got = inputs.extract(spark.createDataFrame(rows, "doc_id int, content binary").coalesce(1)).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    assert {(r.doc_id, r.n, r.s) for r in got.collect()} == {(1, 1, 1), (2, len(many), len(many)), (4, 1, 1)}
+
+
 def test_main_files_keeps_contents_in_their_rows(spark):
     f = spark.createDataFrame([(1, "a.tex", b"x", 1), (1, "b/c.tex", b"xx", 2), (2, "2101.00001.tex", b"", 0)], "doc_id int, path string, content binary, size int")
     for made, want in ((inputs.main_tex(f), {1: "a.tex", 2: "2101.00001.tex"}), (inputs.main_html(f), {})):
