@@ -219,3 +219,11 @@ def test_missing_braces():
     assert tex.close_braces("{" * 26 + "\\end{document}") == "{" * 26 + "\\end{document}"
     blocks = tex.read_tex("m", {"m": "\\begin{document}\\section{s}a \\emph{b\n\n\\end{document}"})["blocks"]
     assert [b["kind"] for b in blocks] == ["paragraph"]
+
+
+def test_archives_are_read_in_batches(spark):
+    rows = [(k, p, c, "a.tex") for k in range(3) for p, c in (("a.tex", f"\\section{{S{k}}} \\input{{b}}"), ("b.tex", "text"), ("c.png", None))]
+    for kind in ("string", "binary"):
+        parsed = tex.parse_archives(spark.createDataFrame(rows, "doc_id int, path string, content string, main string").withColumn("content", F.col("content").cast(kind)))
+        assert "FlatMapGroups" not in parsed._jdf.queryExecution().toString()
+        assert {(r.doc_id, r.sections[0].title, r.blocks[0].text) for r in parsed.collect()} == {(k, f"S{k}", "text") for k in range(3)}
