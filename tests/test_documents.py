@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quirework.operators import authors as A
 from quirework.operators import tex, traverse
 from quirework.operators import pages as P
+from quirework.functions import dom
 from quirework.functions.dom import parse
 from quirework.plans import batch, markup_queries
 from quirework.plans import pipeline as PL
@@ -223,6 +224,30 @@ def test_missing_braces():
     assert [b["kind"] for b in blocks] == ["paragraph"]
 
 
+def test_plain_trees_are_the_standard_parsers():
+    def shown(e):
+        return e if isinstance(e, str) else (e.tag, tuple(e.attrs.items()), tuple(shown(k) for k in e.kids))
+
+    def standard(t):
+        b = dom._Builder()
+        b.feed(t)
+        b.close()
+        return shown(b.root)
+
+    plain = ["<p>a &amp; b<br>c</p>", '<DIV Class="A&lt;b" a="1" a="2"><img src="" /></div></p>tail', "<title>x</title> a > b", "<p></div>open", '<a href="x>y">&am</a>', "x &copy"]
+    odd = ["<script>a<b</script>", "a < b", "<p>x<!-- c -->y</p>", "<i a='q'>z</i>", "<p>x<", "<x-y>n</x >", "<b\f>", "<t a=1>", "<p>&amp"]
+    for t in plain:
+        assert shown(dom._plain_tree(t)) == standard(t)
+    for t in [*plain, *odd]:
+        assert shown(dom.parse(t)) == standard(t)
+
+
+def test_short_rows_become_documents_in_several_tasks(spark, tmp_path):
+    spark.range(5000).selectExpr("id p_partkey", "'n' p_name", "1 p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    made = markup_queries.parts(spark, str(tmp_path), html="<p>‹key›</p>")
+    assert made.rdd.getNumPartitions() == 3 and made.filter("html = concat('<p>', doc_id, '</p>')").count() == 5000
+
+
 def test_archives_are_read_in_batches(spark):
     rows = [(k, p, c, "a.tex") for k in range(3) for p, c in (("a.tex", f"\\section{{S{k}}} \\input{{b}}"), ("b.tex", "text"), ("c.png", None))]
     for kind in ("string", "binary"):
